@@ -101,9 +101,13 @@ def words(block: Block) -> Words:
     return Words(start, end, np.searchsorted(start, block.offsets))
 
 
-def word_hashes(block: Block, w: Words, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the words' bytes (A-Z lower-cased if asked), 8 bytes at a time."""
+def word_hashes(block: Block, w: Words, lower: bool = True, latin: bool = False) -> np.ndarray:
+    """64-bit hashes of the words' bytes, 8 bytes at a time; ``lower`` folds A-Z, ``latin`` also the accented capitals of Latin-1."""
     buf = _LOWER[block.buf] if lower else block.buf
+    if latin:
+        at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        at = at[(buf[at] >= 0x80) & (buf[at] <= 0x9E) & (buf[at] != 0x97)]
+        buf[at] += 0x20
     at8 = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
     size = w.end - w.start
     h = mix64(size.astype(np.uint64) * _GOLD)
