@@ -55,9 +55,10 @@ class Templates:
         for i, (name, c) in enumerate(rows):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             unit = {t: n * self.idf[t] / norm for t, n in c.items()}
-            # By Cauchy-Schwarz the cosine of a line with only these tokens of the template is at most this:
-            if math.sqrt(sum(u * u for t, u in unit.items() if t not in self.anchors)) >= threshold:
-                self.anchors |= set(c)
+            # By Cauchy-Schwarz the cosine of a line without an anchor is at most the norm of the template's other tokens.
+            rest = sorted((t for t in unit if t not in self.anchors), key=lambda t: (len(t), t))
+            while math.sqrt(sum(unit[t] ** 2 for t in rest)) >= threshold:
+                self.anchors.add(rest.pop())
             self.weights += [(t, i, name, u, self.idf[t]) for t, u in sorted(unit.items())]
 
     @property
