@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwise.llm import decontaminate, html_text, licenses, packing, quality_knn, quality_rules, sharding, tokens
+from blockwise.llm import decontaminate, html_text, jaccard_join, licenses, packing, quality_knn, quality_rules, secrets_crf, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+        "op4_secret_scan": secrets_crf.op4_secret_scan,
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_quality_classifier": quality_knn.op6_quality_classifier,
         "op7_html_extraction": html_text.op7_html_extraction,

@@ -1,12 +1,19 @@
-"""Corpus cleaning in stages: each takes the documents the one before it kept."""
+"""Corpus cleaning in stages: each takes the documents that the one before it kept.
+
+Order: quality rules, near-duplicate removal, benchmark decontamination, secret masking, packing. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockwise.llm.decontaminate import drop_leaked
 from blockwise.llm.frames import saved, table
+from blockwise.llm.jaccard_join import one_per_group
 from blockwise.llm.packing import pack
 from blockwise.llm.quality_rules import keep_good
+from blockwise.llm.secrets_crf import mask
 from blockwise.llm.tokens import default_tokenizer
 
 
@@ -15,12 +22,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join (operator 3)."""
+    return one_per_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` (operator 5)."""
+    return drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in the text and ``n_chars`` counted anew (operator 4)."""
+    return mask(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens (operator 9)."""
     return pack(docs, default_tokenizer())
 
 
-STAGES = [("quality_rules", quality), ("best_fit_packing", packing)]
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("best_fit_packing", packing),
+]
 
 #: Statistical and sequential stages have no SQL form; the tests hold them against brute force.
 ORACLE_SQL = None
