@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -52,7 +53,11 @@ class Classifier:
             raise ValueError(f"unknown classifier: {self.kind}")
         self.names = names
         index = StringIndexer(inputCol="grp", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-        self.model = Pipeline(stages=[index, est]).fit(self._prepared(vectors))
+        ready = self._prepared(vectors).select("grp", "features").persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
+        try:
+            self.model = Pipeline(stages=[index, est]).fit(ready)
+        finally:
+            ready.unpersist()
         self.labels = self.model.stages[0].labels
         return self
 
