@@ -179,12 +179,16 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: Counts of (abstain, good, bad) added to the votes of every rule in the good and in the bad class.
+PRIOR = np.array([[0.5, 3.0, 0.25], [0.5, 1.5, 1.5]])
+
+
 def fit_label_model(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     """EM over pattern counts: the posterior probability of good quality for each pattern.
 
     Rules are taken as independent given the hidden class. Starts from the majority vote;
-    the class in which rules say *good* more often is the good one. Votes have
-    Laplace smoothing, so a pattern never seen still has a posterior from its rules.
+    the class in which rules say *good* more often is the good one. Votes start from
+    ``PRIOR`` counts (rules are better than chance), which matter on small corpora only.
     """
     if not counts:
         return {}
@@ -198,7 +202,7 @@ def fit_label_model(counts: dict[int, int], rounds: int = 200) -> dict[int, floa
         log = np.log(np.clip([prior, 1 - prior], 1e-9, None))[:, None].repeat(len(keys), 1)
         for r in range(len(RULES)):
             for c, q in enumerate((post, 1 - post)):
-                p = np.array([1.0 + (weight * q)[v[r] == k].sum() for k in range(3)])
+                p = np.array([PRIOR[c, k] + (weight * q)[v[r] == k].sum() for k in range(3)])
                 log[c] += np.log(p / p.sum())[v[r]]
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -60, 60)))
         if np.abs(new - post).max() < 1e-9:
