@@ -195,10 +195,13 @@ def _unpack(blobs: Iterable) -> list[np.ndarray]:
 
 
 def _passes(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
-    """Length and position filters for a shared n-gram at these positions (in the global order)."""
+    """Length filter, and prefix filter of the pair: its first shared n-gram has room for the whole overlap behind it in both sets.
+
+    The first one always passes, so it is enough that one shared n-gram does.
+    """
     na, nb, pa_, pb = (x.astype(np.int64) for x in (na, nb, pa_, pb))
     fits = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
-    return fits & (np.minimum(pa_, pb) + 1 + np.minimum(na - 1 - pa_, nb - 1 - pb) >= needed_overlap(na, nb))
+    return fits & (np.minimum(na - pa_, nb - pb) >= needed_overlap(na, nb))
 
 
 _CANDIDATES = "token bigint, a bigint, b bigint, na bigint, nb bigint"
@@ -272,8 +275,12 @@ def _bloom(names: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def _segments(docs: DataFrame, sketch: Broadcast, cuts: np.ndarray, wanted: Broadcast, text_col: str, k: int) -> DataFrame:
-    """(set_id, fragment, n-grams) of the wanted classes; fragment -1 holds the class's profile of bucket counts."""
+def _segments(docs: DataFrame, sketch: Broadcast, cuts: np.ndarray, wanted: Broadcast, only: tuple[int, ...], text_col: str, k: int) -> DataFrame:
+    """(set_id, fragment, grams, profile) of the wanted classes: one row for each of the fragments ``only``, empty ones too.
+
+    Fragment -1 is the profile of bucket counts instead, fragment -2 the first fragment in 32-bit hashes. A class
+    met in several tasks has equal rows from each.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, bits = sketch.value, wanted.value
@@ -289,15 +296,11 @@ def _segments(docs: DataFrame, sketch: Broadcast, cuts: np.ndarray, wanted: Broa
                         continue
                     known.add(name)
                     f = np.searchsorted(cuts, order_keys(s, counts), side="right")
-                    for i in np.unique(f).tolist():
+                    for i in only:
                         names.append(name)
                         parts.append(i)
-                        grams.append(s[f == i].astype(np.int64))
-                        profiles.append(None)
-                    names.append(name)
-                    parts.append(-1)
-                    grams.append(np.zeros(0, np.int64))
-                    profiles.append(np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype("<u4").tobytes())
+                        grams.append(s[f == i].astype(np.int64) if i >= 0 else np.unique(s[f == 0] >> np.uint64(32)).astype(np.int64) if i == -2 else np.zeros(0, np.int64))
+                        profiles.append(np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype("<u4").tobytes() if i == -1 else None)
                 if names:
                     ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -308,15 +311,53 @@ def _segments(docs: DataFrame, sketch: Broadcast, cuts: np.ndarray, wanted: Broa
     return docs.select(text_col).mapInArrow(run, "set_id bigint, fragment int, grams array<bigint>, profile binary")
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, fragments: int) -> DataFrame:
-    """Linked pairs (a, b): partial overlaps are counted fragment by fragment and summed per pair."""
-    cut = segments.where("fragment >= 0").select("set_id", "fragment", "grams")
-    wide = pairs.select("a", "b", "na", "nb", F.explode(F.array([F.lit(i) for i in range(fragments)])).alias("fragment"))
+class _Corpus:
+    """The documents with the fixed-size tables that every pass over them needs."""
+
+    def __init__(self, docs: DataFrame, sketch: Broadcast, fragments: int, text_col: str, k: int):
+        self.docs, self.sketch, self.fragments, self.text_col, self.k = docs, sketch, fragments, text_col, k
+        self.cuts = cut_points(sketch.value, fragments)
+
+    def segments(self, names: DataFrame, only: tuple[int, ...]) -> DataFrame:
+        """Rows of the classes in column ``name`` (and, by chance, of a few others)."""
+        bits = self.docs.sparkSession.sparkContext.broadcast(_bloom(names))
+        got = _segments(self.docs, self.sketch, self.cuts, bits, only, self.text_col, self.k)
+        if only == (-2,):
+            got = got.withColumn("grams", F.transform("grams", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")))
+        return saved(got, "segments")
+
+
+def _overlaps(pairs: DataFrame, segments: DataFrame, fragments: tuple[int, ...]) -> DataFrame:
+    """(a, b, na, nb, fragment, o, sa, sb): the overlap of two segments and their sizes, per pair and fragment."""
+    cut = segments.select("set_id", "fragment", "grams")
+    wide = pairs.select("a", "b", "na", "nb", F.explode(F.array([F.lit(i) for i in fragments])).alias("fragment"))
     left = wide.join(cut.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
     both = left.join(cut.select(F.col("set_id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
-    return total.where(F.col("overlap") * DEN >= (F.col("na") + F.col("nb") - F.col("overlap")) * NUM).select("a", "b", "na", "nb", "overlap")
+    o = F.size(F.array_intersect("ga", "gb")).cast("bigint")
+    return both.select("a", "b", "na", "nb", "fragment", o.alias("o"), F.size("ga").alias("sa"), F.size("gb").alias("sb")).distinct()
+
+
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("name"))
+
+
+def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
+    """Linked pairs (a, b): partial overlaps are counted fragment by fragment and summed per pair.
+
+    The first fragment, of the rarest n-grams, goes ahead in 32-bit hashes, whose overlap is never less than the
+    true one: a pair goes on only if that and all that is left in the other fragments could reach the threshold, so
+    few sets travel whole.
+    """
+    need = F.expr(f"({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}")
+    ahead = _overlaps(pairs, corpus.segments(_names(pairs), (-2,)), (-2,))
+    # Equal 32-bit hashes within a set count as left in other fragments, so this stays an upper bound.
+    ahead = saved(ahead.where(F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= need).select("a", "b", "na", "nb"), "ahead")
+    if ahead.isEmpty():
+        return ahead.select("a", "b")
+    whole = tuple(range(corpus.fragments))
+    part = _overlaps(ahead, corpus.segments(_names(ahead), whole), whole)
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
+    return saved(total.where(F.col("overlap") * DEN >= (F.col("na") + F.col("nb") - F.col("overlap")) * NUM).select("a", "b"), "links")
 
 
 def _across(g: pa.Table) -> pa.Table:
@@ -340,16 +381,20 @@ def _across(g: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("a", "b", "na", "nb"))})
 
 
-def _rest_of_long_lists(members: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
+def _rest_of_long_lists(members: DataFrame, roots: DataFrame, corpus: _Corpus) -> DataFrame | None:
     """Candidate pairs between components inside long lists."""
     named = members.join(roots.select(F.col("vertex").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("token", F.ceil(F.col("m") / SIDE).alias("blocks"))
-    profiles = segments.where("fragment = -1").select("set_id", "profile")
-    rows = named.join(mixed, "token").join(profiles, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    rows = saved(named.join(mixed, "token"), "mixed")
+    if rows.isEmpty():
+        return None
+    profiles = corpus.segments(rows.select(F.col("set_id").alias("name")), (-1,)).dropDuplicates(["set_id"]).select("set_id", "profile")
+    rows = rows.join(profiles, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
     # Lists beyond SIDE classes are compared block against block, each pair of blocks in a group of its own.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("block", "other").alias("g0"), F.greatest("block", "other").alias("g1"), "set_id", "root", "n", "block", "profile")
-    return rows.groupBy("token", "g0", "g1").applyInArrow(_across, "a bigint, b bigint, na bigint, nb bigint").distinct()
+    more = saved(rows.groupBy("token", "g0", "g1").applyInArrow(_across, "a bigint, b bigint, na bigint, nb bigint").distinct(), "rest")
+    return None if more.isEmpty() else more
 
 
 def similar_classes(docs: DataFrame, k: int = 5, fragments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -357,26 +402,18 @@ def similar_classes(docs: DataFrame, k: int = 5, fragments: int = 4, id_col: str
     spark = docs.sparkSession
     profiles = saved(_profiles(docs, id_col, text_col, k), "profiles")
     members = profiles.where("part is null").select(id_col, "n_shingles", "set_id")
-    sketch = _sum_sketches(profiles)
-    cuts = cut_points(sketch, fragments)
+    corpus = _Corpus(docs, spark.sparkContext.broadcast(_sum_sketches(profiles)), fragments, text_col, k)
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * (DEN - NUM) // DEN * _POSTING_BYTES // (16 << 20)))
-    shared = spark.sparkContext.broadcast(sketch)
-    found = saved(_postings(docs, shared, parts, text_col, k).groupBy("part").applyInArrow(_candidates, _CANDIDATES), "candidates")
-    pairs = found.where("b is not null").select("a", "b", "na", "nb").distinct()
-    long_lists = found.where("b is null").select("token", F.col("a").alias("set_id"), F.col("na").alias("n"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("name")).where("name is not null")
-    bits = spark.sparkContext.broadcast(_bloom(wanted))
-    segments = saved(_segments(docs, shared, cuts, bits, text_col, k).dropDuplicates(["set_id", "fragment"]), "segments")
-    links = saved(_verified(pairs, segments, fragments), "links")
+    found = saved(_postings(docs, corpus.sketch, parts, text_col, k).groupBy("part").applyInArrow(_candidates, _CANDIDATES), "candidates")
+    links = _verified(found.where("b is not null").select("a", "b", "na", "nb").distinct(), corpus)
     roots = saved(connected(links), "roots")
-    if not long_lists.isEmpty():
-        more = saved(_rest_of_long_lists(long_lists, roots, segments), "rest")
-        if not more.isEmpty():
-            extra = saved(_verified(more, segments, fragments), "links")
-            if not extra.isEmpty():
-                edges = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(extra.select("a", "b"))
-                roots = saved(connected(edges), "roots")
+    long_lists = found.where("b is null").select("token", F.col("a").alias("set_id"), F.col("na").alias("n"))
+    more = None if long_lists.isEmpty() else _rest_of_long_lists(long_lists, roots, corpus)
+    if more is not None:
+        extra = _verified(more, corpus)
+        edges = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(extra)
+        roots = saved(connected(edges), "roots")
     return members, roots
 
 
