@@ -76,3 +76,28 @@ class Classifier:
         imp = self.model.stages[1].featureImportances.toArray()
         rows = [(n, float(v)) for n, v in zip(self.names, imp, strict=True)]
         return SparkSession.active().createDataFrame(rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature").limit(top_n)
+
+
+@dataclass
+class WeightedConcatenation:
+    """A classifier on blocks that are multiplied by their weights (1 where none is given) and joined in the order of the fit."""
+
+    weights: dict[str, float]
+    kind: str = "random_forest"
+    trees: int = 500
+    order: list[str] | None = None
+    classifier: Classifier | None = None
+
+    def _joined(self, blocks: DataFrame) -> DataFrame:
+        parts = [F.transform(F.col(n), lambda v, w=float(self.weights.get(n, 1.0)): v * w) for n in self.order]
+        return blocks.select(*[c for c in blocks.columns if c not in self.order], F.concat(*parts).alias("x"))
+
+    def fit(self, blocks: DataFrame, features: dict[str, list[str]]) -> WeightedConcatenation:
+        """``blocks``: grp and one array column per block of ``features``."""
+        self.order = list(features)
+        names = [f"{b}_{f}" for b, fs in features.items() for f in fs]
+        self.classifier = Classifier(self.kind, trees=self.trees).fit(self._joined(blocks), names)
+        return self
+
+    def predict(self, blocks: DataFrame) -> DataFrame:
+        return self.classifier.predict(self._joined(blocks))

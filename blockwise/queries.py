@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwise.functions import metrics
-from blockwise.operators import diablo, integrate, long_form, preprocess, resample
-from blockwise.operators.classifiers import Classifier
+from blockwise.operators import diablo, diablo_validation, integrate, long_form, preprocess, resample
+from blockwise.operators.classifiers import Classifier, WeightedConcatenation
 from blockwise.operators.layer import Layer, layer_from_vectors, q
 from blockwise.operators.pca import Pca, top_loadings
 from blockwise.operators.plsda import PlsDa, one_hot, vip_from_tables
@@ -632,6 +632,33 @@ def f18(spark, sf):
     return Classifier("random_forest", trees=20).fit(v.vectors(), list(v.features)).importances(20)
 
 
+def _halves(spark, sf) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The embeddings as two blocks of 32 dimensions."""
+    df = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("grp"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    return df.select("sample_id", "grp", F.slice("e", 1, 32).alias("low"), F.slice("e", 33, 32).alias("high")), {"low": [f"f{i}" for i in range(32)], "high": [f"f{i}" for i in range(32, 64)]}
+
+
+@query("e11_diablo_loo_error")
+def e11(spark, sf):
+    return diablo_validation.loo_predictions(*_halves(spark, sf), 1).agg((1 - F.avg((F.col("grp") == F.col("pred")).cast("double"))).alias("overall_error"))
+
+
+@query("e12_diablo_permutation")
+def e12(spark, sf):
+    return diablo_validation.permutation_error_test(*_halves(spark, sf), 20, 1, strategy="stratified")
+
+
+@query("f04_keepx_tuning")
+def f04(spark, sf):
+    return diablo_validation.tune_keep(*_halves(spark, sf), 1)
+
+
+@query("f19_weighted_concatenation")
+def f19(spark, sf):
+    blocks, names = _halves(spark, sf)
+    return metrics.accuracy(WeightedConcatenation({"low": 2.0}, "random_forest", 20).fit(blocks, names).predict(blocks))
+
+
 # --- I: plot data -------------------------------------------------------------------------------------------
 
 
@@ -650,6 +677,17 @@ def i15(spark, sf):
     return plotdata.importance_comparison(toy_loadings(spark, sf), 5).withColumn("loading", F.round("loading", 6))
 
 
+@query("i13_samples_enhanced", f"WITH {_VAR} SELECT sample_id, block, round(score, 6) AS score FROM v UNION ALL SELECT sample_id, 'consensus', round(avg(score), 6) FROM v GROUP BY sample_id")
+def i13(spark, sf):
+    v = toy_variates(spark, sf)
+    return v.select("sample_id", "block", F.round("score", 6).alias("score")).unionByName(diablo.consensus(v).select("sample_id", F.lit("consensus").alias("block"), F.round("score", 6).alias("score")))
+
+
+@query("i16_correlation_matrix", f"WITH {_VAR} SELECT a.block AS block_i, b.block AS block_j, round(corr(a.score, b.score), 2) + 0.0 AS corr FROM v a JOIN v b ON a.sample_id = b.sample_id GROUP BY 1, 2")
+def i16(spark, sf):
+    return diablo.block_correlations(toy_variates(spark, sf)).select("block_i", "block_j", (F.round("corr", 2) + 0.0).alias("corr"))
+
+
 @query("i17_overview", f"WITH {_L} SELECT layer, grp, count(DISTINCT sample_id) AS samples, (SELECT count(DISTINCT feature) FROM cells c2 WHERE c2.layer = c1.layer) AS features FROM cells c1 GROUP BY layer, grp")
 def i17(spark, sf):
     return plotdata.sample_overview(block_cells(spark, sf))

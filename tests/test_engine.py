@@ -117,6 +117,29 @@ def test_pca_is_orthonormal(spark):
     assert m.ratio.sum() == pytest.approx(1)
 
 
+def test_multiblock_loo_equals_refitting(spark):
+    from blockwise.operators import diablo_validation as dv
+
+    r = np.random.default_rng(2)
+    y = np.array(list("abc") * 6)
+    x = r.normal(size=(18, 7)) + np.array([[ord(c) - 97] * 7 for c in y])
+    rows = [(f"{i:02d}", str(g), [float(a) for a in v[:4]], [float(a) for a in v[4:]]) for i, (g, v) in enumerate(zip(y, x, strict=True))]
+    joined = spark.createDataFrame(rows, "sample_id string, grp string, one array<double>, two array<double>")
+    names = {"one": list("abcd"), "two": list("efg")}
+    got = {q["sample_id"]: q["pred"] for q in dv.loo_predictions(joined, names, 2).collect()}
+    for i in range(18):
+        keep = np.arange(18) != i
+        s = dv._stats_of(x[keep], y[keep], ["a", "b", "c"])
+        assert dv.predict_rows(dv.fit_stats(s, [4, 3], dv._keep([4, 3], 18, None), 2, 0.1), x[i : i + 1], [4, 3], s)[0] == got[f"{i:02d}"]
+    m = diablo.Diablo.fit(joined, names, 2)
+    for load in m.loadings_:
+        assert np.linalg.norm(load, axis=0) == pytest.approx([1, 1])
+    corr = {(q["block_i"], q["block_j"]): q["corr"] for q in diablo.block_correlations(m.variates()).collect()}
+    assert corr["one", "one"] == pytest.approx(1) and corr["one", "two"] == pytest.approx(corr["two", "one"])
+    out = dv.permutation_error_test(joined, names, 12, 1, strategy="stratified", k=3).first()
+    assert 1 / 13 <= out["p_value"] <= 1 and out["n_permutations"] == 12
+
+
 def test_soft_keep_is_exact():
     a = np.array([3.0, -2.0, 1.0, 1.0])
     for k in (1, 2, 3):
