@@ -24,5 +24,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Shingle sets, all overlaps by a join on shingles, and the closure of the links.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w
+), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, r.root FROM r JOIN both_ways b ON b.x = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; the tests hold the others against brute force."""
+    return {"op3_ngram_jaccard_join": OP3_SQL}
