@@ -110,7 +110,7 @@ def impute(layer: Layer, mode: str = "group_median", fill_value: float | None =
             (F.when(F.count(q(c)) >= 0.5 * F.count(F.lit(1)), F.median(q(c))) if mode == "conservative" else F.median(q(c))).alias(f"_m{i}")
             for i, c in enumerate(layer.features)
         ]
-    )
+    ).persist()  # a row per label; later steps of a pipeline would sort all cells for the medians again
     df = layer.df.join(by, q(layer.group) == F.col("_g"))
     last = [F.lit(float(fill_value))] * len(layer.features) if fill_value is not None else [q(f"g_{i}") for i in range(len(layer.features))]
     if fill_value is None:
