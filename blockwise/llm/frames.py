@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,10 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables saved inside are deleted at the end, but for those taken off the list."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+        for at in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str = "part") -> DataFrame:
     """Cuts lineage by a Parquet table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

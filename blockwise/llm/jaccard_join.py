@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwise.llm.components import connected
-from blockwise.llm.frames import saved, table
+from blockwise.llm.frames import saved, scratch, table
 from blockwise.llm.textblocks import Block, blocks, mix64, shingle_sets
 
 #: Similarity as a fraction of integers, so that nothing is rounded.
@@ -433,11 +433,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, fragments: int = 4, id_col:
     )
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component (the least id), with their columns."""
-    found = saved(jaccard_components(docs, id_col=id_col, text_col=text_col), "components")
-    dropped = found.where(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(dropped, id_col, "left_anti")
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that stand for their component (the least id), with their columns.
+
+    The ids to drop are counted: up to ``broadcast_rows`` of them (a few megabytes) go to every task, so
+    that texts need no shuffle; more are joined by a shuffle.
+    """
+    with scratch(docs.sparkSession) as made:
+        found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+        dropped = saved(found.where(F.col("component_id") != F.col(id_col)).select(id_col), "dropped")
+        made.pop()  # the result reads it
+    return docs.join(F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped, id_col, "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
