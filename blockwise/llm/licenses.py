@@ -37,8 +37,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved.",),
 }
 TOKEN = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
-#: Tokens that prose also has; every other template token is an anchor.
-PROSE = frozenset("a all and be by code in is january june of on or source the this to under use used work".split())
+#: Tokens that prose also has, the commonest first; every other template token but bare numbers is an anchor.
+PROSE = "the of and to a in is be by on all or this under use used work code source".split()
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|copyright|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -56,7 +56,7 @@ class Templates:
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             unit = {t: n * self.idf[t] / norm for t, n in c.items()}
             # By Cauchy-Schwarz the cosine of a line without an anchor is at most the norm of the template's other tokens.
-            rest = sorted((t for t in unit if t not in self.anchors), key=lambda t: (len(t), t))
+            rest = sorted((t for t in unit if t not in self.anchors), key=lambda t: PROSE.index(t) if t in PROSE else len(PROSE))
             while math.sqrt(sum(unit[t] ** 2 for t in rest)) >= threshold:
                 self.anchors.add(rest.pop())
             self.weights += [(t, i, name, u, self.idf[t]) for t, u in sorted(unit.items())]
@@ -85,7 +85,7 @@ def score_lines(lines: DataFrame, known: Templates, threshold: float) -> DataFra
 def scan(files: DataFrame, threshold: float = 0.75, covered: float = 0.5, templates: dict[str, tuple[str, ...]] | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """One row per row of ``files``: path, license, how (header, file, inherited, none), score, license_dir, n_license_lines.
 
-    Null and empty texts have no header and inherit; a null path inherits nothing; of several
+    Null and empty texts have no header and inherit; a row without a path has no licence (how is none); of several
     licence files in a directory the best score, then the first name and path, counts. Repeated rows give repeated
     rows; an empty table gives an empty result; other columns are not read.
     """
@@ -109,7 +109,7 @@ def scan(files: DataFrame, threshold: float = 0.75, covered: float = 0.5, templa
         (F.sum(F.length(F.regexp_replace("line", "[\\x20\\x09-\\x0D]", ""))) / F.max("solid")).alias("cover"),
     ).select("path", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), "n_lines", "cover")
     per_file = saved(per_file, "headers")
-    parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     of_dir = (
         per_file.where(F.col("path").rlike(NAMES) | (F.col("cover") >= covered))
         .groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own", "path")).alias("b"))
