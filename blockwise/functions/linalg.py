@@ -1,7 +1,8 @@
-"""Dense kernels on sufficient statistics. Everything works on cross-products, never on rows."""
+"""Dense kernels on sufficient statistics; tables of few rows and very many features are taken in their row space."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,11 @@ _TINY = np.finfo(float).eps
 
 @dataclass
 class Stats:
-    """n, feature sums, X'X and per-class sums and counts of a labelled table (uncentred)."""
+    """n, feature sums, X'X and per-class sums and counts of a labelled table (uncentred).
+
+    With ``basis`` (orthonormal columns that span all rows) sums and products are those of ``x @ basis``: tables of few
+    rows and very many features are modelled in their row space, which loses nothing.
+    """
 
     n: float
     sums: np.ndarray  # p
@@ -20,17 +25,27 @@ class Stats:
     classes: list[str]
     class_n: np.ndarray  # k
     class_sums: np.ndarray  # p x k
+    basis: np.ndarray | None = None  # features x p
+
+    def inner(self, x: np.ndarray) -> np.ndarray:
+        """Rows in the coordinates of these statistics."""
+        return x if self.basis is None else x @ self.basis
+
+    def outer(self, a: np.ndarray) -> np.ndarray:
+        """Vectors (columns) back in the coordinates of the features."""
+        return a if self.basis is None else self.basis @ a
 
     def without(self, x: np.ndarray, label: str) -> Stats:
         """Down-dated by one row."""
+        x = self.inner(x)
         k = self.classes.index(label)
         n, s = self.class_n.copy(), self.class_sums.copy()
         n[k] -= 1
         s[:, k] -= x
-        return Stats(self.n - 1, self.sums - x, self.xx - np.outer(x, x), self.classes, n, s)
+        return Stats(self.n - 1, self.sums - x, self.xx - np.outer(x, x), self.classes, n, s, self.basis)
 
     def minus(self, other: Stats) -> Stats:
-        return Stats(self.n - other.n, self.sums - other.sums, self.xx - other.xx, self.classes, self.class_n - other.class_n, self.class_sums - other.class_sums)
+        return Stats(self.n - other.n, self.sums - other.sums, self.xx - other.xx, self.classes, self.class_n - other.class_n, self.class_sums - other.class_sums, self.basis)
 
     @property
     def mean(self) -> np.ndarray:
@@ -49,15 +64,17 @@ class Stats:
 
 
 def flip_sign(v: np.ndarray) -> float:
-    """+1 or -1 so that the entry of largest magnitude becomes positive."""
-    return -1.0 if v[np.abs(v).argmax()] < 0 else 1.0
+    """+1 or -1 so that the entry of largest magnitude becomes positive; of equals (but for rounding) the first counts."""
+    size = np.abs(v)
+    return -1.0 if v[(size >= size.max() * (1 - 1e-9)).argmax()] < 0 else 1.0
 
 
-def principal_components(centred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(variance shares of the leading components, unit loadings p x k) of a centred cross-product."""
+def principal_components(stats: Stats, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(variance shares of the leading components, unit loadings p x k)."""
+    centred = stats.centred()
     values, vectors = np.linalg.eigh(centred)
     order = np.argsort(-values, kind="stable")[: min(k, len(values))]
-    v = vectors[:, order]
+    v = stats.outer(vectors[:, order])
     v = v * np.array([flip_sign(v[:, i]) for i in range(v.shape[1])])
     return np.clip(values[order], 0, None) / max(np.trace(centred), _TINY), v
 
@@ -99,7 +116,7 @@ def pls(stats: Stats, n_components: int) -> Pls:
             if old is not None and ((w - old) ** 2).sum() < TOL or c.shape[1] == 1:
                 break
             old = w
-        w = w * flip_sign(w)
+        w = w * flip_sign(stats.outer(w))
         tt = float(w @ s @ w)
         p, q = s @ w / tt, c.T @ w / tt
         s = s - tt * np.outer(p, p)
@@ -108,11 +125,11 @@ def pls(stats: Stats, n_components: int) -> Pls:
         for out, x in zip((w_all, p_all, q_all, tt_all), (w, p, q, tt), strict=True):
             out.append(x)
     if not w_all:
-        z = np.zeros((len(s), 0))
-        return Pls(z, z, np.zeros((c0.shape[1], 0)), np.zeros(0), z, np.zeros((len(s), c0.shape[1])), stats.mean, y_mean)
+        z = stats.outer(np.zeros((len(s), 0)))
+        return Pls(z, z, np.zeros((c0.shape[1], 0)), np.zeros(0), z, np.zeros((len(z), c0.shape[1])), stats.outer(stats.mean), y_mean)
     w, p, q = np.stack(w_all, 1), np.stack(p_all, 1), np.stack(q_all, 1)
-    rot = w @ np.linalg.pinv(p.T @ w)
-    return Pls(w, p, q, np.array(tt_all), rot, rot @ q.T, stats.mean, y_mean)
+    rot = stats.outer(w @ np.linalg.pinv(p.T @ w))
+    return Pls(stats.outer(w), stats.outer(p), q, np.array(tt_all), rot, rot @ q.T, stats.outer(stats.mean), y_mean)
 
 
 def predict_class(y_hat: np.ndarray, classes: list[str]) -> np.ndarray:
@@ -134,6 +151,22 @@ def soft_keep(a: np.ndarray, keep: int) -> np.ndarray:
     return a / max(np.linalg.norm(a), _TINY)
 
 
+def _ascend(a: list[np.ndarray], cross: Callable[[int, int, np.ndarray], np.ndarray], design: np.ndarray, keep: list[int | None], tol: float, turns: int) -> list[np.ndarray]:
+    """Block by block, the weights that agree best with the linked blocks; ``cross(i, j, v)`` is the product of X_i'X_j and v."""
+    for _turn in range(turns):
+        change = 0.0
+        for i in range(len(a)):
+            grad = sum((design[i, j] * cross(i, j, a[j]) for j in range(len(a)) if j != i and design[i, j]), np.zeros(len(a[i])))
+            if not np.abs(grad).max(initial=0):
+                continue
+            new = soft_keep(grad, keep[i] if keep[i] is not None else len(grad))
+            change += float(((new - a[i]) ** 2).sum())
+            a[i] = new
+        if change < tol:
+            break
+    return a
+
+
 def sparse_multiblock(s: np.ndarray, ranges: list[tuple[int, int]], design: np.ndarray, keep: list[int | None], n_components: int, tol: float = 1e-6, turns: int = 100) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Sparse generalised canonical correlation (Horst scheme) on the centred cross-product of all blocks.
 
@@ -150,17 +183,7 @@ def sparse_multiblock(s: np.ndarray, ranges: list[tuple[int, int]], design: np.n
         for i in j_all:
             first = np.linalg.eigh(g[i, i])[1][:, -1]
             a.append(soft_keep(first * flip_sign(first), keep[i] if keep[i] is not None else len(first)))
-        for _turn in range(turns):
-            change = 0.0
-            for i in j_all:
-                grad = sum((design[i, j] * (g[i, j] @ a[j]) for j in j_all if j != i and design[i, j]), np.zeros(len(a[i])))
-                if not np.abs(grad).max(initial=0):
-                    continue
-                new = soft_keep(grad, keep[i] if keep[i] is not None else len(grad))
-                change += float(((new - a[i]) ** 2).sum())
-                a[i] = new
-            if change < tol:
-                break
+        a = _ascend(a, lambda i, j, v: g[i, j] @ v, design, keep, tol, turns)  # noqa: B023
         for i in j_all:
             sign = flip_sign(a[i]) if i == 0 else (1.0 if a[0] @ g[0, i] @ a[i] >= 0 else -1.0)
             a[i] = a[i] * sign
@@ -172,3 +195,33 @@ def sparse_multiblock(s: np.ndarray, ranges: list[tuple[int, int]], design: np.n
                 if tt > _TINY:
                     move[i] = move[i] @ (np.eye(len(a[i])) - np.outer(a[i], g[i, i] @ a[i] / tt))
     return [np.stack(x, 1) for x in loadings], [np.stack(x, 1) for x in rotations]
+
+
+def sparse_multiblock_rows(z: list[np.ndarray], design: np.ndarray, keep: list[int | None], n_components: int, tol: float = 1e-6, turns: int = 100) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``sparse_multiblock`` on the centred blocks themselves (n x p_j), for few rows and many features."""
+    z, j_all = list(z), range(len(z))
+    loadings, rotations, moved = [[] for _ in j_all], [[] for _ in j_all], [[] for _ in j_all]
+    for _ in range(n_components):
+        a = []
+        for i in j_all:
+            values, vectors = np.linalg.eigh(z[i] @ z[i].T)
+            first = z[i].T @ vectors[:, -1]
+            first = first / max(np.linalg.norm(first), _TINY)
+            a.append(soft_keep(first * flip_sign(first), keep[i] if keep[i] is not None else len(first)))
+        a = _ascend(a, lambda i, j, v: z[i].T @ (z[j] @ v), design, keep, tol, turns)
+        for i in j_all:
+            sign = flip_sign(a[i]) if i == 0 else (1.0 if (z[0] @ a[0]) @ (z[i] @ a[i]) >= 0 else -1.0)
+            a[i] = a[i] * sign
+        for i in j_all:
+            r = a[i]
+            for w, c in reversed(moved[i]):
+                r = r - w * (c @ r)
+            loadings[i].append(a[i])
+            rotations[i].append(r)
+            if keep[i] is not None:
+                t = z[i] @ a[i]
+                if t @ t > _TINY:
+                    c = z[i].T @ t / (t @ t)
+                    moved[i].append((a[i], c))
+                    z[i] = z[i] - np.outer(t, c)
+    return [np.stack(x, 1) for x in loadings], [np.stack(x, 1) for x in rotations]

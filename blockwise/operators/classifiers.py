@@ -10,10 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.operators.statistics import cross_products, project
+from blockwise.operators.statistics import project
 
 
 @dataclass
@@ -42,13 +43,14 @@ class Classifier:
         elif self.kind == "logistic":
             est = LogisticRegression(family="multinomial", maxIter=100, labelCol="label")
         elif self.kind == "svm":
-            stats = cross_products(vectors, len(names))[None]
-            cells = stats.n * len(names)
-            var = np.trace(stats.xx) / cells - (stats.sums.sum() / cells) ** 2
+            v = array_to_vector("x")
+            row = vectors.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(v).alias("mean"), Summarizer.normL2(v).alias("norm")).first()
+            n, mean = row["n"], row["mean"].toArray()
+            var = (row["norm"].toArray() ** 2).sum() / (n * len(names)) - mean.mean() ** 2
             gamma = 1.0 / (len(names) * max(var, 1e-12))
             r = np.random.default_rng(self.seed)
-            self._map = (stats.mean, r.standard_normal((len(names), self.n_random)) * np.sqrt(2 * gamma), r.uniform(0, 2 * np.pi, self.n_random))
-            est = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1.0 / max(stats.n, 1)), labelCol="label")
+            self._map = (mean, r.standard_normal((len(names), self.n_random)) * np.sqrt(2 * gamma), r.uniform(0, 2 * np.pi, self.n_random))
+            est = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1.0 / max(n, 1)), labelCol="label")
         else:
             raise ValueError(f"unknown classifier: {self.kind}")
         self.names = names

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from blockwise.functions.linalg import sparse_multiblock
-from blockwise.operators.statistics import cross_products, project
+from blockwise.functions.linalg import Stats, sparse_multiblock, sparse_multiblock_rows
+from blockwise.operators.statistics import MAX_WIDTH, cross_products, local_rows, project
 
 
 def keep_rule(n_features: int, n_samples: int) -> int:
@@ -41,6 +41,32 @@ def design_table(spark, blocks: list[str], off_diagonal: float = 0.1) -> DataFra
     return spark.createDataFrame(rows, "block_i string, block_j string, c double")
 
 
+def links(n_blocks: int, design: float) -> np.ndarray:
+    """Blocks are linked by ``design``, each with the labels (the last one) by 1, none with itself."""
+    c = np.full((n_blocks + 1, n_blocks + 1), float(design))
+    c[-1, :] = c[:, -1] = 1.0
+    np.fill_diagonal(c, 0.0)
+    return c
+
+
+def fit_products(stats: Stats, sizes: list[int], keep: list[int], n_components: int, design: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Loadings and rotations of each block from cross-products."""
+    m = stats.class_n / stats.n
+    xy = stats.class_sums - np.outer(stats.sums, m)
+    s = np.block([[stats.centred(), xy], [xy.T, np.diag(stats.class_n) - stats.n * np.outer(m, m)]])
+    ends = np.cumsum([0, *sizes, len(stats.classes)]).tolist()
+    loadings, rotations = sparse_multiblock(s, list(zip(ends, ends[1:], strict=False)), links(len(sizes), design), [*keep, None], n_components)
+    return loadings[:-1], rotations[:-1]
+
+
+def fit_rows(x: np.ndarray, y: np.ndarray, classes: list[str], sizes: list[int], keep: list[int], n_components: int, design: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same from few rows of many features."""
+    one_hot = np.stack([(y == c).astype(float) for c in classes], 1)
+    blocks = [*np.split(x - x.mean(0), np.cumsum(sizes)[:-1], axis=1), one_hot - one_hot.mean(0)]
+    loadings, rotations = sparse_multiblock_rows(blocks, links(len(sizes), design), [*keep, None], n_components)
+    return loadings[:-1], rotations[:-1]
+
+
 @dataclass
 class Diablo:
     """``joined`` has sample_id, grp and one array column per block; ``features`` names their entries."""
@@ -54,28 +80,21 @@ class Diablo:
 
     @staticmethod
     def fit(joined: DataFrame, features: dict[str, list[str]], n_components: int = 2, design: float = 0.1, keep: dict[str, int] | None = None) -> Diablo:
-        """All updates are products of cross-block cross-products, so one pass over the samples is enough."""
-        names = list(features)
-        width = sum(map(len, features.values()))
-        one = joined.select("grp", F.concat(*[F.col(n) for n in names]).alias("x"))
-        stats = cross_products(one, width)[None]
-        k = len(stats.classes)
-        centred = stats.centred()
-        m = stats.class_n / stats.n
-        xy = stats.class_sums - np.outer(stats.sums, m)
-        yy = np.diag(stats.class_n) - stats.n * np.outer(m, m)
-        s = np.block([[centred, xy], [xy.T, yy]])
-        at, ranges = 0, []
-        for n in names:
-            ranges.append((at, at + len(features[n])))
-            at += len(features[n])
-        ranges.append((width, width + k))
-        c = np.full((len(ranges), len(ranges)), float(design))
-        c[-1, :] = c[:, -1] = 1.0
-        np.fill_diagonal(c, 0.0)
-        kept = [(keep or {}).get(n, keep_rule(len(features[n]), int(stats.n))) for n in names] + [None]
-        loadings, rotations = sparse_multiblock(s, ranges, c, kept, n_components)
-        return Diablo(joined, features, loadings[:-1], rotations[:-1], stats.mean, stats.classes)
+        """All updates are products of cross-block cross-products, so one pass over the samples is enough.
+
+        Above MAX_WIDTH features in all, the rows themselves (at most MAX_CELLS cells) are used instead.
+        """
+        sizes = [len(v) for v in features.values()]
+        one = joined.select("grp", F.concat(*[F.col(n) for n in features]).alias("x"))
+        wanted = lambda n: [(keep or {}).get(b, keep_rule(len(fs), int(n))) for b, fs in features.items()]
+        if sum(sizes) > MAX_WIDTH:
+            x, y, _ = local_rows(one)
+            classes = sorted(set(y.tolist()))
+            loadings, rotations = fit_rows(x, y, classes, sizes, wanted(len(x)), n_components, design)
+            return Diablo(joined, features, loadings, rotations, x.mean(0), classes)
+        stats = cross_products(one, sum(sizes))[None]
+        loadings, rotations = fit_products(stats, sizes, wanted(stats.n), n_components, design)
+        return Diablo(joined, features, loadings, rotations, stats.mean, stats.classes)
 
     def variates(self) -> DataFrame:
         """(sample_id, grp, block, comp, score)."""

@@ -8,41 +8,48 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.linalg import Stats, sparse_multiblock
-from blockwise.operators.diablo import keep_grid, keep_rule
+from blockwise.functions.linalg import Stats
+from blockwise.operators.diablo import fit_products, fit_rows, keep_grid, keep_rule
 from blockwise.operators.resample import folds, local_matrix, run_tasks
-from blockwise.operators.statistics import cross_products
+from blockwise.operators.statistics import MAX_WIDTH, cross_products, local_rows, row_stats as _stats_of
 
 
-def _ranges(sizes: list[int], classes: int) -> list[tuple[int, int]]:
-    ends = np.cumsum([0, *sizes, classes]).tolist()
-    return list(zip(ends, ends[1:], strict=False))
+class Labels(NamedTuple):
+    classes: list[str]
+    class_n: np.ndarray
 
 
 def fit_stats(stats: Stats, sizes: list[int], keep: list[int], n_components: int, design: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per block: (mean, rotations, class centroids in variate space)."""
-    m = stats.class_n / stats.n
-    xy = stats.class_sums - np.outer(stats.sums, m)
-    s = np.block([[stats.centred(), xy], [xy.T, np.diag(stats.class_n) - stats.n * np.outer(m, m)]])
-    ranges = _ranges(sizes, len(stats.classes))
-    c = np.full((len(ranges), len(ranges)), float(design))
-    c[-1, :] = c[:, -1] = 1.0
-    np.fill_diagonal(c, 0.0)
-    _, rotations = sparse_multiblock(s, ranges, c, [*keep, None], n_components)
+    _, rotations = fit_products(stats, sizes, keep, n_components, design)
     means = stats.class_sums / np.maximum(stats.class_n, 1)
-    out = []
-    for (a, b), r in zip(ranges[:-1], rotations[:-1], strict=True):
-        out.append((stats.mean[a:b], r, (means[a:b] - stats.mean[a:b, None]).T @ r))
+    return _centroids(rotations, sizes, stats.mean, means)
+
+
+def fit_few(x: np.ndarray, y: np.ndarray, classes: list[str], sizes: list[int], keep: list[int], n_components: int, design: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same from few rows of many features."""
+    _, rotations = fit_rows(x, y, classes, sizes, keep, n_components, design)
+    means = np.stack([x[y == c].mean(0) if (y == c).any() else np.zeros(x.shape[1]) for c in classes], 1)
+    return _centroids(rotations, sizes, x.mean(0), means)
+
+
+def _centroids(rotations: list[np.ndarray], sizes: list[int], mean: np.ndarray, class_means: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    for r, size in zip(rotations, sizes, strict=True):
+        m = mean[at : at + size]
+        out.append((m, r, (class_means[at : at + size] - m[:, None]).T @ r))
+        at += size
     return out
 
 
-def predict_rows(model: list, x: np.ndarray, sizes: list[int], stats: Stats) -> list[str]:
+def predict_rows(model: list, x: np.ndarray, sizes: list[int], stats: Stats | Labels) -> list[str]:
     """Vote of the blocks by nearest centroid; ties by the least total distance. Empty classes are not chosen."""
     votes, total, at = np.zeros((len(x), len(stats.classes))), np.zeros((len(x), len(stats.classes))), 0
     for (mean, rot, cen), size in zip(model, sizes, strict=True):
@@ -60,9 +67,22 @@ def _keep(sizes: list[int], n: float, keep: list[int] | None) -> list[int]:
 
 
 def loo_predictions(joined: DataFrame, features: dict[str, list[str]], n_components: int = 2, design: float = 0.1, keep: list[int] | None = None) -> DataFrame:
-    """(sample_id, grp, pred) by leave-one-out: one pass for the totals, one that down-dates them row by row."""
+    """(sample_id, grp, pred) by leave-one-out: one pass for the totals, one that down-dates them row by row.
+
+    Above MAX_WIDTH features in all, each row is a task that fits the model on the others.
+    """
     sizes = [len(v) for v in features.values()]
     rows = joined.select("sample_id", "grp", F.concat(*[F.col(n) for n in features]).alias("x"))
+    if sum(sizes) > MAX_WIDTH:
+        x, y, more = local_rows(rows, "sample_id")
+        ids, spark = [m[0] for m in more], joined.sparkSession
+        data, few = spark.sparkContext.broadcast((x, y)), _keep(sizes, len(y), keep)
+
+        def one(t: int) -> list[tuple]:
+            x, y = data.value
+            return [(ids[t], y[t], _held_out(x, y, np.arange(len(y)) == t, sizes, few, n_components, design)[0])]
+
+        return run_tasks(spark, len(y), one, f"sample_id {dict(rows.dtypes)['sample_id']}, grp string, pred string")
     stats = cross_products(rows, sum(sizes))[None]
     kept = _keep(sizes, stats.n, keep)
     shared = joined.sparkSession.sparkContext.broadcast(stats)  # width is limited by cross_products
@@ -80,17 +100,24 @@ def loo_predictions(joined: DataFrame, features: dict[str, list[str]], n_compone
     return rows.mapInArrow(run, f"sample_id {dict(rows.dtypes)['sample_id']}, grp string, pred string")
 
 
-def _stats_of(x: np.ndarray, y: np.ndarray, classes: list[str]) -> Stats:
-    return Stats(float(len(x)), x.sum(0), x.T @ x, classes, np.array([float((y == c).sum()) for c in classes]), np.stack([x[y == c].sum(0) for c in classes], 1))
+def _held_out(x: np.ndarray, y: np.ndarray, at: np.ndarray, sizes: list[int], keep: list[int], n_components: int, design: float) -> list[str]:
+    classes = sorted(set(y.tolist()))
+    model = fit_few(x[~at], y[~at], classes, sizes, keep, n_components, design)
+    return predict_rows(model, x[at], sizes, Labels(classes, np.array([(y[~at] == c).sum() for c in classes])))
 
 
 def _error(x: np.ndarray, y: np.ndarray, sizes: list[int], keep: list[int], n_components: int, design: float, strategy: str, k: int) -> float:
     classes, f = sorted(set(y.tolist())), folds(y, strategy, k)
-    total, wrong = _stats_of(x, y, classes), 0
+    wide, wrong = x.shape[1] > min(len(x), MAX_WIDTH), 0
+    total = None if wide else _stats_of(x, y, classes)
     for j in np.unique(f):
         at = f == j
-        part = total.minus(_stats_of(x[at], y[at], classes))
-        wrong += sum(p != t for p, t in zip(predict_rows(fit_stats(part, sizes, keep, n_components, design), x[at], sizes, part), y[at], strict=True))
+        if wide:
+            pred = _held_out(x, y, at, sizes, keep, n_components, design)
+        else:
+            part = total.minus(_stats_of(x[at], y[at], classes))
+            pred = predict_rows(fit_stats(part, sizes, keep, n_components, design), x[at], sizes, part)
+        wrong += sum(p != t for p, t in zip(pred, y[at], strict=True))
     return wrong / len(y)
 
 

@@ -23,8 +23,8 @@ class Pca:
     @staticmethod
     def fit(layer: Layer, n_components: int = 5) -> Pca:
         stats = cross_products(layer.vectors(), len(layer.features))[None]
-        ratio, loadings = principal_components(stats.centred(), min(n_components, int(stats.n)))
-        return Pca(layer, ratio, loadings, stats.mean)
+        ratio, loadings = principal_components(stats, min(n_components, int(stats.n)))
+        return Pca(layer, ratio, loadings, stats.outer(stats.mean))
 
     @property
     def _spark(self):

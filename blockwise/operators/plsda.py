@@ -62,7 +62,7 @@ class PlsDa:
         a, width = self.model.weights.shape[1], len(self.layer.features)
         totals, spark = self.stats, self.layer.df.sparkSession
         if cv is None:
-            shared = spark.sparkContext.broadcast(totals)  # p x p with p at most MAX_WIDTH
+            shared = spark.sparkContext.broadcast(totals)  # at most MAX_WIDTH squared or MAX_CELLS numbers
             vec = self.layer.vectors()
             keys = [f for f in vec.schema.fields if f.name != "x"]
 
@@ -87,7 +87,7 @@ class PlsDa:
         fold = F.floor((F.row_number().over(W.orderBy(q(order))) - 1) * cv / n).cast("int")
         vec = self.layer.with_df(self.layer.df.withColumn("_fold", fold)).df
         rows = vec.select(*[q(k) for k in self.layer.keys], q(self.layer.group).alias("grp"), F.array(*[q(c) for c in self.layer.features]).alias("x"), F.col("_fold").alias("fold"))
-        parts = cross_products(rows, width, "fold")
+        parts = cross_products(rows, width, "fold", totals.basis)
         out = None
         for k, part in parts.items():
             m = pls(totals.minus(part), a)

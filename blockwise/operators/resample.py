@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from blockwise.functions.linalg import Stats, pls, predict_class
-
-MAX_CELLS = 8_000_000
+from blockwise.functions.linalg import pls, predict_class
+from blockwise.operators.statistics import MAX_CELLS, row_basis, row_stats
 
 
 # --- splitters ----------------------------------------------------------------------------------------------
@@ -96,8 +95,8 @@ class PlsModel:
         self.classes = classes
         if len(classes) < 2:
             return self
-        sums = np.stack([x[y == c].sum(0) for c in classes], 1)
-        self.m = pls(Stats(float(len(x)), x.sum(0), x.T @ x, classes, np.array([float((y == c).sum()) for c in classes]), sums), self.n_components)
+        basis = row_basis(x) if x.shape[1] > 2 * len(x) else None
+        self.m = pls(row_stats(x, y, classes, basis), self.n_components)
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

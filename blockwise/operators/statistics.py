@@ -13,16 +13,21 @@ from blockwise.functions.linalg import Stats
 
 #: Widest matrix whose cross-product is formed (32 MB of doubles).
 MAX_WIDTH = 2000
+#: Largest table that is taken to the driver or into a task (64 MB of doubles).
+MAX_CELLS = 8_000_000
 
 
-def cross_products(vectors: DataFrame, width: int, fold: str | None = None) -> dict[object, Stats]:
+def cross_products(vectors: DataFrame, width: int, fold: str | None = None, basis: np.ndarray | None = None) -> dict[object, Stats]:
     """Stats of (grp, x[, fold]) rows, per fold (or under None).
 
+    Above MAX_WIDTH features the rows, of at most MAX_CELLS cells, give statistics in their row space; ``basis`` is that of
+    earlier statistics which these shall be subtracted from.
+
     Each task sums its rows in blocks; matrix rows are added up on executors, so the driver gets one matrix per
     fold. For leave-one-out use totals and down-dating instead of folds.
     """
     if width > MAX_WIDTH:
-        raise ValueError(f"{width} features: cross-products are formed up to {MAX_WIDTH}; select features first")
+        return _row_space(vectors, width, fold, basis)
     f = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +76,38 @@ def cross_products(vectors: DataFrame, width: int, fold: str | None = None) -> d
     return out
 
 
+def local_rows(vectors: DataFrame, *more: str) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(x, grp, other columns) of all rows, in the order of ``more``; refused beyond MAX_CELLS cells."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    if n * width > MAX_CELLS:
+        raise ValueError(f"{n} x {width} cells: above {MAX_WIDTH} features, up to {MAX_CELLS} cells are taken; select features first")
+    rows = vectors.select("grp", "x", *more).orderBy(*(more or ("grp",))).collect()
+    return np.array([r["x"] for r in rows], dtype=float).reshape(n, width), np.array([r["grp"] for r in rows], dtype=object), [tuple(r)[2:] for r in rows]
+
+
+def row_stats(x: np.ndarray, y: np.ndarray, classes: list[str], basis: np.ndarray | None = None) -> Stats:
+    """Stats of rows at hand; ``basis`` as in ``Stats``."""
+    z = x if basis is None else x @ basis
+    return Stats(float(len(z)), z.sum(0), z.T @ z, classes, np.array([float((y == c).sum()) for c in classes]), np.stack([z[y == c].sum(0) for c in classes], 1), basis)
+
+
+def row_basis(x: np.ndarray) -> np.ndarray:
+    """Orthonormal columns (features x rows) that span the rows."""
+    return np.linalg.qr(x.T)[0]
+
+
+def _row_space(vectors: DataFrame, width: int, fold: str | None, basis: np.ndarray | None) -> dict[object, Stats]:
+    x, y, more = local_rows(vectors, *([fold] if fold else []))
+    if not len(x):
+        return {}
+    classes = sorted(set(y.tolist()))
+    basis = row_basis(x) if basis is None else basis
+    if not fold:
+        return {None: row_stats(x, y, classes, basis)}
+    f = np.array([m[0] for m in more])
+    return {int(k): row_stats(x[f == k], y[f == k], classes, basis) for k in np.unique(f)}
+
+
 def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, out: str, offset: np.ndarray | None = None) -> DataFrame:
     """Adds the array ``out``: (x - mean) . axes [+ offset], by array functions on the JVM."""
     centred = F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda a, b: a - b)

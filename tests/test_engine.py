@@ -142,6 +142,63 @@ def test_multiblock_loo_equals_refitting(spark):
     assert 1 / 13 <= out["p_value"] <= 1 and out["n_permutations"] == 12
 
 
+def _wide_case(n=14, p=40):
+    r = np.random.default_rng(5)
+    y = np.array([("a", "b", "c")[i % 3] for i in range(n)])
+    return r.normal(size=(n, p)) + np.array([[ord(c) - 97] * p for c in y]) * r.normal(size=p), y
+
+
+@pytest.mark.parametrize("cv", [None, 3])
+def test_row_space_equals_cross_products(spark, monkeypatch, cv):
+    """More features than MAX_WIDTH: the models of few rows are those of the cross-products."""
+    from blockwise.operators import statistics
+    from blockwise.operators.layer import layer_from_vectors
+    from blockwise.operators.pca import Pca
+    from blockwise.operators.plsda import PlsDa
+
+    x, y = _wide_case()
+    rows = [(i, str(g), v.tolist()) for i, (g, v) in enumerate(zip(y, x, strict=True))]
+    layer = layer_from_vectors(spark.createDataFrame(rows, "id long, g string, v array<double>"), "v", x.shape[1], "g", "id")
+    models = []
+    for width in (2000, 10):
+        monkeypatch.setattr(statistics, "MAX_WIDTH", width)
+        models.append((Pca.fit(layer, 4), m := PlsDa.fit(layer, 2), {q["id"]: q["pred"] for q in m.cross_validate(cv).collect()}))
+    (pca, pls, pred), (pca_w, pls_w, pred_w) = models
+    assert pls_w.stats.xx.shape == (14, 14) and pls.stats.xx.shape == (40, 40)
+    for a, b in ((pca.loadings, pca_w.loadings), (pca.ratio, pca_w.ratio), (pca.mean, pca_w.mean), *((getattr(pls.model, k), getattr(pls_w.model, k)) for k in ("weights", "loadings", "coef", "x_mean"))):
+        assert a == pytest.approx(b, abs=1e-8)
+    assert pls.model.vip() == pytest.approx(pls_w.model.vip(), abs=1e-8)
+    assert pred == pred_w
+
+
+def test_wide_tables_have_a_bound(spark, monkeypatch):
+    from blockwise.operators import statistics
+
+    monkeypatch.setattr(statistics, "MAX_WIDTH", 10)
+    monkeypatch.setattr(statistics, "MAX_CELLS", 30)
+    rows = spark.createDataFrame([("a", [0.0] * 20), ("b", [1.0] * 20)], "grp string, x array<double>")
+    with pytest.raises(ValueError, match="select features"):
+        statistics.cross_products(rows, 20)
+
+
+def test_multiblock_on_rows_equals_cross_products(spark, monkeypatch):
+    from blockwise.operators import diablo_validation as dv
+
+    x, y = _wide_case()
+    rows = [(f"{i:02d}", str(g), v[:25].tolist(), v[25:].tolist()) for i, (g, v) in enumerate(zip(y, x, strict=True))]
+    joined = spark.createDataFrame(rows, "sample_id string, grp string, one array<double>, two array<double>")
+    names = {"one": [f"f{i}" for i in range(25)], "two": [f"g{i}" for i in range(15)]}
+    got = []
+    for width in (2000, 10):
+        monkeypatch.setattr(diablo, "MAX_WIDTH", width)
+        monkeypatch.setattr(dv, "MAX_WIDTH", width)
+        got.append((diablo.Diablo.fit(joined, names, 2), {q["sample_id"]: q["pred"] for q in dv.loo_predictions(joined, names, 2).collect()}))
+    (m, pred), (w, pred_w) = got
+    for a, b in zip(m.loadings_ + m.rotations, w.loadings_ + w.rotations, strict=True):
+        assert a == pytest.approx(b, abs=1e-6)
+    assert pred == pred_w
+
+
 def test_soft_keep_is_exact():
     a = np.array([3.0, -2.0, 1.0, 1.0])
     for k in (1, 2, 3):
