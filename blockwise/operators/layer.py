@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,3 +75,67 @@ def layer_from_vectors(df: DataFrame, vector: str, width: int, group: str, key:
     """A layer over an array column, element by element (``f0``, ``f1`` ...)."""
     cells = [q(vector)[i].cast("double").alias(f"{prefix}{i}") for i in range(width)]
     return Layer(df.select(q(key), q(group).cast("string").alias(group), *cells), group, tuple(f"{prefix}{i}" for i in range(width)), (key,), name)
+
+
+#: From this many features on, scans give a ``VectorLayer``: plans of thousands of columns take minutes to build.
+WIDE = 1000
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows by a reliable checkpoint in ``spark.checkpoint.dir`` (else, in local mode only, in a folder of our own)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="blockwise-"))
+    return df.checkpoint()
+
+
+@dataclass(frozen=True)
+class VectorLayer:
+    """A layer whose features are one array column: ``df`` has the keys, ``grp`` and ``x``. Missing values are NULL."""
+
+    df: DataFrame
+    group: str
+    features: tuple[str, ...]
+    keys: tuple[str, ...] = ()
+    name: str = "layer"
+
+    @staticmethod
+    def from_wide(df: DataFrame, group: str, features: Sequence[str], name: str = "layer") -> VectorLayer:
+        """As ``Layer.from_wide``, by an Arrow function, since Catalyst's rules walk an expression of thousands of columns many times.
+
+        Rows with a null label are dropped.
+        """
+        chosen = set(features)
+        keys = [f for f in df.schema.fields if f.name != group and f.name not in chosen]
+        names = [f.name for f in keys]
+        at = {c: i for i, c in enumerate(df.columns)}
+        plain = df.toDF(*[f"c{i}" for i in range(len(at))])  # Arrow functions take no names with dots or quotes
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(b.column(at[group]).is_valid())
+                x = np.full((b.num_rows, len(features)), np.nan)
+                for i, c in enumerate(features):
+                    x[:, i] = b.column(at[c]).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+                ends = np.arange(b.num_rows + 1, dtype=np.int32) * len(features)
+                cells = pa.array(x.ravel(), from_pandas=True)  # NaN becomes NULL
+                yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in names), b.column(at[group]).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), cells)], names=[*names, "grp", "x"])
+
+        schema = T.StructType([*keys, T.StructField("grp", T.StringType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+        out = cut(plain.mapInArrow(run, schema))  # else every later plan is analysed with the columns of the scan
+        return VectorLayer(out, group, tuple(features), tuple(names), name)
+
+    def with_df(self, df: DataFrame, features: Sequence[str] | None = None) -> VectorLayer:
+        return replace(self, df=df, features=tuple(features) if features is not None else self.features)
+
+    def long(self, key: str | None = None) -> DataFrame:
+        """(layer, sample_id, grp, feature, feature_ix, value): ``feature`` is the index as a string."""
+        cells = self.df.select(F.lit(self.name).alias("layer"), q(key or self.keys[0]).cast("string").alias("sample_id"), "grp", F.posexplode("x").alias("feature_ix", "value"))
+        return cells.select("layer", "sample_id", "grp", F.col("feature_ix").cast("string").alias("feature"), "feature_ix", "value")
+
+    def vectors(self, *keep: str) -> DataFrame:
+        return self.df.select(*[q(k) for k in (keep or self.keys)], "grp", "x")

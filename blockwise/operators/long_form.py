@@ -6,10 +6,12 @@ pruned as rows by a semi join, so no plan grows with the number of features.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.operators.preprocess import MAX_DOUBLE, Config, log_of
+from blockwise.operators.layer import VectorLayer, q
+from blockwise.operators.preprocess import MAX_DOUBLE, Config, Log, log_of
 
 _KEY = ["layer", "feature"]
 
@@ -67,3 +69,17 @@ def preprocess(cells: DataFrame, config: Config) -> DataFrame:
     if config.handle_negatives:
         out = shift_negative(out)
     return quality_check(scale(transform(out, config.transform), config.scaling))
+
+
+def preprocess_vectors(layer: VectorLayer, config: Config, log: Log) -> VectorLayer:
+    """The pipeline on a vector layer; its last key must tell rows apart."""
+    key = layer.keys[-1]
+    log.add("start", "features", len(layer.features))
+    cells = preprocess(layer.long(key), config).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = sorted(r[0] for r in cells.select("feature_ix").distinct().collect())  # at most the layer's features
+    log.add("filters", "features", len(kept))
+    log.add("scale", "method", config.scaling)
+    rows = cells.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_ix", "value"))), lambda c: c["value"]).alias("x"))
+    back = layer.df.drop("x").withColumn("_id", q(key).cast("string"))
+    out = back.join(rows, back._id == rows.sample_id).select(*[back[f"`{c}`"] for c in layer.df.columns if c != "x"], rows.x)
+    return layer.with_df(out, [layer.features[i] for i in kept])

@@ -85,8 +85,7 @@ class PlsDa:
 
         n = F.count(F.lit(1)).over(W.partitionBy())
         fold = F.floor((F.row_number().over(W.orderBy(q(order))) - 1) * cv / n).cast("int")
-        vec = self.layer.with_df(self.layer.df.withColumn("_fold", fold)).df
-        rows = vec.select(*[q(k) for k in self.layer.keys], q(self.layer.group).alias("grp"), F.array(*[q(c) for c in self.layer.features]).alias("x"), F.col("_fold").alias("fold"))
+        rows = self.layer.vectors().withColumn("fold", fold)
         parts = cross_products(rows, width, "fold", totals.basis)
         out = None
         for k, part in parts.items():

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.operators.layer import Layer, q
+from blockwise.operators.layer import Layer, VectorLayer, q
 
 # The guard added before a logarithm, and the limits put in place of infinities.
 EPS = 1e-10
@@ -197,8 +197,12 @@ class Log:
         return spark.createDataFrame(self.rows, "step string, metric string, value string")
 
 
-def preprocess(layer: Layer, config: Config, log: Log | None = None) -> Layer:
-    """The whole pipeline; the result is lazy apart from the two column decisions."""
+def preprocess(layer: Layer | VectorLayer, config: Config, log: Log | None = None) -> Layer:
+    """The whole pipeline; the result is lazy apart from the two column decisions. Vector layers go through the long form."""
+    if isinstance(layer, VectorLayer):
+        from blockwise.operators.long_form import preprocess_vectors
+
+        return preprocess_vectors(layer, config, log or Log())
     log = log or Log()
     log.add("start", "features", len(layer.features))
     out = drop_missing(layer, config.drop_threshold)

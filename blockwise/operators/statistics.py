@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.linalg import Stats
@@ -108,11 +108,18 @@ def _row_space(vectors: DataFrame, width: int, fold: str | None, basis: np.ndarr
     return {int(k): row_stats(x[f == k], y[f == k], classes, basis) for k in np.unique(f)}
 
 
+def literal(values: np.ndarray) -> Column:
+    """A constant array as one parsed expression: thousands of literal columns would take seconds to build."""
+    if not np.isfinite(values).all():
+        return F.array(*map(F.lit, values.tolist()))
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values.tolist()) + ")")
+
+
 def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, out: str, offset: np.ndarray | None = None) -> DataFrame:
     """Adds the array ``out``: (x - mean) . axes [+ offset], by array functions on the JVM."""
-    centred = F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda a, b: a - b)
+    centred = F.zip_with("x", literal(mean), lambda a, b: a - b)
     dots = []
     for j in range(axes.shape[1]):
-        prod = F.zip_with(F.col("_c"), F.array(*map(F.lit, axes[:, j].tolist())), lambda a, b: a * b)
+        prod = F.zip_with(F.col("_c"), literal(axes[:, j]), lambda a, b: a * b)
         dots.append(F.aggregate(prod, F.lit(0.0 if offset is None else float(offset[j])), lambda acc, v: acc + v))
     return vectors.withColumn("_c", centred).withColumn(out, F.array(*dots)).drop("_c")

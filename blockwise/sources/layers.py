@@ -6,21 +6,25 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blockwise.operators.layer import Layer
+from blockwise.operators.layer import WIDE, Layer, VectorLayer
 
 
-def read_csv_layer(spark: SparkSession, path: str, group_col: str = "Groups", sample_col: str | None = None, name: str = "layer") -> Layer:
+def read_csv_layer(spark: SparkSession, path: str, group_col: str = "Groups", sample_col: str | None = None, name: str = "layer") -> Layer | VectorLayer:
     """CSV with a header, quoted names, ``NA`` or empty for missing and an optional byte-order mark.
 
     An unnamed first header becomes ``sample``. String columns besides the label are ids, not
-    features; numeric ones become doubles. Rows keep their file order in ``row_ix`` (an
+    features; numeric ones become doubles (from ``WIDE`` features on, one array). Rows keep their file order in ``row_ix`` (an
     id that is ascending in the file, captured in a one-partition read).
     """
     df = spark.read.csv(path, header=True, inferSchema=True, nullValue="NA", mode="PERMISSIVE").coalesce(1)
     names = [c.lstrip("﻿") for c in df.columns]
     names = ["sample" if c in ("_c0", "") else c for c in names]
     df = df.toDF(*names).withColumn("row_ix", F.monotonically_increasing_id())
+    cells = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in (group_col, sample_col, "row_ix")]
+    if len(cells) >= WIDE:
+        return VectorLayer.from_wide(df, group_col, cells, name)
     return Layer.from_wide(df, group_col, sample_col=sample_col, row_col="row_ix", name=name)
 
 

@@ -199,6 +199,33 @@ def test_multiblock_on_rows_equals_cross_products(spark, monkeypatch):
     assert pred == pred_w
 
 
+def test_vector_layer_equals_wide_layer(spark, tmp_path, monkeypatch):
+    """A scan of WIDE features or more gives one array column; missing cells, a null label and the results are the same."""
+    from blockwise.operators import preprocess
+    from blockwise.operators.layer import VectorLayer
+    from blockwise.operators.pca import Pca
+    from blockwise.operators.plsda import PlsDa
+    from blockwise.sources import layers
+
+    x, y = _wide_case(14, 8)
+    lines = ["id,Groups," + ",".join(f'"f.{j}, `q`"' for j in range(9))]
+    for i, (g, v) in enumerate(zip(y, np.exp(x), strict=True)):
+        cells = ["NA" if (i, j) in ((0, 1), (3, 4)) else repr(float(a)) for j, a in enumerate(v)]
+        lines.append(",".join([f"s{i}", "NA" if i == 5 else str(g), *cells, "1"]))  # the last feature is constant
+    at = tmp_path / "layer.csv"
+    at.write_text("\n".join(lines) + "\n")
+    got = []
+    for wide in (1000, 5):
+        monkeypatch.setattr(layers, "WIDE", wide)
+        layer = preprocess.preprocess(layers.read_csv_layer(spark, str(at), sample_col="id"), preprocess.preset("volatiles"))
+        m = PlsDa.fit(layer, 2)
+        got.append((layer, Pca.fit(layer, 3), m, {q["id"]: q["pred"] for q in m.cross_validate().collect()}))
+    (a, pca, pls, pred), (b, pca_w, pls_w, pred_w) = got
+    assert isinstance(b, VectorLayer) and b.features == a.features and len(a.features) == 8
+    assert pca.loadings == pytest.approx(pca_w.loadings, abs=1e-9) and pca.ratio == pytest.approx(pca_w.ratio)
+    assert pls.model.vip() == pytest.approx(pls_w.model.vip()) and pred == pred_w and len(pred) == 13
+
+
 def test_soft_keep_is_exact():
     a = np.array([3.0, -2.0, 1.0, 1.0])
     for k in (1, 2, 3):
