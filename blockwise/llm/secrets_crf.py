@@ -388,10 +388,12 @@ def _suspects(block: Block) -> np.ndarray:
     """Documents that may have a base span: a long hex run, AKIA, or a keyword."""
     n = block.n_bytes
     out = np.zeros(block.n_docs, dtype=bool)
-    hexa = np.zeros(n + 2, dtype=bool)
-    hexa[1:-1] = _HEXCH[block.buf[:n]]
-    edge = np.flatnonzero(hexa[1:] != hexa[:-1])
-    long = edge[0::2][edge[1::2] - edge[0::2] >= 16]
+    hexa = _HEXCH[block.buf[:n]]
+    edge = np.zeros(n + 1, dtype=bool)  # documents lie end to end, so a run also ends where its document does
+    edge[block.offsets] = True
+    edge[1:-1] |= hexa[1:] != hexa[:-1]
+    cut = np.flatnonzero(edge)
+    long = cut[:-1][(np.diff(cut) >= 16) & hexa[cut[:-1]]]
     data = block.buf[:n].tobytes()
     low = data.lower()
     found = [long]

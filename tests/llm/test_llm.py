@@ -267,6 +267,14 @@ def test_secret_scan(spark):
     assert secrets_crf.scan(df.limit(0)).count() == 0
 
 
+def test_hex_run_over_the_edge_of_documents(spark):
+    texts = ["some code", "deadbeef" * 4 + " tail", "0123abcd", "0123abcd", "", "f" * 16]
+    block = next(textblocks.blocks(pa.array(texts)))
+    assert secrets_crf._suspects(block).tolist() == [False, True, False, False, False, True]
+    got = {d: s for d, _, s in secrets_crf.block_spans(block, secrets_crf.trained())}
+    assert (0, 32, "hex") in got[1] and (0, 16, "hex") in got[5]
+
+
 def test_crf_finds_secrets_and_decoding_is_exact():
     model = secrets_crf.trained()
     texts = [t for t, _ in secrets_crf.training_texts(200, seed=21)]
