@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -411,6 +412,34 @@ _HEXCH = np.zeros(256, dtype=bool)
 _HEXCH[list(b"0123456789abcdef")] = True
 
 
+_NAME = string.ascii_letters + string.digits + "_$.-[]\"'({"
+_ENDS = "\"'`,;:.()[]{}<> \t\n\v\f\r"
+
+
+def uncovered(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What a CRF span adds to the base spans (sorted by start): all of it, or the rests beside those it touches.
+
+    Quotes and stops at the ends of a rest are not part of it, nor is the name before a base span
+    (``client_`` of ``client_secret=...``, ``id=`` of ``id=<hex>``), nor are mere marks after a closing quote.
+    """
+    out: list[tuple[int, int]] = []
+    at = start
+    for x, y, kind in [*((x, y, k) for x, y, k in base if x < end and y > start), (end, end, "")]:
+        if x > at:
+            rest = text[at:x]
+            if kind == "assign":
+                rest = rest.rstrip(_NAME).rstrip("&;,?|")
+            elif kind and rest.rstrip("\"'").endswith(("=", ":")) and not rest.rstrip("\"'").endswith("=="):
+                rest = rest.rstrip("\"'").rstrip(":=").rstrip(_NAME).rstrip("&;,?|")
+            short = rest.strip(_ENDS) if at > start or x < end else rest
+            closed = rest[0:1] in ("'", '"') and at > start and not any(c.isalnum() for c in short)
+            if short and not closed:
+                s = at + rest.index(short)
+                out.append((s, s + len(short)))
+        at = max(at, y)
+    return out
+
+
 def block_spans(block: Block, model: Crf) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
     """(document, text, all spans) of each document with a span; offsets are code points."""
     tagged = crf_words(block, model)
@@ -425,8 +454,7 @@ def block_spans(block: Block, model: Crf) -> Iterator[tuple[int, str, list[tuple
         for a, b in tagged.get(d, ()):
             s = len(raw[:a].decode("utf-8", "replace"))
             e = s + len(raw[a:b].decode("utf-8", "replace"))
-            if not any(s < y and x < e for x, y, _ in base):  # base spans stay; the method adds what they miss
-                spans.append((s, e, "crf"))
+            spans += [(x, y, "crf") for x, y in uncovered(text, s, e, base)]
         if spans:
             yield d, text, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -302,6 +302,22 @@ def test_masking(spark):
     assert got == {1: ('key token = "[SECRET]" end', 26), 2: ("plain", 5), 3: (None, None)}
 
 
+def test_crf_spans_reach_beyond_base_spans(spark):
+    base = lambda t: secrets_crf.base_spans(t)
+    rest = lambda t, s, e: [t[a:b] for a, b in secrets_crf.uncovered(t, s, e, base(t))]
+    t = 'password: "Abcdef123456!Zq9xyz7Lm@Kw" x'
+    assert rest(t, 11, 36) == ["!Zq9xyz7Lm@Kw"] and rest(t, 11, 20) == [] and rest("Zq9xyz7Lm", 0, 9) == ["Zq9xyz7Lm"]
+    for t in ("client_secret=abcdefghijklmnop", "id=" + "0a" * 10, "a_token=abcdefghijkl&b_token=abcdefghijkl", 'token="abcdefghijkl"###'):
+        assert rest(t, 0, len(t)) == []
+    assert rest("Zq9xyz7Lm==" + "0a" * 10 + "X7", 0, 33) == ["Zq9xyz7Lm==", "X7"]
+    first, second = "Ab3dE6gH9jK2mN5pQ8sT1vW4", "Zx9Cv8Bn7Mq6Wl5Er4Ty3Ui2"
+    texts = [f'the password: "{first}!Zq9xyz7Lm@Kw" end', f"the token = {first} {second} end"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in secrets_crf.mask(df).collect()}
+    assert "Zq9xyz7Lm" not in got[0] and second not in got[1] and got[0].endswith("end") and got[1].endswith(" end")
+    assert {r["doc_id"]: (r["n_assign"], r["n_crf"]) for r in secrets_crf.scan(df).collect()} == {0: (1, 1), 1: (1, 1)}
+
+
 # --- 5 ---
 
 
