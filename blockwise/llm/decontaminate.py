@@ -12,6 +12,10 @@ these bounds reach the threshold. Opened blocks are scored exactly, so
 every item at or above the threshold is retrieved. Retrieved pairs are verified by the
 share of the item's 5-word shingles that the document holds, over the whole item and
 apart for its question (all but the last sentence) and answer (the last sentence).
+A pair leaks if the document holds enough of the whole item, or nearly all of a question that is long
+enough to be specific. An answer needs no rule of its own: where it is most of the item, the whole is held
+with it, and a short answer alone names no item. Items with a small question have their impacts raised, so
+that the question alone reaches the threshold.
 
 The index reaches every task, so it is built from at most ``index_bytes`` of items
 at a time; larger benchmarks are handled block of items by block of items, each
@@ -33,6 +37,10 @@ from blockwise.llm.textblocks import Block, blocks, combine, word_hashes, words
 
 K1, B_LEN = 1.2, 0.75
 SHINGLE = 5
+#: A question of so many shingles leaks by itself if the document holds this share of them.
+QUESTION_SHINGLES, QUESTION_SHARE = 8, 0.9
+#: An item is retrieved at this part of the BM25 weight of its question (as 0.35 of the weight is for half of the item).
+QUESTION_WEIGHT = 0.7
 #: Items are put into at most so many blocks for the upper bounds.
 MAX_BLOCKS = 32
 _ANSWER = re.compile(r"[^.!?\n]*[.!?]*\s*$")
@@ -62,6 +70,11 @@ class Index:
         idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B_LEN + B_LEN * size[item] / max(size.mean(), 1)))
         impact /= np.maximum(np.bincount(item, impact, len(items)), 1e-12)[item]
+        cut = np.array([self._question(t, n) for (_, t), n in zip(items, size.tolist(), strict=True)])
+        asked = np.unique(np.concatenate([i * len(self.vocab) + np.searchsorted(self.vocab, per[i][:c]) for i, c in enumerate(cut.tolist())]))
+        share = np.bincount(item, impact * np.isin(key, asked), len(items))
+        self.raised = np.where(cut >= QUESTION_SHINGLES + SHINGLE - 1, np.maximum(threshold / np.maximum(share * QUESTION_WEIGHT, 1e-12), 1), 1.0)
+        impact *= self.raised[item]
         self.n_blocks = min(MAX_BLOCKS, len(items))
         self.block_of = np.arange(len(items)) * self.n_blocks // len(items)
         self.bounds = np.zeros((len(self.vocab), self.n_blocks), dtype=np.float32)
@@ -70,23 +83,34 @@ class Index:
         self.posting = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
         self.post_item, self.post_impact = item[order], impact[order]
         self.item_term, self.item_impact, self.by_item = term, impact, np.searchsorted(item, np.arange(len(items) + 1))
-        self.grams, self.gram_ends, self.k = [], [], []
+        self.grams, self.gram_ends, self.k, self.asked = [], [], [], []  # asked: shingles wholly in the question
         for i, (_, text) in enumerate(items):
             words_ = len(per[i])
             k = min(SHINGLE, words_)
             grams = _shingles(per[i], k) if k else np.zeros(0, np.uint64)
-            answer = _ANSWER.search((text or "").rstrip())
-            n_answer = len((answer[0] if answer else "").split())
-            question = max(words_ - n_answer, 0)
+            question = int(cut[i])
             self.grams.append(grams)
             self.gram_ends.append(np.arange(len(grams)) + (k - 1) // 2 >= question if 0 < question < words_ else np.zeros(len(grams), bool))
+            self.asked.append(max(question - k + 1, 0) if question < words_ else 0)
             self.k.append(k)
         seen = np.zeros(1 << 16, dtype=bool)
         seen[(self.vocab >> np.uint64(48)).astype(np.int64)] = True
         self.seen = seen
 
-    def search(self, block: Block) -> Iterator[tuple[int, int, float, float, float, float]]:
-        """(document of the block, item, score, overlap, question overlap, answer overlap) of every verified-or-not retrieved pair."""
+    @staticmethod
+    def _question(text: str | None, n_words: int) -> int:
+        """Words before the answer."""
+        answer = _ANSWER.search((text or "").rstrip())
+        return max(n_words - len((answer[0] if answer else "").split()), 0)
+
+    def leaked(self, block: Block, min_overlap: float) -> Iterator[tuple[int, int, float, float, float, float]]:
+        """The retrieved pairs that leak, by the whole item or by its question."""
+        for *g, asked in self.search(block):
+            if g[3] >= min_overlap or self.asked[g[1]] >= QUESTION_SHINGLES and asked >= QUESTION_SHARE:
+                yield tuple(g)
+
+    def search(self, block: Block) -> Iterator[tuple[int, int, float, float, float, float, float]]:
+        """(document of the block, item, score, overlap, question overlap, answer overlap, overlap of the shingles wholly in the question) of every retrieved pair."""
         w = words(block)
         h = word_hashes(block, w, latin=True)
         if not len(h):
@@ -154,7 +178,8 @@ class Index:
                 grams[d, k] = np.unique(_shingles(h[w.first[d] : w.first[d + 1]], k))
             there = np.isin(self.grams[i], grams[d, k])
             answer = self.gram_ends[i]
-            yield d, i, score, float(there.mean()), float(there[~answer].mean()) if (~answer).any() else 0.0, float(there[answer].mean()) if answer.any() else 0.0
+            asked = there[: self.asked[i]]
+            yield d, i, score / self.raised[i], float(there.mean()), float(there[~answer].mean()) if (~answer).any() else 0.0, float(there[answer].mean()) if answer.any() else 0.0, float(asked.mean()) if len(asked) else 0.0
 
 
 def _item_blocks(items: DataFrame, index_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -174,7 +199,7 @@ def leaks(
 ) -> DataFrame:
     """One row per leaked pair: id, item_id, score, overlap, question_overlap, answer_overlap.
 
-    A pair leaks when the document holds at least ``min_overlap`` of the item's shingles.
+    A pair leaks when the document holds at least ``min_overlap`` of the item's shingles, or nearly all of a specific question.
     Null or empty texts and items match nothing, repeated rows give repeated pairs, an empty
     benchmark or corpus gives an empty result.
     """
@@ -190,7 +215,7 @@ def leaks(
             index, item_type = shared.value, None
             for b in batches:
                 for block in blocks(b.column(1)):
-                    got = [g for g in index.search(block) if g[3] >= min_overlap]
+                    got = list(index.leaked(block, min_overlap))
                     if got:
                         yield pa.RecordBatch.from_arrays(
                             [b.column(0).take(pa.array([block.first + g[0] for g in got])), pa.array([index.ids[g[1]] for g in got], item_type), *(pa.array([g[j] for g in got], pa.float64()) for j in range(2, 6))],
@@ -212,7 +237,7 @@ def drop_leaked(docs: DataFrame, items: DataFrame, threshold: float = 0.35, min_
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
                 for block in blocks(b.column(at)):
-                    keep[[block.first + g[0] for g in shared.value.search(block) if g[3] >= min_overlap]] = False
+                    keep[[block.first + g[0] for g in shared.value.leaked(block, min_overlap)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -354,6 +354,18 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), b).count() == 0
 
 
+def test_a_question_alone_leaks(spark):
+    r = random.Random(12)
+    asked = [prose(r, n) for n in (20, 14, 6, 20)]
+    items = [(i, q + "? " + prose(r, n) + ".") for i, (q, n) in enumerate(zip(asked, (40, 150, 30, 10), strict=True))]
+    docs = [(i, prose(r, 60) + " " + q + "? " + prose(r, 300)) for i, q in enumerate(asked)] + [(9, prose(r, 30) + " " + " ".join(asked[0].split(" ")[:9]) + " " + prose(r, 30))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.leaks(d, b).collect()}
+    assert set(got) == {(0, 0), (1, 1), (3, 3)}  # 6 words are too few to be specific, 9 of 20 are not the question
+    assert got[0, 0]["overlap"] < 0.5 and got[1, 1]["overlap"] < 0.1 and got[1, 1]["answer_overlap"] == 0
+    assert {x["doc_id"] for x in decontaminate.drop_leaked(d, b).collect()} == {2, 9}
+
+
 def test_block_bounds_lose_nothing():
     """All items at or above the threshold come back, compared with scoring every passage exactly."""
     r = random.Random(4)
