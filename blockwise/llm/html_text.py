@@ -2,7 +2,9 @@
 
 A forgiving tokenizer builds the element tree. Elements that never hold article
 text (menus, headers and footers of the page, sidebars, forms, notices, adverts,
-comments, scripts, styles ...) are cut by tag, role, or words of class and id.
+comments, scripts, styles ...) are cut by tag, role, or words of class and id. Such
+a word, a role or a form does not cut what holds the page's only article or most of its
+paragraphs, and nothing is cut by it if no text is left.
 Every remaining paragraph passes points (one, plus its commas, plus one per
 hundred characters up to three) to its ancestors: all to the parent, half to the
 grandparent, a third, a quarter ... further up. A container's score is reduced
@@ -44,6 +46,12 @@ DROP_WORD = re.compile(
     r"paywall|popup|promo|promotion|promoted|reader-comments|recommended|related|reply|replies|respond|search|share|sharing|sidebar|side-bar|signup|site-header|page-header|"
     r"skip|skip-link|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets)(?=$|[\s_-]|\d)"
 )
+#: Words that name what readers write; the points of their paragraphs are no sign of an article.
+READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reader-comments|reply|replies|respond)(?=$|[\s_-]|\d)")
+#: Elements of DROP that may also enclose a whole page.
+WRAPPER = frozenset("form fieldset".split())
+HEAD_ONLY = frozenset("html head base link meta title style script noscript template".split())
+KEPT, NAMED, READER, CUT = range(4)
 TAG_BONUS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": 0.0}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -52,36 +60,43 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "kids", "why", "dropped", "score", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, why: int = KEPT):
+        self.tag, self.parent, self.why = tag, parent, why
+        self.dropped = why > KEPT or parent is not None and parent.dropped
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.chars = self.link_chars = 0
 
 
-def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attrs: str, inside_article: bool) -> int:
+    """KEPT, or how the element is dropped: NAMED and READER by a name that may mislead, CUT for good."""
+    why = KEPT
     if tag in DROP or (tag == "header" and not inside_article):
-        return True
+        if tag not in WRAPPER:
+            return CUT
+        why = NAMED
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower() and "hidden" not in attrs.lower():
-        return False
+        return why
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if DROP_WORD.search(_CAMEL.sub("-", value).lower()):
-                return True
+            words = _CAMEL.sub("-", value).lower()
+            if DROP_WORD.search(words):
+                why = max(why, READER if READERS.search(words) else NAMED)
         elif name == "role" and value.lower() in DROP_ROLE:
-            return True
+            why = max(why, NAMED)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+            return CUT
+    return why
 
 
 def parse(page: str) -> Node:
     """The element tree; unclosed and stray tags are resolved as browsers do in the common cases."""
-    root = node = Node("#root", None, False)
-    at, article = 0, 0
+    root = node = Node("#root", None)
+    head, heads = None, 0  # the open head, heads and bodies so far
+    at = 0
     search = _TOKEN.search
     n = len(page)
     while at < n:
@@ -90,6 +105,8 @@ def parse(page: str) -> Node:
             node.kids.append(html.unescape(page[at:]))
             break
         if m.start() > at:
+            if node is head and page[at : m.start()].strip():
+                node, head = head.parent, None
             node.kids.append(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m[2]
@@ -105,7 +122,18 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not root:
                 node = up.parent
+                if name in ("head", "html"):
+                    head = None
             continue
+        if name == "head" and heads:
+            continue
+        if head is not None and name not in HEAD_ONLY:  # the end tag of head may be left out
+            up = node
+            while up is not head and up is not root and (name == "body" or up.tag not in ("noscript", "template")):
+                up = up.parent
+            if up is head or up is root:
+                node, head = head.parent, None
+        heads += name in ("head", "body")
         if name in CLOSES_P:
             up = node
             while up is not root and up.tag != "p" and up.tag not in SCOPE:
@@ -121,7 +149,7 @@ def parse(page: str) -> Node:
                     up = up.parent
                 node = up.parent
         if name == "br":
-            node.kids.append(Node("br", node, False))
+            node.kids.append(Node("br", node))
             continue
         attrs = m[3]
         up, inside = node, False
@@ -131,7 +159,7 @@ def parse(page: str) -> Node:
                     inside = True
                     break
                 up = up.parent
-        child = Node(name, node, node.dropped or _unwanted(name, attrs, inside))
+        child = Node(name, node, _unwanted(name, attrs, inside))
         node.kids.append(child)
         if name in VOID or attrs.endswith("/") and name in ("svg", "path", "circle"):
             continue
@@ -142,9 +170,34 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         node = child
+        if name == "head":
+            head = child
     return root
 
 
+def restore(root: Node, everything: bool = False) -> None:
+    """Takes back drops by name: of what holds the page's only article or most of its paragraph points, or of ``everything``."""
+    order: list[Node] = [root]
+    for x in order:
+        order += [k for k in x.kids if isinstance(k, Node) and k.why != CUT]
+    if not any(x.why for x in order):
+        return
+    points: dict[int, float] = {}
+    holds: dict[int, bool] = {}
+    for x in [] if everything else reversed(order):
+        kids = [k for k in x.kids if isinstance(k, Node) and id(k) in points]
+        own = "".join(k for k in x.kids if isinstance(k, str)).strip() if x.tag != "a" else ""
+        points[id(x)] = sum(points[id(k)] for k in kids) + bool(own and x.tag in BLOCK) + own.count(",") + min(len(own) / 100, 3.0)
+        holds[id(x)] = any(holds[id(k)] or k.tag in ("article", "main") and k.why == KEPT and points[id(k)] > 0 for k in kids)
+    outside = any(x.tag in ("article", "main") and not x.dropped and points.get(id(x), 0) > 0 for x in order)
+    for x in order:  # parents come first
+        if x.why and not (x.parent is not None and x.parent.dropped):
+            most = x.why == NAMED and 2 * points.get(id(x), 0) > points.get(id(root), 0)
+            if everything or not outside and x.tag not in ("article", "main") and (x.why == NAMED and holds[id(x)] or most):
+                x.why = KEPT
+        x.dropped = x.why > KEPT or x.parent is not None and x.parent.dropped
+
+
 def _measure(root: Node) -> list[Node]:
     """Fills chars, link_chars and scores; returns the kept elements in page order."""
     order: list[Node] = []
@@ -201,6 +254,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    restore(root)
+    text = _best_text(root)
+    if not text:
+        restore(root, everything=True)
+        text = _best_text(root)
+    return text
+
+
+def _best_text(root: Node) -> str:
     order = _measure(root)
     best = max(order, key=lambda x: x.score, default=root)  # the first of equals
     if best.score <= 0:

@@ -454,6 +454,19 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><body><article><p>{}</p></article>", "<head><title>t</title><meta charset=x><p>{}</p>", "<body><head><p>{}</p>",
+    "<head><noscript><p>Turn it on</p></noscript></head><body><p>{}</p>", "<div class='site has-sidebar'><div class='sidebar'>side</div><article><p>{}</p></article></div>",
+    "<div class='layout no-sidebar'><main><p>{}</p></main></div>", "<div class='elementor-widget'><div class=ad>buy</div><p>{}</p></div><p>x</p>", "<form id=f><input><article><p>{}</p></article></form>",
+    "<article><p>{}</p></article><div id='comments'><article><p>I agree, it is so, it is, it is, it is.</p></article></div>", "<div id=content><p>{}</p></div><div class='comments'>" + "<p>I, too, agree, as ever.</p>" * 50 + "</div>",
+    "<div class='comments'><p>{}</p></div>",
+])
+def test_wrappers_and_open_heads_keep_the_article(page):
+    body = "Text of the page, with commas, and with words enough to count for points."
+    got = html_text.main_text(page.format(body))
+    assert got.replace(" x", "") == body
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>"), (2, None, None), (1, "u", "<div>" * 3000 + "deep" + "</div>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(df).collect()]
