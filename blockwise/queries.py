@@ -515,18 +515,18 @@ def _small_vectors(spark, sf) -> DataFrame:
 
 @query("e05_permutation_test")
 def e05t(spark, sf):
-    return resample.permutation_test(_small_vectors(spark, sf), resample.CentroidModel, 50, "stratified")[0]
+    return resample.permutation_test(_small_vectors(spark, sf), resample.CentroidModel, strategy="stratified")[0]
 
 
 @query("e06_bootstrap")
 def e06t(spark, sf):
-    return resample.bootstrap_interval(resample.bootstrap(_small_vectors(spark, sf), resample.CentroidModel, 100))
+    return resample.bootstrap_interval(resample.bootstrap(_small_vectors(spark, sf), resample.CentroidModel))
 
 
 @query("e07_stability_rounds")
 def e07t(spark, sf):
     v = embeddings(spark, sf)
-    return resample.stability(resample.stability_rounds(v.vectors(), list(v.features), n_rounds=30), 30)
+    return resample.stability(resample.stability_rounds(v.vectors(), list(v.features), n_rounds=100), 100)
 
 
 @query("e08_compare_models")
@@ -645,7 +645,7 @@ def e11(spark, sf):
 
 @query("e12_diablo_permutation")
 def e12(spark, sf):
-    return diablo_validation.permutation_error_test(*_halves(spark, sf), 20, 1, strategy="stratified")
+    return diablo_validation.permutation_error_test(*_halves(spark, sf), n_components=1, strategy="stratified")
 
 
 @query("f04_keepx_tuning")

@@ -45,3 +45,17 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["d01_pca_embeddings", "d07_plsda_embeddings", "d10_plsda_loo", "f01_diablo", "e08_compare_models", "b24_config_sweep"])
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("name", "column", "n"), [("e05_permutation_test", "n_permutations", 1000), ("e12_diablo_permutation", "n_permutations", 50)])
+def test_resampling_queries_run_in_full(spark, name, column, n):
+    assert QUERIES[name](spark, SF).first()[column] == n
+
+
+def test_stability_rounds_run_in_full(spark):
+    for r in QUERIES["e07_stability_rounds"](spark, SF).collect():
+        assert r["Selection_Frequency"] == pytest.approx(r["Times_Selected"] / 100)
+
+
+def test_bootstrap_runs_in_full(spark):
+    assert QUERIES["e06_bootstrap"](spark, "/root/testdata/sf0.01").first()["n_bootstrap"] == 1000
