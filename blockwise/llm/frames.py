@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +58,33 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores until no column has it (column names are compared without case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def tree_merge(rows: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str, fan: int = 64) -> DataFrame:
+    """(part, task, bits) -> one row per part: arrays merged ``fan`` tasks at a time, so no group grows with the number of tasks.
+
+    ``rows`` is read more than once, so it should be a saved table.
+    """
+
+    def merge(g: pa.Table) -> pa.Table:
+        out = None
+        for x in g.column("bits"):
+            one = np.frombuffer(x.as_buffer(), dtype)
+            out = one.copy() if out is None else combine(out, one)
+        return pa.table({"part": g.column("part").slice(0, 1), "task": g.column("level").slice(0, 1), "bits": pa.array([out.tobytes()])})
+
+    tasks = rows.agg(F.max("task")).first()[0]
+    while tasks is not None:
+        tasks //= fan
+        dealt = rows.select("part", F.expr(f"cast(task div {fan} as int)").alias("level"), "bits")
+        rows = dealt.groupBy("part", "level").applyInArrow(merge, "part int, task int, bits binary")
+        if not tasks:
+            break
+        rows = saved(rows, "merge")
+    return rows

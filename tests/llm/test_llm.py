@@ -207,27 +207,74 @@ def brute_components(rows):
     return out
 
 
-@pytest.mark.parametrize("small", [24, 3])
-def test_jaccard_components_equal_brute_force(docs, rows, monkeypatch, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
+@pytest.mark.parametrize("limits", [jaccard_join.Limits(), jaccard_join.Limits(small=3), jaccard_join.Limits(small=3, hot=8, side=16)])
+def test_jaccard_components_equal_brute_force(docs, rows, limits):
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, limits=limits).collect())
     assert got == brute_components(rows)
 
 
-def test_long_lists_in_blocks(rows, monkeypatch):
-    """Lists beyond SIDE are compared block against block; nothing between components is lost."""
+def test_salted_parts_of_a_hot_list():
+    """One n-gram, salted: every class is a member, each part has a star and a centre, and centres are joined."""
+    r = np.random.default_rng(3)
+    n, t = 100, np.uint64(77)
+    names, sizes = r.permutation(10_000)[:n].astype("<i8"), r.integers(90, 100, n).astype("<u4")
+    parts = []
+    for i in range(4):
+        at = np.arange(i, n, 4)
+        raw = b"".join(x.tobytes() for x in (np.full(len(at), t), names[at], sizes[at], np.full(len(at), jaccard_join._SALTED), r.random(len(at)).astype("<f4")))
+        parts.append(jaccard_join.candidates(pa.table({"part": [i], "postings": [raw]}), 3).to_pandas())
+    for i, p in enumerate(parts):
+        member = p[p["b"].isna() & p["centre"].isna()]
+        assert set(member["a"]) == set(names[i::4].tolist()) and (member["token"] == 77).all()
+        assert p["centre"].notna().sum() == 1 and p["b"].notna().sum() == 24
+
+
+def test_long_lists_are_compared_in_groups(spark):
+    """Whatever the blocks, nothing between components is lost, and the largest component is not compared with itself."""
     r = np.random.default_rng(0)
-    n = 40
-    sets = [np.unique(r.integers(0, 60, 50)).astype(np.uint64) for _ in range(n)]
-    prof = [np.bincount(s.astype(int), minlength=jaccard_join.PROFILE).astype("<u4").tobytes() for s in sets]
-    rows_ = {(min(a, b), max(a, b)) for i in range(n) for a in [i % 4] for b in range(4)}
-    got = set()
-    for g0, g1 in rows_:
-        at = [i for i in range(n) if i % 4 in (g0, g1)]
-        t = pa.table({"set_id": pa.array(at, pa.int64()), "root": pa.array(at, pa.int64()), "n": pa.array([len(sets[i]) for i in at], pa.int64()), "block": pa.array([i % 4 for i in at], pa.int64()), "profile": [prof[i] for i in at]})
-        got |= {(x["a"], x["b"]) for x in jaccard_join._across(t).to_pylist()}
-    want = {(a, b) for b in range(n) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    assert want <= got
+    sets = [np.unique(r.integers(0, 60, 50)).astype(np.uint64) for _ in range(40)]
+    sets += [np.unique(np.concatenate([sets[i], r.integers(60, 90, 8)])).astype(np.uint64) for i in range(10)]
+    rows = [(7, i, 99 if i < 25 else i, len(s), np.bincount(s.astype(int), minlength=jaccard_join.PROFILE).astype("<u4").tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "token long, set_id long, root long, n long, profile binary")
+    link = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for b in range(50) for a in range(b) if not (a < 25 and b < 25) and link(a, b)}
+    assert want
+    for side in (4, 1000):
+        dealt = jaccard_join.comparisons(df, side)
+        assert dealt.groupBy("token", "lb", "l", "rb", "r").count().agg(F.max("count")).first()[0] <= (200 if side == 1000 else 30)
+        got = {(x["a"], x["b"]) for x in dealt.groupBy("token", "lb", "l", "rb", "r").applyInArrow(jaccard_join.across, "a bigint, b bigint, na bigint, nb bigint").collect()}
+        assert want <= got and not any(a < 25 and b < 25 for a, b in got)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_one_per_group_keeps_one_row_of_each_component(spark, broadcast_bytes):
+    r = random.Random(15)
+    a, b, c, d, e = (prose(r, 80) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, a), (1, a), (5, a), (5, near(b)), (7, b), (9, b), (None, a), (None, c), (None, near(c)), (None, c), (3, d), (4, ""), (4, ""), (None, " "), (8, None), (6, e.upper()), (6, e), (2, "few words"), (12, "few words")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _set string, _row long")
+    got = jaccard_join.one_per_group(df, broadcast_bytes=broadcast_bytes)
+    assert got.columns == df.columns
+    got = sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr)
+    first_c = [t for t in (c, near(c)) if (None, t) in got]
+    assert len(first_c) == 1
+    six = [t for t in (e, e.upper()) if (6, t) in got]
+    assert len(six) == 1
+    want = [(1, a), (5, near(b)), (None, first_c[0]), (3, d), (4, ""), (4, ""), (None, " "), (8, None), (6, six[0]), (2, "few words")]
+    assert got == sorted(want, key=repr)
+    assert jaccard_join.one_per_group(df.limit(0)).count() == 0
+    alone = df.where("doc_id in (3, 8)")
+    assert jaccard_join.one_per_group(alone).count() == 2
+
+
+def test_tree_merge(spark):
+    from blockwise.llm import frames
+
+    rows = spark.createDataFrame([(p, t, np.array([t, p], dtype="<u4").tobytes()) for p in range(3) for t in range(50)], "part int, task int, bits binary")
+    got = {r["part"]: np.frombuffer(r["bits"], "<u4").tolist() for r in frames.tree_merge(rows, np.add, "<u4", fan=4).collect()}
+    assert got == {p: [sum(range(50)), 50 * p] for p in range(3)}
+    assert frames.tree_merge(rows.limit(0), np.add, "<u4").count() == 0
+    assert frames.fresh_name("a", ["A", "a_"]) == "a__"
 
 
 def test_components_of_a_path(spark):
