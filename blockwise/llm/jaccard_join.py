@@ -193,7 +193,7 @@ def _postings(docs: DataFrame, sketch: Broadcast, parts: int, hot: int, text_col
                     first = np.argsort(freq, kind="stable")[: prefix_length(n)]  # sets are sorted by hash
                     held.append((s[first], name, n, float(freq.mean())))
                     size += len(first)
-                if size > 1 << 21:
+                if size > 1 << 19:
                     yield flush()
                     size = 0
         if held:
@@ -237,14 +237,19 @@ def candidates(g: pa.Table, small: int) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     size = np.diff(np.append(start, len(t)))
     long = (size > small) | salted[start]
-    left, right = [], []
+    left, right, member, centres = [], [], [], []
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        ok = _passes(n[x], n[y], p[x], p[y])
+        left.append(x[ok])
+        right.append(y[ok])
+
     for m in range(2, small + 1):
         rows = start[size == m]
-        if len(rows):
-            i, j = np.triu_indices(m, 1)
-            left.append((rows[:, None] + i).ravel())
-            right.append((rows[:, None] + j).ravel())
-    member, centres = [], []
+        i, j = np.triu_indices(m, 1)
+        step = max((1 << 18) // len(i), 1)  # most pairs fall here, so they are filtered a few lists at a time
+        for lo in range(0, len(rows), step):
+            add((rows[lo : lo + step, None] + i).ravel(), (rows[lo : lo + step, None] + j).ravel())
     for a, m in zip(start[long].tolist(), size[long].tolist(), strict=True):
         at = np.arange(a, a + m)
         centre = at[np.lexsort((s[at], -c[at]))[0]]
@@ -252,16 +257,18 @@ def candidates(g: pa.Table, small: int) -> pa.Table:
             centres.append(centre)
         if m > small:
             rest = at[at != centre]
-            left.append(np.minimum(rest, centre))
-            right.append(np.maximum(rest, centre))
+            add(np.minimum(rest, centre), np.maximum(rest, centre))
         member.append(at)
     none = np.zeros(0, dtype=np.int64)
     left, right, member = (np.concatenate(x) if x else none for x in (left, right, member))
-    ok = _passes(n[left], n[right], p[left], p[right])
-    pairs = np.unique(np.stack([left[ok], right[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-    both = np.unique(np.stack([s[pairs[0]], s[pairs[1]], n[pairs[0]].astype(np.int64), n[pairs[1]].astype(np.int64)]), axis=1)  # s ascends within a list
+    order = np.lexsort((s[right], s[left]))  # s ascends within a list; a pair can share several lists
+    left, right = left[order], right[order]
+    new = np.ones(len(left), dtype=bool)
+    new[1:] = (s[left[1:]] != s[left[:-1]]) | (s[right[1:]] != s[right[:-1]])
+    left, right = left[new], right[new]
+    both = (s[left], s[right], n[left].astype(np.int64), n[right].astype(np.int64))
     one = np.concatenate([member, np.array(centres, dtype=np.int64)])
-    k, m = both.shape[1], len(one)
+    k, m = len(left), len(one)
     return pa.table({
         "token": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(t[one].astype(np.int64))]),
         "a": pa.array(np.concatenate([both[0], s[one]])),
