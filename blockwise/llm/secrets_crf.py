@@ -3,7 +3,8 @@
 Tokens are words. The CRF tags them O (outside), B (begin) or I (inside a secret) from
 their shape, the words around them and two features of the file. It is trained here, on
 labelled sequences made from a fixed seed (secrets in settings and code beside
-look-alikes: numbers, mail and web addresses, table cells, shouted or marked-up prose).
+look-alikes: numbers, mail and web addresses, unique ids, digests of contents, table cells, shouted or
+marked-up prose). All features are computed on whole words, however long.
 
 Decoding is exact Viterbi. A token is *closed* when its score for O exceeds the others by more than any change of
 transitions could gain; every best path then passes it as O, so chains are decoded between
@@ -12,8 +13,10 @@ closed tokens only, and prose costs a table look-up per word.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterable, Iterator
@@ -34,6 +37,8 @@ MIN_ASSIGN = 12
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # Words that stand beside secrets, and openings of well-known kinds of keys.
 BESIDE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "authorization", "bearer", "credential", "credentials", "private_key", "access_key", "secret_key", "client_secret", "passphrase")
+# Words that stand beside ids and digests, which look like keys and are none.
+NAMING = ("id", "uuid", "guid", "commit", "sha", "sha1", "sha256", "sha512", "md5", "hash", "digest", "checksum", "etag", "revision", "rev", "version", "ref", "order", "invoice", "isbn", "integrity", "object", "tree", "parent", "request_id", "trace", "trace_id", "session", "run", "build", "serial", "tracking")
 OPENINGS = (b"ghp_", b"gho_", b"ghs_", b"sk-", b"sk_live_", b"pk_live_", b"rk_live_", b"xoxb-", b"xoxp-", b"glpat-", b"eyJ", b"AIza", b"ya29.", b"ssh-", b"npm_", b"hf_", b"AKIA", b"ASIA")
 
 
@@ -64,7 +69,7 @@ _TRIM[list(b"\"'`,;:.()[]{}<>")] = True
 
 LENGTH_BINS = (4, 8, 12, 16, 20, 28, 40)
 SHAPES = ("lower", "upper", "digit", "keych", "mark", "other", "switches>=3", "switches>=7", "upper_inside", "digits>=4", "plain")
-CONTEXT = ("prev_beside", "prev_sign", "prev2_beside", "next_same_shape", "opening", "at_or_url", "line_start", "own_assign", "beside_in_file", "marked_file")
+CONTEXT = ("prev_beside", "prev_sign", "prev2_beside", "next_same_shape", "opening", "at_or_url", "line_start", "own_assign", "beside_in_file", "marked_file", "prev_naming", "own_naming", "unique_id", "path")
 N_FEATURES = 1 + (len(LENGTH_BINS) + 1) + len(SHAPES) + len(CONTEXT)
 _FIRST_CONTEXT = N_FEATURES - len(CONTEXT)
 
@@ -134,29 +139,34 @@ def context_rows(block: Block, w: Words, h: np.ndarray, codes: np.ndarray, at: n
         i = np.clip(i, 0, n - 1)
         return ok & (i >= w.first[doc]) & (i < w.first[doc + 1])
 
-    def beside(i: np.ndarray) -> np.ndarray:
-        """The word, without quotes and signs at its ends, is one that stands beside secrets."""
+    def one_of(i: np.ndarray, names: frozenset) -> np.ndarray:
+        """The word, without quotes and signs at its ends, is one of these."""
         ok, j = same_doc(i), np.clip(i, 0, n - 1)
         hit = np.zeros(len(i), dtype=bool)
-        for k in np.flatnonzero(ok & (w.end[j] - w.start[j] < 32)):
-            word = buf[w.start[j[k]] : w.end[j[k]]].tobytes().strip(b"\"'`,;:.=()[]{}<>").lower()
-            hit[k] = word in _BESIDE_SET
+        for k in np.flatnonzero(ok).tolist():
+            hit[k] = buf[w.start[j[k]] : w.end[j[k]]].tobytes().strip(_EDGES).lower() in names
         return hit
 
     prev = at - 1
     first_byte, last_byte = buf[w.start[np.clip(prev, 0, n - 1)]], buf[w.end[np.clip(prev, 0, n - 1)] - 1]
-    x[:, c] = beside(prev)
+    x[:, c] = one_of(prev, _BESIDE_SET)
     x[:, c + 1] = same_doc(prev) & ((last_byte == 0x3D) | (last_byte == 0x3A) | (first_byte == 0x3D))
-    x[:, c + 2] = beside(at - 2)
+    x[:, c + 2] = one_of(at - 2, _BESIDE_SET)
     nxt = np.clip(at + 1, 0, n - 1)
     x[:, c + 3] = same_doc(at + 1) & (codes[nxt] == codes[at])
+    x[:, c + 10] = one_of(prev, _NAMING_SET) | one_of(at - 2, _NAMING_SET)
     for k, i in enumerate(at.tolist()):
-        word = buf[w.start[i] : min(w.end[i], w.start[i] + 256)].tobytes()
+        word = buf[w.start[i] : w.end[i]].tobytes()
         bare = word.strip(b"\"'`,;:.()[]{}<>")
         x[k, c + 4] = bare.startswith(OPENINGS)
         x[k, c + 5] = b"@" in word or b"://" in word or word.startswith(b"www.")
         head, sign, tail = bare.replace(b":", b"=", 1).partition(b"=")
-        x[k, c + 7] = bool(sign) and len(tail) >= 8 and head.strip(b"\"'").lower() in _BESIDE_SET
+        name = head.strip(b"\"'").lower()
+        last_part = re.split(rb"[_.-]", name)[-1]
+        x[k, c + 7] = bool(sign) and len(tail) >= 8 and (name in _BESIDE_SET or last_part in _BESIDE_SET)
+        x[k, c + 11] = bool(sign) and (name in _NAMING_SET or last_part in _NAMING_SET)
+        x[k, c + 12] = UNIQUE_ID.search(bare) is not None
+        x[k, c + 13] = bare.startswith((b"/", b"./", b"../", b"~/")) or bare.count(b"/") >= 2 and b"." in bare
     s = w.start[at]
     x[:, c + 6] = (s == 0) | (buf[np.maximum(s - 1, 0)] == 0x0A)
     x[:, c + 8] = beside_file[doc]
@@ -164,7 +174,9 @@ def context_rows(block: Block, w: Words, h: np.ndarray, codes: np.ndarray, at: n
     return x
 
 
-_BESIDE_SET = frozenset(k.encode() for k in BESIDE)
+_BESIDE_SET, _NAMING_SET = (frozenset(k.encode() for k in names) for names in (BESIDE, NAMING))
+_EDGES = b"\"'`,;:.=()[]{}<>"
+UNIQUE_ID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 
 def file_features(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +198,7 @@ def file_features(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, np
 _SYL = "an be con de er fi ga ha in jo ka lo me no or pa qu re so ti un ver wa xi yo za th st nd ble tion".split()
 
 
-def training_texts(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+def training_texts(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """(text, secret word ranges) made from a fixed seed."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
@@ -194,6 +206,18 @@ def training_texts(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[in
     chars = lambda a, lo, hi: "".join(a[int(i)] for i in r.integers(len(a), size=int(r.integers(lo, hi + 1))))
     word = lambda: "".join(pick(_SYL) for _ in range(int(r.integers(1, 6))))
 
+    def uid() -> str:
+        return "-".join(chars(hexa, m, m) for m in (8, 4, 4, 4, 12))
+
+    def digest() -> str:
+        m = pick([7, 8, 10, 32, 40, 64])
+        return chars(hexa, m, m)
+
+    def chosen() -> str:
+        """A password as people choose them: a changed word, digits and marks."""
+        w = word() + word()
+        return w[: int(r.integers(4, 9))].capitalize().replace("o", "0").replace("a", "4") + chars("0123456789", 1, 4) + pick("!&#$%*?@") + chars(alnum, 1, 5)
+
     def secret() -> str:
         return [
             lambda: chars(hexa, 32, 64), lambda: chars(alnum, 20, 48), lambda: pick(["ghp_", "sk-", "sk_live_", "hf_", "npm_", "AIza"]) + chars(alnum, 20, 40),
@@ -211,7 +235,13 @@ def training_texts(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[in
             lambda: [chars("0123456789", 4, 4) for _ in range(4)], lambda: ["".join(word() for _ in range(7)).capitalize() + "."], lambda: [pick(["token", "key"]), "=", word()],
             lambda: [pick(BESIDE) + pick([":", "="]), word() + word()], lambda: [pick(BESIDE), pick(["=", ":"]), '"' + word() + word() + '"'], lambda: ["Authorization:", "Bearer", word()],
             lambda: [word() + pick([".", ","]) for _ in range(3)], lambda: [word().capitalize() + word() + word() + "." for _ in range(2)],
-        ][int(r.integers(23))]()
+            lambda: [uid()], lambda: [pick(NAMING) + pick([":", "=", ""]), uid()], lambda: [pick(NAMING) + pick([":", "=", ""]), digest()], lambda: [pick(NAMING) + pick([":", "="]) + pick([digest, uid])()],
+            lambda: ["https://" + word() + ".example.org/" + word() + "/" + pick([digest, uid])() + pick(["", ".html", "?" + word() + "=" + chars(alnum, 6, 20)])], lambda: [pick(NAMING), pick([":", "="]), '"' + pick([digest, uid])() + '"'],
+            lambda: ["sha" + pick(["256", "384", "512"]) + "-" + chars(alnum + "+/", 43, 86) + "="], lambda: [pick(["/", "./", "~/"]) + "/".join(word() + pick(["", "_", "-"]) + chars("0123456789", 0, 3) for _ in range(4)) + pick([".py", ".txt", ""])],
+            lambda: [pick(["const", "let", "var", "def", "class"]), word() + word().capitalize() + word().capitalize() + str(int(r.integers(100)))], lambda: [word() + "." + word() + "." + word().capitalize() + word().capitalize() + "Test"], lambda: ["v" + ".".join(chars("0123456789", 1, 2) for _ in range(3)) + "-rc." + chars("0123456789", 1, 1)],
+            lambda: ["10." + chars("0123456789", 4, 4) + "/" + word() + "." + chars("0123456789", 4, 8)], lambda: [":".join(chars(hexa, 1, 4) for _ in range(8))],
+            lambda: ["".join(word().capitalize() for _ in range(int(r.integers(2, 6)))) + chars("0123456789", 0, 2)],
+        ][int(r.integers(37))]()
 
     out = []
     for _ in range(n):
@@ -223,6 +253,8 @@ def training_texts(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[in
                 toks += decoy()
             else:
                 s, q, form, key = secret(), pick(["", '"', "'"]), int(r.integers(5)), pick(BESIDE)
+                if form < 3 and r.random() < 0.25:
+                    s = chosen()
                 if form == 0:
                     toks += [key, pick(["=", ":", ":="]), q + s + q]
                 elif form == 1:
@@ -234,7 +266,7 @@ def training_texts(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[in
                 else:
                     toks += [s]
                 spans.append((len(toks) - 1, len(toks)))
-                if r.random() < 0.15 and form != 2:  # a secret wrapped onto a second word
+                if r.random() < 0.15 and form != 2 and len(s) > 18:  # a secret wrapped onto a second word
                     toks.append(secret())
                     spans[-1] = (spans[-1][0], len(toks))
         out.append((" ".join(toks), spans))
@@ -258,10 +290,10 @@ class Crf:
         t, gain = self.transitions, self.weights[:, 1:] - self.weights[:, :1]
         # What B or I can gain over O by transitions, whatever stands before and after.
         self.slack = np.array([(t[:, x] - t[:, 0]).max() + (t[x] - t[0]).max() for x in (1, 2)])
-        # What context can add; openings and assignments need characters that plain words lack.
+        # What context can add; openings, assignments, addresses, ids and paths need characters that plain words lack.
         context = np.clip(gain[_FIRST_CONTEXT:], 0, None)
         self.context_gain = context.sum(0)
-        self.plain_gain = np.delete(context, [CONTEXT.index("opening"), CONTEXT.index("own_assign"), CONTEXT.index("at_or_url")], axis=0).sum(0)
+        self.plain_gain = np.delete(context, [CONTEXT.index(f) for f in ("opening", "own_assign", "own_naming", "at_or_url", "unique_id", "path")], axis=0).sum(0)
         self._open: dict[int, bool] = {}
 
     def may_open(self, codes: np.ndarray) -> np.ndarray:
@@ -297,7 +329,7 @@ class Crf:
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Crf:
-    """Penalised maximum likelihood by Adam over forward-backward, from a fixed seed; about a second of work per process."""
+    """Penalised maximum likelihood by Adam over forward-backward, from a fixed seed; some seconds, once on the driver."""
     made = training_texts()
     x, first = _rows([t for t, _ in made])
     n, longest = len(made), int(np.diff(first).max())
@@ -416,15 +448,28 @@ _NAME = string.ascii_letters + string.digits + "_$.-[]\"'({"
 _ENDS = "\"'`,;:.()[]{}<> \t\n\v\f\r"
 
 
-def uncovered(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """What a CRF span adds to the base spans (sorted by start): all of it, or the rests beside those it touches.
+class BaseSpans:
+    """Base spans, sorted by start, so that those which touch a range are found without a scan."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans = spans
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(itertools.accumulate((e for _, e, _ in spans), max))  # the largest end so far
+
+    def touching(self, start: int, end: int) -> list[tuple[int, int, str]]:
+        lo, hi = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        return [s for s in self.spans[lo:hi] if s[1] > start]
+
+
+def uncovered(text: str, start: int, end: int, base: BaseSpans) -> list[tuple[int, int]]:
+    """What a CRF span adds to the base spans: all of it, or the rests beside those it touches.
 
     Quotes and stops at the ends of a rest are not part of it, nor is the name before a base span
     (``client_`` of ``client_secret=...``, ``id=`` of ``id=<hex>``), nor are mere marks after a closing quote.
     """
     out: list[tuple[int, int]] = []
     at = start
-    for x, y, kind in [*((x, y, k) for x, y, k in base if x < end and y > start), (end, end, "")]:
+    for x, y, kind in [*base.touching(start, end), (end, end, "")]:
         if x > at:
             rest = text[at:x]
             if kind == "assign":
@@ -447,14 +492,15 @@ def block_spans(block: Block, model: Crf) -> Iterator[tuple[int, str, list[tuple
     for d in range(block.n_docs):
         if not suspects[d] and d not in tagged:
             continue
-        raw = block.buf[block.offsets[d] : block.offsets[d + 1]].tobytes()
-        text = raw.decode("utf-8", "replace")
+        raw = block.buf[block.offsets[d] : block.offsets[d + 1]]
+        text = raw.tobytes().decode("utf-8", "replace")
         spans = base_spans(text) if suspects[d] else []
-        base = list(spans)
-        for a, b in tagged.get(d, ()):
-            s = len(raw[:a].decode("utf-8", "replace"))
-            e = s + len(raw[a:b].decode("utf-8", "replace"))
-            spans += [(x, y, "crf") for x, y in uncovered(text, s, e, base)]
+        if d in tagged:
+            base = BaseSpans(list(spans))
+            # Code points that begin before a byte: its offset in the text.
+            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)])
+            for a, b in tagged[d]:
+                spans += [(x, y, "crf") for x, y in uncovered(text, int(point[a]), int(point[b]), base)]
         if spans:
             yield d, text, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -493,7 +539,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def mask(docs: DataFrame, placeholder: str = "[SECRET]", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every secret replaced (of an assignment only its value); ``chars_col``, if there, counts the new text."""
+    """``docs`` with every secret replaced (of an assignment only its value); ``chars_col``, if there, counts the new text.
+
+    Null and empty texts stay as they are, repeated rows are masked one by one, an empty table gives an empty
+    result; all other columns are passed through, whatever their names.
+    """
     names = docs.columns
     at = names.index(text_col)
     chars = names.index(chars_col) if chars_col in names else -1
@@ -521,11 +571,9 @@ def mask(docs: DataFrame, placeholder: str = "[SECRET]", text_col: str = "text",
                 for d, text, spans in block_spans(block, shared.value):
                     changed[block.first + d] = clean(text, spans)
             if changed:
-                rows = pa.array(list(changed))
                 flag = np.zeros(b.num_rows, dtype=bool)
                 flag[list(changed)] = True
                 columns = list(b.columns)
-                del rows
                 columns[at] = pa.compute.replace_with_mask(columns[at], pa.array(flag), pa.array([changed[i] for i in sorted(changed)], columns[at].type))
                 if chars >= 0:
                     columns[chars] = pa.compute.replace_with_mask(columns[chars], pa.array(flag), pa.array([len(changed[i]) for i in sorted(changed)], columns[chars].type))
