@@ -88,7 +88,7 @@ def unit(z: np.ndarray) -> np.ndarray:
 
 
 def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power: float, block: int = 256) -> np.ndarray:
-    """Weighted vote of the k nearest labelled vectors; rows of zeros get the mean label."""
+    """Weighted vote of the k nearest labelled vectors and of all that tie with the k-th; rows of zeros get the mean label."""
     out = np.full(len(z), float(labels.mean()) if len(labels) else 0.5)
     if not len(labels):
         return out
@@ -96,10 +96,11 @@ def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power:
     for at in range(0, len(z), block):
         part = z[at : at + block]
         sims = part @ vectors.T
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < len(labels) else np.tile(np.arange(k), (len(part), 1))
-        s = np.clip(np.take_along_axis(sims, near, 1), 0, 1).astype(np.float64) ** power
-        total = s.sum(1)
-        got = np.divide((s * labels[near]).sum(1), total, out=np.full(len(part), out[at]), where=total > 0)
+        least = np.partition(sims, len(labels) - k, axis=1)[:, len(labels) - k, None]
+        row, near = np.nonzero(sims >= least)
+        s = np.clip(sims[row, near], 0, 1).astype(np.float64) ** power
+        total = np.bincount(row, s, len(part))
+        got = np.divide(np.bincount(row, s * labels[near], len(part)), total, out=np.full(len(part), out[at]), where=total > 0)
         out[at : at + block] = np.where(np.abs(part).sum(1) > 0, got, out[at])
     return np.clip(out, 0, 1)
 
@@ -151,7 +152,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, rank: int = 64, k: int = 15, power: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """``labels``: id and ``quality``. Rows of the held-out fold and rows without a label are never read."""
+    """``labels``: id and ``quality``. Rows of the held-out fold and rows without a label are never read.
+
+    An id with several labels has the largest; an id with several texts counts with one of them, chosen by content.
+    """
     df, n = _document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     chosen = (
@@ -162,21 +166,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, rank: int = 64,
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in blocks(b.column(1)):
+            for block in blocks(b.column(2)):
                 start, bucket, tf = block_terms(block)
-                rows = [(bucket[s:e].astype("<u2").tobytes(), np.minimum(tf[s:e], 65535).astype("<u2").tobytes()) for s, e in zip(start, start[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(block.first, block.n_docs), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["quality", "bucket", "tf"]
-                )
+                rows = [(bucket[s:e].astype("<u2").tobytes(), tf[s:e].astype("<u4").tobytes()) for s, e in zip(start, start[1:], strict=False)]
+                part = b.slice(block.first, block.n_docs)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "quality", "bucket", "tf"])
 
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col("quality").cast("int").alias("quality"), text_col)
-    got = found.mapInArrow(project, "quality int, bucket binary, tf binary").collect()  # bounded by ``sample``
+    kind = dict(docs.dtypes)[id_col]
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"), text_col)
+    terms = found.mapInArrow(project, f"id {kind}, quality int, bucket binary, tf binary")
+    # Of a repeated id one row counts (the least), so at most ``sample`` rows reach the driver.
+    got = [r["r"] for r in terms.groupBy("id").agg(F.min(F.struct("bucket", "tf", "quality")).alias("r")).collect()]
     got.sort(key=lambda r: (bytes(r["bucket"]), bytes(r["tf"]), r["quality"]))
-    got = got[:: -(-len(got) // (2 * sample)) or 1]  # repeated ids could exceed the bound
     if not got:
         return Model(idf, np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k, power)
     bucket = [np.frombuffer(r["bucket"], "<u2").astype(np.int64) for r in got]
-    tf = [np.frombuffer(r["tf"], "<u2").astype(np.int64) for r in got]
+    tf = [np.frombuffer(r["tf"], "<u4").astype(np.int64) for r in got]
     start = np.concatenate([[0], np.cumsum([len(x) for x in bucket])])
     x = dense_rows(start, np.concatenate(bucket), np.concatenate(tf), idf)
     basis = svd_basis(x, min(rank, len(got)))
