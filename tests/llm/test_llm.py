@@ -83,30 +83,114 @@ def test_word_hash_does_not_depend_on_place():
 # --- 1 ---
 
 
-def test_license_scan(spark):
+def brute_license(path, text, threshold=0.75):
+    """(licence, score, share of the file in matching units, matching lines) by loops over lines, sentences, windows and the whole."""
+    word = re.compile(licenses.TOKEN)
+    named = lambda x: any(re.search(rf"(?<![a-z0-9]){n}(?![a-z0-9])", x.lower()) for n in licenses.NAMING)
+    rows = [(n, Counter(word.findall(t.lower()))) for n in licenses.TEMPLATES for t in licenses.TEMPLATES[n]]
+    df = Counter(t for _, c in rows for t in c)
+    idf = lambda t: np.log((1 + len(rows)) / (1 + df[t])) + 1
+
+    def cosine(a, b):
+        norm = lambda c: sum((n * idf(t)) ** 2 for t, n in c.items()) ** 0.5
+        return sum(a[t] * b[t] * idf(t) ** 2 for t in a) / (norm(a) * norm(b)) if a and b else 0.0
+
+    def judged(unit):
+        c = Counter(word.findall(unit.lower()))
+        return min(((n == "proprietary", -round(cosine(c, d), 9), n) for n, d in rows if round(cosine(c, d), 9) >= threshold), default=None)
+
+    lines = text.split("\n")
+    at = [i for i, x in enumerate(lines) if named(x)]
+    units = [(0, lines[i].strip(" ")) for i in at]
+    units += [(1, x) for i in at for x in re.split(r"(?<=[.;:!?])\s+", lines[i].strip(" ")) if named(x) and x != lines[i].strip(" ")]
+    groups: list[list[int]] = []
+    for i in at:
+        if groups and i - groups[-1][-1] <= licenses.GAP + 1:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    for g in groups:
+        if len(g) > 1:
+            units.append((2, " ".join(lines[g[0] : g[-1] + 1])))
+        if g[-1] + 1 < len(lines):
+            units.append((2, " ".join(lines[g[0] : g[-1] + 2])))
+    if at and re.search(licenses.NAMES, path or ""):
+        units.append((3, " ".join(lines)))
+    hits = [(k, u, judged(u)) for k, u in units]
+    hits = [h for h in hits if h[2]]
+    if not hits:
+        return None
+    solid = lambda x: len(re.sub(r"[\x20\x09-\x0D]", "", x))
+    best = min(h[2] for h in hits)
+    cover = max(sum(solid(u) for k, u, _ in hits if k == 0), max((solid(u) for k, u, _ in hits if k >= 2), default=0)) / solid(text)
+    return best[2], -best[1], cover, sum(k == 0 for k, _, _ in hits)
+
+
+def wrapped(text, width, mark=""):
+    out, line = [], mark
+    for w in text.split(" "):
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = mark
+        line += w + " "
+    return "\n".join([*out, line])
+
+
+def license_files():
+    r = random.Random(31)
+    of = lambda name, i: licenses.TEMPLATES[name][i]
+    code = "\n".join("    " + prose(r, 6) for _ in range(40))
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
-    files = spark.createDataFrame(
-        [("a/LICENSE", mit), ("a/b/c/code.py", "print(1)"), ("a/b/own.py", "text of code " * 20 + "\n" + gpl + "\nmore"), ("z/x.py", None), ("top.py", ""), ("a/d/COPYING.txt", gpl), ("a/d/e/f.c", "code"), ("a/d/e/f.c", "code"),
-         ("z/prose.txt", "the version of this license is a general public matter of work under the sun and moon and stars"), (None, mit), ("only.txt", "Licensed under CC BY-NC 4.0.")],
-        "path string, text string",
-    ).withColumn("lines", F.lit("clash"))
-    got = {(r["path"], r["license"], r["how"], r["license_dir"]) for r in licenses.scan(files).collect()}
-    assert ("a/LICENSE", "MIT", "file", None) in got
-    assert ("a/b/c/code.py", "MIT", "inherited", "a") in got
-    assert ("a/b/own.py", "GPL-3.0", "header", None) in got
-    assert ("a/d/e/f.c", "GPL-3.0", "inherited", "a/d") in got
-    assert ("z/x.py", "CC-BY-NC-4.0", "inherited", "") in got and ("top.py", "CC-BY-NC-4.0", "inherited", "") in got
-    assert ("z/prose.txt", "CC-BY-NC-4.0", "inherited", "") in got and (None, None, "none", None) in got
-    assert licenses.scan(files).count() == 11
-    assert licenses.scan(files.limit(0)).count() == 0
-
-
-def test_anchor_bound_is_sound():
-    """No line without an anchor reaches the threshold, even the best one."""
-    k = licenses.Templates(licenses.TEMPLATES, 0.75)
-    for i in {w[1] for w in k.weights}:
-        rest = sum(w[3] ** 2 for w in k.weights if w[1] == i and w[0] not in k.anchors)
-        assert rest**0.5 < 0.75
+    return {
+        "a/LICENSE": (mit, "MIT"), "a/b/own.py": ("text of code " * 20 + "\n" + gpl + "\nmore", "GPL-3.0"), "a/d/COPYING.txt": (gpl, "GPL-3.0"), "only.txt": ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        "m/LICENSE": ("MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + wrapped(of("MIT", 5), 70) + "\n\n" + wrapped(of("MIT", 6)[len(of("MIT", 5)) + 1 :], 70), "MIT"),
+        "b3/LICENSE.txt": ("Copyright (c) 2011, The Authors\nAll rights reserved.\n\n" + wrapped(of("BSD-3-Clause", -2), 60), "BSD-3-Clause"), "b2/x.c": (wrapped(of("BSD-2-Clause", 3), 70, " * ") + "\n" + code, "BSD-2-Clause"),
+        "n/a.java": ("/*\n" + wrapped(of("Apache-2.0", 5), 70, " * ") + "\n */\n" + code, "Apache-2.0"), "n/b.java": ("// " + of("Apache-2.0", 4) + "\n" + code, "Apache-2.0"), "n/title": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"),
+        "g/h.c": (wrapped(of("GPL-3.0", 5), 65, "# ") + "\n" + code, "GPL-3.0"), "g/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + code, "GPL-3.0"), "z/mpl.js": (wrapped(of("MPL-2.0", 3), 72, " * ") + "\n" + code, "MPL-2.0"),
+        "p/foo.c": ("Copyright (c) 2020 Foo. All rights reserved.\n" + code, "proprietary"), "i/isc.c": (wrapped(of("ISC", 1), 70) + "\n" + code, "ISC"), "z/plain.txt": ("the version of this license is a general public matter of work under the sun and moon and stars", None), "z/code": (code, None),
+        "s/spdx.rs": ("// SPDX-License-Identifier: Apache-2.0\n" + code, "Apache-2.0"), "z/mit.txt": ("mit freundlichen grüßen\nmit\n", None), "m/one": ("MIT License", "MIT"),
+    }
+
+
+def test_licences_of_texts_as_people_write_them():
+    for path, (text, want) in license_files().items():
+        got = brute_license(path, text)
+        assert (got and got[0]) == want, (path, got)
+
+
+@pytest.mark.parametrize("broadcast_rows", [licenses.BROADCAST_ROWS, 0])
+def test_license_scan_equals_brute_force(spark, broadcast_rows):
+    made = {p: t for p, (t, _) in license_files().items()}
+    made |= {"a/b/c/code.py": "print(1)", "z/x.py": None, "top.py": "", "a/d/e/f.c": "code", "a/d/long.txt": "x " * 100_000 + "\nReleased under the MIT License.\n" + "line of copyright matters\n" * 3000}
+    rows = [*made.items(), ("a/d/e/f.c", "code"), ("a/d/e/f.c", "Released under the MIT License."), (None, "MIT License"), (None, None), (None, "code")]
+    files = spark.createDataFrame(rows, "path string, text string").withColumn("lines", F.lit("clash")).withColumn("tid", F.lit(1))
+    own = [(p, brute_license(p, t or "")) for p, t in rows]
+    is_file = lambda p, o: bool(o) and bool(p and re.search(licenses.NAMES, p) or o[2] >= 0.5)
+    of_dir = {}
+    for p, o in own:
+        if p is not None and is_file(p, o):
+            d = p.rpartition("/")[0]
+            of_dir[d] = min(of_dir.get(d, ((True, 9),)), ((o[0] == "proprietary", -o[1], o[0], p),))
+    want = Counter()
+    for p, o in own:
+        if o:
+            want[p, o[0], "file" if is_file(p, o) else "header", o[1], None, o[3]] += 1
+            continue
+        up = None
+        if p is not None:
+            parts = p.split("/")[:-1]
+            up = next((d for d in ("/".join(parts[:i]) for i in range(len(parts), -1, -1)) if d in of_dir), None)
+        b = of_dir[up][0] if up is not None else None
+        want[p, b and b[2], "inherited" if b else "none", b and -b[1], up, 0] += 1
+    got = licenses.scan(files, broadcast_rows=broadcast_rows)
+    assert Counter((r["path"], r["license"], r["how"], r["score"], r["license_dir"], r["n_license_lines"]) for r in got.collect()) == want
+    assert want["a/b/c/code.py", "MIT", "inherited", 1.0, "a", 0] == 1 and want["a/d/e/f.c", "MIT", "inherited", 1.0, "a/d/e", 0] == 2
+    assert licenses.scan(files.limit(0), broadcast_rows=broadcast_rows).count() == 0
+
+
+def test_templates_need_a_naming_word():
+    with pytest.raises(ValueError, match="naming word"):
+        licenses.Templates({"x": ("do what you like",)})
 
 
 # --- 2, 9 ---
