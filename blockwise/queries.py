@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwise import sql_models
 from blockwise.functions import metrics
 from blockwise.operators import diablo, diablo_validation, integrate, long_form, preprocess, resample
 from blockwise.operators.classifiers import Classifier, WeightedConcatenation
@@ -25,6 +26,19 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Added before rounding sums of doubles, in both engines: an exact half would go either way with the order of summation.
+NUDGE = 1e-9
+
+
+def near(c, digits: int = 4):
+    """Rounded for comparison; no negative zero."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + NUDGE, digits) + 0.0
+
+
+def near_sql(x: str, digits: int = 4) -> str:
+    return f"round({x} + {NUDGE}, {digits}) + 0.0"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -41,7 +55,7 @@ FEATURES = ("quantity", "price", "discount", "tax")
 MASKED = {
     "quantity": "CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 = 0 THEN NULL ELSE l_quantity END",
     "price": "CASE WHEN (l_orderkey * 3 + l_linenumber) % 4 = 0 THEN NULL ELSE l_extendedprice / 1000 END",
-    "discount": "CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN NULL ELSE l_discount * 100 END",
+    "discount": "CASE WHEN (l_orderkey * 11 + l_linenumber) % 20 < 9 THEN NULL ELSE l_discount * 100 END",
     "tax": "CASE WHEN (l_orderkey * 5 + l_linenumber) % 10 < 7 THEN NULL ELSE l_tax * 100 + 1 END",
 }
 PLAIN = {"quantity": "l_quantity", "price": "l_extendedprice / 1000", "discount": "l_discount * 100 + 1", "tax": "l_tax * 100 + 1"}
@@ -58,13 +72,13 @@ def summary(layer: Layer, digits: int = 4) -> DataFrame:
     """(grp, feature, n, mean, lo, hi, std) of a layer, from one aggregate by label."""
     names = layer.features
     row = layer.df.groupBy(q(layer.group).alias("grp")).agg(*[x for i, c in enumerate(names) for x in (F.count(q(c)).alias(f"n{i}"), F.avg(q(c)).alias(f"m{i}"), F.min(q(c)).alias(f"l{i}"), F.max(q(c)).alias(f"h{i}"), F.stddev_pop(q(c)).alias(f"s{i}"))])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), *[(F.round(f"{k}{i}", digits) + 0.0).alias(v) for k, v in (("m", "mean"), ("l", "lo"), ("h", "hi"), ("s", "std"))]) for i, c in enumerate(names)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), *[near(f"{k}{i}", digits).alias(v) for k, v in (("m", "mean"), ("l", "lo"), ("h", "hi"), ("s", "std"))]) for i, c in enumerate(names)])
     return row.select("grp", F.inline(cells))
 
 
 def summary_sql(ctes: str, table: str, cols: tuple[str, ...] = FEATURES, digits: int = 4) -> str:
     parts = [
-        f"SELECT grp, '{c}' AS feature, count({c}) AS n, round(avg({c}), {digits}) + 0.0 AS mean, round(min({c}), {digits}) + 0.0 AS lo, round(max({c}), {digits}) + 0.0 AS hi, round(stddev_pop({c}), {digits}) + 0.0 AS std FROM {table} GROUP BY grp"
+        f"SELECT grp, '{c}' AS feature, count({c}) AS n, " + ", ".join(f"{near_sql(f'{f}({c})', digits)} AS {v}" for f, v in (("avg", "mean"), ("min", "lo"), ("max", "hi"), ("stddev_pop", "std"))) + f" FROM {table} GROUP BY grp"
         for c in cols
     ]
     return f"WITH {ctes} " + " UNION ALL ".join(parts)
@@ -178,14 +192,13 @@ def _pipeline_sql(kept: tuple[str, ...], cell: str, log: str) -> str:
     return summary_sql(f"{_M}, {_GM}, i AS (SELECT grp, {_each(cell, kept)} FROM m JOIN g ON m.grp = g.gg CROSS JOIN t), l AS (SELECT grp, {_each(log + '({c} + 1e-10)', kept)} FROM i), {st}, z AS (SELECT grp, {_each('({c} - a_{c}) / sqrt(s_{c})', kept)} FROM l CROSS JOIN t2)", "z", kept)
 
 
-# Which features survive follows from the mask: one half of discount and seven tenths of tax are missing, to within a row
-# or two, so thresholds at one half are moved off it here.
-for _kind, _kept, _cell, _log, _thr in (
-    ("metabolomics", FEATURES[:3], "coalesce({c}, m_{c}, 0)", "ln", 0.55),
-    ("volatiles", FEATURES[:3], "coalesce({c}, CASE WHEN n_{c} >= 0.5 * nn THEN m_{c} END, 0)", "ln", 0.6),
-    ("proteomics", FEATURES[:2], "coalesce({c}, m_{c}, t_{c})", "log2", 0.3),
+# Which features survive follows from the mask: a tenth, a quarter, nine twentieths and seven tenths are missing.
+for _kind, _kept, _cell, _log in (
+    ("metabolomics", FEATURES[:3], "coalesce({c}, m_{c}, 0)", "ln"),
+    ("volatiles", FEATURES[:3], "coalesce({c}, CASE WHEN n_{c} >= 0.5 * nn THEN m_{c} END, 0)", "ln"),
+    ("proteomics", FEATURES[:2], "coalesce({c}, m_{c}, t_{c})", "log2"),
 ):
-    query(f"b19_pipeline_{_kind}", _pipeline_sql(_kept, _cell, _log))(lambda spark, sf, kind=_kind, thr=_thr: summary(preprocess.preprocess(lineitem(spark, sf), preprocess.preset(kind, drop_threshold=thr))))
+    query(f"b19_pipeline_{_kind}", _pipeline_sql(_kept, _cell, _log))(lambda spark, sf, kind=_kind: summary(preprocess.preprocess(lineitem(spark, sf), preprocess.preset(kind))))
 
 
 @query("b19_pipeline_long_form", _pipeline_sql(FEATURES[:3], "coalesce({c}, m_{c}, 0)", "ln"))
@@ -193,8 +206,8 @@ def b19_long(spark, sf):
     layer = lineitem(spark, sf)
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
     cells = layer.with_df(layer.df.withColumn("l_orderkey", key)).long("l_orderkey")
-    out = long_form.preprocess(cells, preprocess.preset("metabolomics", drop_threshold=0.55))
-    return out.groupBy("grp", "feature").agg(F.count("value").alias("n"), *[(F.round(f("value"), 4) + 0.0).alias(n) for f, n in ((F.avg, "mean"), (F.min, "lo"), (F.max, "hi"), (F.stddev_pop, "std"))])
+    out = long_form.preprocess(cells, preprocess.preset("metabolomics"))
+    return out.groupBy("grp", "feature").agg(F.count("value").alias("n"), *[near(f("value")).alias(n) for f, n in ((F.avg, "mean"), (F.min, "lo"), (F.max, "hi"), (F.stddev_pop, "std"))])
 
 
 @query("b24_config_sweep")
@@ -261,12 +274,13 @@ def c05(spark, sf):
     return integrate.label_conflicts(integrate.align({"orders": o, "shifted": other}), ["orders", "shifted"])
 
 
-@query("c06_concatenate", f"WITH {_L} SELECT layer || '_' || feature AS feature, count(*) AS n, round(avg(value), 4) AS mean FROM cells WHERE sample_id IN (SELECT sample_id FROM k) GROUP BY 1")
+@query("c06_concatenate", f"WITH {_L} SELECT layer || '_' || feature AS feature, count(*) AS n, {near_sql('avg(value)')} AS mean FROM cells WHERE sample_id IN (SELECT sample_id FROM k) GROUP BY 1")
 def c06(spark, sf):
-    return integrate.concatenate(block_cells(spark, sf), BLOCKS).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return integrate.concatenate(block_cells(spark, sf), BLOCKS).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), near(F.avg("value")).alias("mean"))
 
 
-@query("c07_block_ranges", "SELECT * FROM (VALUES ('orders', CAST(0 AS BIGINT), CAST(1 AS BIGINT)), ('lines', 1, 4), ('customer', 4, 5)) v(layer, \"start\", \"end\")")
+@query("c07_block_ranges", f"""WITH {_L}, w AS (SELECT layer, count(DISTINCT feature) AS p, CASE layer WHEN 'orders' THEN 1 WHEN 'lines' THEN 2 ELSE 3 END AS o FROM cells GROUP BY layer)
+SELECT a.layer, CAST(coalesce((SELECT sum(p) FROM w b WHERE b.o < a.o), 0) AS BIGINT) AS "start", CAST((SELECT sum(p) FROM w b WHERE b.o <= a.o) AS BIGINT) AS "end" FROM w a""")
 def c07(spark, sf):
     return integrate.block_ranges(block_cells(spark, sf), BLOCKS)
 
@@ -276,17 +290,17 @@ def c08(spark, sf):
     return integrate.layer_summary(block_cells(spark, sf))
 
 
-@query("c12_block_summary", f"WITH {_L} SELECT layer, count(DISTINCT feature) AS features, count(value) AS total_values, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM cells GROUP BY layer")
+@query("c12_block_summary", f"WITH {_L} SELECT layer, count(DISTINCT feature) AS features, count(value) AS total_values, {near_sql('avg(value)')} AS mean, {near_sql('stddev_pop(value)')} AS std FROM cells GROUP BY layer")
 def c12(spark, sf):
-    return integrate.block_summary(block_cells(spark, sf)).select("layer", "features", "total_values", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return integrate.block_summary(block_cells(spark, sf)).select("layer", "features", "total_values", near("mean").alias("mean"), near("std").alias("std"))
 
 
 def _cells_summary(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("layer", "feature").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"))
+    return cells.groupBy("layer", "feature").agg(F.count("value").alias("n"), near(F.avg("value")).alias("mean"), near(F.stddev_pop("value")).alias("std"))
 
 
 def _cells_sql(value: str, extra: str = "") -> str:
-    return f"WITH {_L}{extra}, w AS (SELECT cells.layer, feature, {value} AS v FROM cells{' JOIN st ON cells.layer = st.layer' if extra else ''}) SELECT layer, feature, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std FROM w GROUP BY layer, feature"
+    return f"WITH {_L}{extra}, w AS (SELECT cells.layer, feature, {value} AS v FROM cells{' JOIN st ON cells.layer = st.layer' if extra else ''}) SELECT layer, feature, count(v) AS n, {near_sql('avg(v)')} AS mean, {near_sql('stddev_pop(v)')} AS std FROM w GROUP BY layer, feature"
 
 
 _STATS = ", st AS (SELECT layer, count(DISTINCT feature) AS p, stddev_pop(value) AS sd FROM cells GROUP BY layer)"
@@ -336,9 +350,18 @@ def embeddings(spark, sf) -> Layer:
     return layer_from_vectors(read_table(spark, sf, "embeddings"), "embedding", 64, "label", "vec_id", "embeddings")
 
 
-@query("d01_pca_embeddings")
+_EMB = "e AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings CROSS JOIN range(1, 65) r(i))"
+_PCS = f"WITH RECURSIVE {_EMB}, {sql_models.principal('e', 5)}"
+
+
+@query("d01_pca_embeddings", f"{_PCS}, x AS (" + " UNION ALL ".join(f"SELECT {a} AS a, l FROM pc{a}" for a in range(1, 6)) + ") SELECT 'PC' || a AS pc, round(100 * l / t, 5) AS variance, round(100 * sum(l) OVER (ORDER BY a) / t, 5) AS cumulative FROM x CROSS JOIN total")
 def d01(spark, sf):
-    return Pca.fit(embeddings(spark, sf), 5).variance()
+    return Pca.fit(embeddings(spark, sf), 5).variance().select(F.col("PC").alias("pc"), F.round("Variance_Explained", 5).alias("variance"), F.round("Cumulative_Variance", 5).alias("cumulative"))
+
+
+@query("d02_scores_64d", f"{_PCS}, mu AS (SELECT i, avg(v) AS mu FROM e GROUP BY i) SELECT vec_id, " + ", ".join(f"round(sum((e.v - mu) * (SELECT v FROM pc{a})[e.i + 1]), 5) + 0.0 AS pc{a}" for a in (1, 2)) + " FROM e JOIN mu USING (i) GROUP BY vec_id")
+def d02e(spark, sf):
+    return Pca.fit(embeddings(spark, sf), 2).scores().select("vec_id", *[(F.round(F.col("pc")[i], 5) + 0.0).alias(f"pc{i + 1}") for i in range(2)])
 
 
 @query("d02_scores_2d", f"WITH {_TWO} SELECT l_orderkey, l_linenumber, round(abs((x - mx) * b + (y - my) * (l1 - a)) / sqrt(b * b + (l1 - a) * (l1 - a)), 4) AS abs_score FROM m CROSS JOIN e")
@@ -356,15 +379,9 @@ def d04(spark, sf):
     return Pca.fit(two_features(spark, sf), 2).variance().select(F.col("PC").alias("pc"), F.round("Variance_Explained", 6).alias("variance"), F.round("Cumulative_Variance", 6).alias("cumulative"))
 
 
-_EMB = "e AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings CROSS JOIN range(1, 65) r(i))"
-
-
-@query("d05_top_loadings", f"WITH {_EMB}, a AS (SELECT 'f' || i AS f, avg(v) AS l FROM e GROUP BY i) SELECT f AS \"Feature\", round(l, 6) AS \"Loading\", round(abs(l), 6) AS \"Abs_Loading\" FROM a ORDER BY abs(l) DESC, f LIMIT 10")
+@query("d05_top_loadings", f"{_PCS}, x AS (SELECT 'f' || (i - 1) AS f, v[i] AS l FROM pc1 CROSS JOIN range(1, 65) r(i)) SELECT f AS \"Feature\", round(l, 5) AS \"Loading\", round(abs(l), 5) AS \"Abs_Loading\" FROM x ORDER BY abs(l) DESC, f LIMIT 10")
 def d05(spark, sf):
-    """Top-k by magnitude, over the mean of each dimension as a stand-in for a loading."""
-    one = read_table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("loading"))
-    top = top_loadings(one.select(F.concat(F.lit("f"), "i").alias("feature"), F.lit(1).alias("pc"), "loading"), 1, 10)
-    return top.select("Feature", F.round("Loading", 6).alias("Loading"), F.round("Abs_Loading", 6).alias("Abs_Loading"))
+    return Pca.fit(embeddings(spark, sf), 5).top_loadings(1, 10).select("Feature", F.round("Loading", 5).alias("Loading"), F.round("Abs_Loading", 5).alias("Abs_Loading"))
 
 
 @query("d06_one_hot", "SELECT l_returnflag AS grp, count(*) AS n, sum(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END) AS y_a, sum(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS y_n, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS y_r FROM lineitem GROUP BY 1")
@@ -373,19 +390,26 @@ def d06(spark, sf):
     return df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y_A").alias("y_a"), F.sum("y_N").alias("y_n"), F.sum("y_R").alias("y_r"))
 
 
-@query("d07_plsda_embeddings")
+_PLS = f"WITH RECURSIVE {_EMB}, {sql_models.pls('e', 2)}, ss AS (SELECT w1.tt * list_dot_product(w1.q, w1.q) AS s1, w2.tt * list_dot_product(w2.q, w2.q) AS s2 FROM w1 CROSS JOIN w2)"
+_VIP = "vip AS (SELECT 'f' || (i - 1) AS f, sqrt(64 * (s1 * w1.w[i] * w1.w[i] + s2 * w2.w[i] * w2.w[i]) / (s1 + s2)) AS vip FROM w1 CROSS JOIN w2 CROSS JOIN ss CROSS JOIN range(1, 65) r(i))"
+# Rotations: the second weight less its share along the first loading.
+_ROT = "rot AS (SELECT i, w1.w[i] AS r1, w2.w[i] - list_dot_product(w1.p, w2.w) * w1.w[i] AS r2 FROM w1 CROSS JOIN w2 CROSS JOIN range(1, 65) r(i)), mu AS (SELECT i + 1 AS i, avg(v) AS mu FROM e GROUP BY i)"
+_LV = f"{_ROT}, lv AS (SELECT vec_id, grp, sum((v - mu) * r1) AS l1, sum((v - mu) * r2) AS l2 FROM e JOIN mu ON mu.i = e.i + 1 JOIN rot ON rot.i = e.i + 1 GROUP BY vec_id, grp)"
+
+
+@query("d07_plsda_embeddings", f"{_PLS}, {_VIP} SELECT f AS \"Feature\", round(vip, 6) AS \"VIP\", vip > 1 AS \"Important\" FROM vip")
 def d07(spark, sf):
-    return PlsDa.fit(embeddings(spark, sf), 2).vip()
+    return PlsDa.fit(embeddings(spark, sf), 2).vip().withColumn("VIP", F.round("VIP", 6))
 
 
-@query("d08_plsda_scores")
+@query("d08_plsda_scores", f"{_PLS}, {_LV} SELECT vec_id, round(l1, 5) + 0.0 AS lv1, round(l2, 5) + 0.0 AS lv2 FROM lv")
 def d08(spark, sf):
-    return PlsDa.fit(embeddings(spark, sf), 2).scores()
+    return PlsDa.fit(embeddings(spark, sf), 2).scores().select("vec_id", *[(F.round(F.col("lv")[i], 5) + 0.0).alias(f"lv{i + 1}") for i in range(2)])
 
 
-@query("d09_predict_binary")
-def d09(spark, sf):
-    return PlsDa.fit(_labelled(spark, sf), 1).predict()
+@query("d09_predict_classes", f"{_PLS}, {_LV}, y AS (SELECT vec_id, lv.grp, lab.grp AS cls, l1 * w1.q[g] + l2 * w2.q[g] + n / (SELECT count(*) FROM lv) AS y FROM lv CROSS JOIN lab CROSS JOIN w1 CROSS JOIN w2) SELECT vec_id, grp AS label, arg_max(cls, (y, -CAST(cls AS INTEGER))) AS pred FROM y GROUP BY vec_id, grp")
+def d09c(spark, sf):
+    return PlsDa.fit(embeddings(spark, sf), 2).predict().select("vec_id", F.col("grp").alias("label"), "pred")
 
 
 def _labelled(spark, sf) -> Layer:
@@ -393,12 +417,46 @@ def _labelled(spark, sf) -> Layer:
     return Layer(df, "grp", ("chars", "blanks"), ("doc_id",))
 
 
-@query("d10_plsda_loo")
+_LAB = "x AS (SELECT doc_id, CAST(quality AS DOUBLE) AS y, n_chars / 1000.0 AS chars, len(string_split(text, ' ')) / 100.0 AS blanks FROM labels JOIN documents USING (doc_id)), w AS (SELECT covar_pop(chars, y) AS a, covar_pop(blanks, y) AS b FROM x)"
+
+
+# Sums over the rows, for one component on two features.
+_SUMS = "t AS (SELECT count(*) AS n, sum(chars) AS a, sum(blanks) AS b, sum(chars * chars) AS aa, sum(chars * blanks) AS ab, sum(blanks * blanks) AS bb, sum(y) AS y, sum(chars * y) AS wy, sum(blanks * y) AS zy FROM x)"
+
+
+def _one_component(source: str) -> str:
+    """Response of a row (chars, blanks) from sums n, a, b, aa, ab, bb, y, wy, zy: one weight per feature, one score, one slope."""
+    return f"""c AS (SELECT *, wy - a * y / n AS ca, zy - b * y / n AS cb, aa - a * a / n AS saa, ab - a * b / n AS sab, bb - b * b / n AS sbb FROM {source}),
+h AS (SELECT *, (chars - a / n) * ca + (blanks - b / n) * cb AS t, (ca * ca + cb * cb) / (ca * ca * saa + 2 * ca * cb * sab + cb * cb * sbb) AS slope FROM c),
+p AS (SELECT doc_id, CAST(CAST(label AS INTEGER) AS VARCHAR) AS grp, CASE WHEN t * slope + y / n > 0.5 THEN '1' ELSE '0' END AS pred FROM h)"""
+
+
+@query("d09_predict_binary", f"WITH {_LAB}, {_SUMS}, r AS (SELECT doc_id, x.y AS label, chars, blanks, t.* FROM x CROSS JOIN t), {_one_component('r')} SELECT * FROM p")
+def d09(spark, sf):
+    return PlsDa.fit(_labelled(spark, sf), 1).predict()
+
+
+# The same sums without the row itself.
+_LEFT_OUT = "r AS (SELECT doc_id, x.y AS label, chars, blanks, n - 1 AS n, a - chars AS a, b - blanks AS b, aa - chars * chars AS aa, ab - chars * blanks AS ab, bb - blanks * blanks AS bb, t.y - x.y AS y, wy - chars * x.y AS wy, zy - blanks * x.y AS zy FROM x CROSS JOIN t)"
+
+
+@query("d10_plsda_loo", f"WITH {_LAB}, {_SUMS}, {_LEFT_OUT}, {_one_component('r')} SELECT doc_id, grp, pred FROM p")
 def d10(spark, sf):
-    return metrics.accuracy(PlsDa.fit(_labelled(spark, sf), 1).cross_validate())
+    return PlsDa.fit(_labelled(spark, sf), 1).cross_validate().select("doc_id", "grp", "pred")
 
 
-_LAB = "x AS (SELECT doc_id, CAST(quality AS DOUBLE) AS y, n_chars / 1000.0 AS chars, len(string_split(text, ' ')) / 100.0 AS blanks FROM labels JOIN documents USING (doc_id)), w AS (SELECT covar_pop(chars, y) AS a, covar_pop(blanks, y) AS b FROM x)"
+# Two components on two features are least squares; a row left out has the residual over one less its leverage.
+_OLS = "m AS (SELECT *, a / n AS ma, b / n AS mb, y / n AS my, aa - a * a / n AS saa, ab - a * b / n AS sab, bb - b * b / n AS sbb, wy - a * y / n AS ca, zy - b * y / n AS cb FROM t), k AS (SELECT *, saa * sbb - sab * sab AS det FROM m), o AS (SELECT doc_id, x.y AS label, my + ((chars - ma) * (sbb * ca - sab * cb) + (blanks - mb) * (saa * cb - sab * ca)) / det AS fit, 1 / n + ((chars - ma) * (chars - ma) * sbb - 2 * (chars - ma) * (blanks - mb) * sab + (blanks - mb) * (blanks - mb) * saa) / det AS h FROM x CROSS JOIN k), p AS (SELECT doc_id, CAST(CAST(label AS INTEGER) AS VARCHAR) AS grp, CASE WHEN label - (label - fit) / (1 - h) > 0.5 THEN '1' ELSE '0' END AS pred FROM o)"
+
+
+@query("d10_plsda_loo_two_components", f"WITH {_LAB}, {_SUMS}, {_OLS} SELECT round(avg(CASE WHEN grp = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p")
+def d10t(spark, sf):
+    return metrics.accuracy(PlsDa.fit(_labelled(spark, sf), 2).cross_validate()).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("d10_plsda_folds", f"WITH {_LAB}, f AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) * 4 / count(*) OVER ()) AS INTEGER) AS fold FROM x), t AS (SELECT k.fold AS kf, " + ", ".join(f"sum({e}) AS {n}" for e, n in (("1", "n"), ("chars", "a"), ("blanks", "b"), ("chars * chars", "aa"), ("chars * blanks", "ab"), ("blanks * blanks", "bb"), ("f.y", "y"), ("chars * f.y", "wy"), ("blanks * f.y", "zy"))) + f" FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold), r AS (SELECT doc_id, f.y AS label, chars, blanks, fold, t.* FROM f JOIN t ON kf = fold), {_one_component('r')} SELECT * FROM p")
+def d10f(spark, sf):
+    return PlsDa.fit(_labelled(spark, sf), 1).cross_validate(4).select("doc_id", "grp", "pred")
 
 
 @query("d11_vip_1comp", f"WITH {_LAB} SELECT 'chars' AS feature, round(sqrt(2) * abs(a) / sqrt(a * a + b * b), 6) AS vip FROM w UNION ALL SELECT 'blanks', round(sqrt(2) * abs(b) / sqrt(a * a + b * b), 6) FROM w")
@@ -550,9 +608,37 @@ def e15(spark, sf):
 _BF = {"orders": ["total"], "lines": ["qty", "price", "lines"], "customer": ["acct"]}
 
 
-@query("f01_diablo")
+# Standardised blocks, so that the linked blocks' scales do not decide; the model itself only centres.
+_Z = f"{_L}, zc AS (SELECT layer, sample_id, grp, feature, value FROM cells WHERE sample_id IN (SELECT sample_id FROM k)), z AS (SELECT sample_id, first_value(grp) OVER (PARTITION BY sample_id ORDER BY layer DESC) AS grp, layer AS block, feature, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS value FROM zc WINDOW w AS (PARTITION BY layer, feature))"
+_MB = f"WITH RECURSIVE {_Z}, {sql_models.multiblock('z', [('orders', 'bo', ['total']), ('lines', 'bl', ['qty', 'price', 'lines']), ('customer', 'bc', ['acct'])])}"
+
+
+def scaled_blocks(spark, sf) -> DataFrame:
+    """The aligned blocks, one row per sample, each feature standardised."""
+    cells = integrate.concatenate(block_cells(spark, sf), BLOCKS)
+    st = cells.groupBy("layer", "feature").agg(F.avg("value").alias("_a"), F.stddev_pop("value").alias("_s"))
+    cells = cells.join(F.broadcast(st), ["layer", "feature"]).withColumn("value", (F.col("value") - F.col("_a")) / F.col("_s"))  # one row per feature
+    x = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == b, F.struct("feature_ix", "value")))), lambda s: s["value"]).alias(b)
+    return cells.groupBy("sample_id", "grp").agg(*[x(b) for b in BLOCKS])
+
+
+def multiblock_model(spark, sf) -> diablo.Diablo:
+    return diablo.Diablo.fit(scaled_blocks(spark, sf), _BF, 1)
+
+
+@query("f01_diablo", f"{_MB} SELECT block, feature, CAST(1 AS INTEGER) AS comp, round(loading, 5) + 0.0 AS loading FROM lo")
 def f01(spark, sf):
-    return diablo.Diablo.fit(block_vectors(spark, sf), _BF, 1).loadings()
+    return multiblock_model(spark, sf).loadings().withColumn("loading", F.round("loading", 5) + 0.0)
+
+
+@query("f07_variates", f"{_MB} SELECT sample_id, grp, block, round(score, 4) + 0.0 AS score FROM va")
+def f07(spark, sf):
+    return multiblock_model(spark, sf).variates().select("sample_id", "grp", "block", (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query("f17_diablo_predict", f"{_MB}, ce AS (SELECT block, grp AS cls, avg(score) AS mid FROM va GROUP BY 1, 2), di AS (SELECT sample_id, grp, va.block, cls, (score - mid) * (score - mid) AS d FROM va JOIN ce ON va.block = ce.block), vo AS (SELECT *, row_number() OVER (PARTITION BY sample_id, block ORDER BY d, cls) AS r FROM di), su AS (SELECT sample_id, grp, cls, count(*) FILTER (WHERE r = 1) AS votes, sum(d) AS d FROM vo GROUP BY 1, 2, 3) SELECT grp, cls AS pred, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, d, cls) AS r FROM su) WHERE r = 1 GROUP BY 1, 2")
+def f17(spark, sf):
+    return multiblock_model(spark, sf).predict().groupBy("grp", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f02_design", "SELECT a.n AS block_i, b.n AS block_j, CASE WHEN a.n = b.n THEN 0.0 ELSE 0.1 END AS c FROM (VALUES ('orders'), ('lines'), ('customer')) a(n) CROSS JOIN (VALUES ('orders'), ('lines'), ('customer')) b(n)")
@@ -565,44 +651,36 @@ def f03(spark, sf):
     return read_table(spark, sf, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).withColumn("keepx", diablo.keep_rule_column(F.col("p_size") * 6, F.lit(9)))
 
 
-_LOADS = "d AS (SELECT s_nationkey % 3 AS b, s_suppkey, s_acctbal / 10000 AS l FROM supplier), lo AS (SELECT 'b' || b AS block, 's' || s_suppkey AS feature, l AS loading FROM d)"
-
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {by} DESC, feature) AS k FROM lo WHERE loading <> 0)"
 
-def toy_loadings(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "supplier").select(F.concat(F.lit("b"), F.col("s_nationkey") % 3).alias("block"), F.concat(F.lit("s"), "s_suppkey").alias("feature"), F.lit(1).alias("comp"), (F.col("s_acctbal") / 10000).alias("loading"))
 
-
-@query("f08_selected_features", f"WITH {_LOADS} SELECT block, feature, round(loading, 6) AS loading, loading > 1 AS important FROM lo WHERE loading <> 0")
+@query("f08_selected_features", f"{_MB} SELECT block, feature, round(loading, 5) + 0.0 AS loading, loading > 1 AS important FROM lo WHERE loading <> 0")
 def f08(spark, sf):
-    return diablo.selected_features(toy_loadings(spark, sf)).select("block", "feature", F.round("loading", 6).alias("loading"), "important")
+    return diablo.selected_features(multiblock_model(spark, sf).loadings()).select("block", "feature", (F.round("loading", 5) + 0.0).alias("loading"), "important")
 
 
-@query("f10_top_per_block", f"WITH {_LOADS}, r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY loading DESC, feature) AS k FROM lo WHERE loading <> 0) SELECT block, feature, round(loading, 6) AS loading, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 5")
+@query("f10_top_per_block", f"{_MB}, {_RANKED.format(by='loading')} SELECT block, feature, round(loading, 5) + 0.0 AS loading, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 2")
 def f10(spark, sf):
-    return diablo.top_per_block(diablo.selected_features(toy_loadings(spark, sf)), 5).select("block", "feature", F.round("loading", 6).alias("loading"), "rank")
-
-
-_VAR = f"{_L}, v AS (SELECT sample_id, grp, layer AS block, avg(value) AS score FROM cells WHERE sample_id IN (SELECT sample_id FROM k) GROUP BY sample_id, grp, layer)"
+    return diablo.top_per_block(diablo.selected_features(multiblock_model(spark, sf).loadings()), 2).select("block", "feature", (F.round("loading", 5) + 0.0).alias("loading"), "rank")
 
 
-def toy_variates(spark, sf) -> DataFrame:
-    """The mean of a sample's cells in each block, as a stand-in for a variate."""
-    return integrate.concatenate(block_cells(spark, sf), BLOCKS).groupBy("sample_id", "grp", F.col("layer").alias("block")).agg(F.avg("value").alias("score")).withColumn("comp", F.lit(1))
+def variates(spark, sf) -> DataFrame:
+    return multiblock_model(spark, sf).variates()
 
 
-@query("f11_block_corr", f"WITH {_VAR} SELECT a.block AS block_i, b.block AS block_j, round(corr(a.score, b.score), 6) AS corr FROM v a JOIN v b ON a.sample_id = b.sample_id GROUP BY 1, 2")
+@query("f11_block_corr", f"{_MB} SELECT a.block AS block_i, b.block AS block_j, round(corr(a.score, b.score), 5) + 0.0 AS corr FROM va a JOIN va b ON a.sample_id = b.sample_id GROUP BY 1, 2")
 def f11(spark, sf):
-    return diablo.block_correlations(toy_variates(spark, sf)).select("block_i", "block_j", F.round("corr", 6).alias("corr"))
+    return diablo.block_correlations(variates(spark, sf)).select("block_i", "block_j", (F.round("corr", 5) + 0.0).alias("corr"))
 
 
-@query("f12_consensus", f"WITH {_VAR} SELECT sample_id, round(avg(score), 6) AS score FROM v GROUP BY sample_id")
+@query("f12_consensus", f"{_MB} SELECT sample_id, round(avg(score), 6) AS score FROM va GROUP BY sample_id")
 def f12(spark, sf):
-    return diablo.consensus(toy_variates(spark, sf)).select("sample_id", F.round("score", 6).alias("score"))
+    return diablo.consensus(variates(spark, sf)).select("sample_id", F.round("score", 6).alias("score"))
 
 
-@query("f13_arrows", f"WITH {_VAR} SELECT sample_id, block, round(score, 6) AS \"start\", round(avg(score) OVER (PARTITION BY sample_id), 6) AS \"end\" FROM v")
+@query("f13_arrows", f"{_MB} SELECT sample_id, block, round(score, 6) AS \"start\", round(avg(score) OVER (PARTITION BY sample_id), 6) AS \"end\" FROM va")
 def f13(spark, sf):
-    return diablo.arrows(toy_variates(spark, sf)).select("sample_id", "block", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return diablo.arrows(variates(spark, sf)).select("sample_id", "block", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 def _forest(spark, sf, kind, **kw) -> DataFrame:
@@ -662,30 +740,30 @@ def f19(spark, sf):
 # --- I: plot data -------------------------------------------------------------------------------------------
 
 
-@query("i12_circos_edges", f"WITH {_VAR}, cc AS (SELECT a.block AS block_i, b.block AS block_j, corr(a.score, b.score) AS corr FROM v a JOIN v b ON a.sample_id = b.sample_id AND a.block < b.block GROUP BY 1, 2) SELECT block_i, block_j, round(corr, 6) AS corr, CASE WHEN corr > 0 THEN 'positive' ELSE 'negative' END AS sign FROM cc WHERE abs(corr) >= 0.0001")
+@query("i12_circos_edges", f"{_MB}, cc AS (SELECT a.block AS block_i, b.block AS block_j, corr(a.score, b.score) AS corr FROM va a JOIN va b ON a.sample_id = b.sample_id AND a.block < b.block GROUP BY 1, 2) SELECT block_i, block_j, round(corr, 6) AS corr, CASE WHEN corr > 0 THEN 'positive' ELSE 'negative' END AS sign FROM cc WHERE abs(corr) >= 0.0001")
 def i12(spark, sf):
-    return plotdata.circos_edges(diablo.block_correlations(toy_variates(spark, sf)), 0.0001).select("block_i", "block_j", F.round("corr", 6).alias("corr"), "sign")
+    return plotdata.circos_edges(diablo.block_correlations(variates(spark, sf)), 0.0001).select("block_i", "block_j", F.round("corr", 6).alias("corr"), "sign")
 
 
-@query("i14_loading_heatmap", f"WITH {_LOADS}, r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY abs(loading) DESC, feature) AS k FROM lo) SELECT feature, " + ", ".join(f"round(coalesce(avg(CASE WHEN block = 'b{i}' THEN loading END), 0), 6) AS b{i}" for i in range(3)) + " FROM r WHERE k <= 5 GROUP BY feature")
+@query("i14_loading_heatmap", f"{_MB}, {_RANKED.format(by='abs(loading)')} SELECT feature, " + ", ".join(f"round(coalesce(avg(CASE WHEN block = '{b}' THEN loading END), 0), 5) + 0.0 AS {b}" for b in BLOCKS) + " FROM r WHERE k <= 2 GROUP BY feature")
 def i14(spark, sf):
-    return plotdata.loading_heatmap(toy_loadings(spark, sf), 5).select("feature", *[F.round(f"b{i}", 6).alias(f"b{i}") for i in range(3)])
+    return plotdata.loading_heatmap(multiblock_model(spark, sf).loadings(), 2).select("feature", *[(F.round(b, 5) + 0.0).alias(b) for b in BLOCKS])
 
 
-@query("i15_importance_comparison", f"WITH {_LOADS}, r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY abs(loading) DESC, feature) AS k FROM lo) SELECT block, feature, round(loading, 6) AS loading, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 5")
+@query("i15_importance_comparison", f"{_MB}, {_RANKED.format(by='abs(loading)')} SELECT block, feature, round(loading, 5) + 0.0 AS loading, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 2")
 def i15(spark, sf):
-    return plotdata.importance_comparison(toy_loadings(spark, sf), 5).withColumn("loading", F.round("loading", 6))
+    return plotdata.importance_comparison(multiblock_model(spark, sf).loadings(), 2).withColumn("loading", F.round("loading", 5) + 0.0)
 
 
-@query("i13_samples_enhanced", f"WITH {_VAR} SELECT sample_id, block, round(score, 6) AS score FROM v UNION ALL SELECT sample_id, 'consensus', round(avg(score), 6) FROM v GROUP BY sample_id")
+@query("i13_samples_enhanced", f"{_MB} SELECT sample_id, block, round(score, 6) AS score FROM va UNION ALL SELECT sample_id, 'consensus', round(avg(score), 6) FROM va GROUP BY sample_id")
 def i13(spark, sf):
-    v = toy_variates(spark, sf)
+    v = variates(spark, sf)
     return v.select("sample_id", "block", F.round("score", 6).alias("score")).unionByName(diablo.consensus(v).select("sample_id", F.lit("consensus").alias("block"), F.round("score", 6).alias("score")))
 
 
-@query("i16_correlation_matrix", f"WITH {_VAR} SELECT a.block AS block_i, b.block AS block_j, round(corr(a.score, b.score), 2) + 0.0 AS corr FROM v a JOIN v b ON a.sample_id = b.sample_id GROUP BY 1, 2")
+@query("i16_correlation_matrix", f"{_MB} SELECT a.block AS block_i, b.block AS block_j, round(corr(a.score, b.score), 2) + 0.0 AS corr FROM va a JOIN va b ON a.sample_id = b.sample_id GROUP BY 1, 2")
 def i16(spark, sf):
-    return diablo.block_correlations(toy_variates(spark, sf)).select("block_i", "block_j", (F.round("corr", 2) + 0.0).alias("corr"))
+    return diablo.block_correlations(variates(spark, sf)).select("block_i", "block_j", (F.round("corr", 2) + 0.0).alias("corr"))
 
 
 @query("i17_overview", f"WITH {_L} SELECT layer, grp, count(DISTINCT sample_id) AS samples, (SELECT count(DISTINCT feature) FROM cells c2 WHERE c2.layer = c1.layer) AS features FROM cells c1 GROUP BY layer, grp")
@@ -767,10 +845,10 @@ def j10(spark, sf):
     return w.compare_methods()
 
 
-@query("s01_windowed_profile", "SELECT date_trunc('day', ts) AS \"start\", event_type, count(*) AS n, CAST(count(*) - count(value) AS BIGINT) AS n_missing, round(avg(value), 4) AS mean, round(var_pop(value), 3) AS variance FROM events GROUP BY 1, 2")
+@query("s01_windowed_profile", "SELECT date_trunc('day', ts) AS \"start\", event_type, count(*) AS n, CAST(count(*) - count(value) AS BIGINT) AS n_missing, " + near_sql("avg(value)") + " AS mean, " + near_sql("var_pop(value)", 3) + " AS variance FROM events GROUP BY 1, 2")
 def s01(spark, sf):
     out = windowed_profile(read_table(spark, sf, "events"))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "n_missing", F.round("mean", 4).alias("mean"), F.round("variance", 3).alias("variance"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "n_missing", near("mean").alias("mean"), near("variance", 3).alias("variance"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
