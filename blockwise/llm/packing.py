@@ -4,9 +4,9 @@
    longer documents are cut; the first piece takes the remainder) and packs
    them best-fit, longest first, in windows of ``window`` pieces.
 2. Bins with at most ``slack`` free tokens are final. Underfull bins go on as
-   items: they are dealt anew into groups of at most ``group`` and packed
-   best-fit again, with ever fewer groups, until one group is left or a round
-   no longer saves bins.
+   items: they are dealt anew into groups of about ``group`` and packed
+   best-fit again, with ever fewer groups, until all that is left fits one group or a round
+   saves less than one bin in ``STOP``.
 3. Pieces of merged bins get their new bin and offset by a join on the bin.
 
 No group grows with the corpus: a round has ``ceil(bins / group)`` groups.
@@ -27,10 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm.frames import saved, table
+from blockwise.llm.frames import saved, scratch, table
 from blockwise.llm.tokens import byte_balanced, default_tokenizer, encoder
 
 
+#: Rounds end when one saves fewer than one bin in so many.
+STOP = 1000
+
+
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit, longest first: (bin of each item, offset in it, fill of each bin)."""
     bins = np.zeros(len(lengths), dtype=np.int64)
@@ -123,8 +127,16 @@ def pack(
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and has its end token only. Repeated rows and repeated or null ids
-    are packed one by one (bins never refer to ids); an empty table gives an empty result.
+    are packed one by one (bins never refer to ids); an empty table gives an empty result; other columns are not
+    read. Working tables are deleted, the result stays.
     """
+    with scratch(docs.sparkSession) as made:
+        out = saved(_packed(docs, tokenizer, size, end_id, slack, window, group, id_col, text_col), "packed")
+        made.pop()
+    return out
+
+
+def _packed(docs: DataFrame, tokenizer: str, size: int, end_id: int, slack: int, window: int, group: int, id_col: str, text_col: str) -> DataFrame:
     pieces = saved(_local(docs, tokenizer, size, end_id, window, id_col, text_col), "pieces")
     # A bin's fill is on each of its pieces; the piece at offset 0 stands for it.
     items = pieces.where((F.col("offset") == 0) & (F.col("fill") < size - slack)).select("bin", "fill")
@@ -146,8 +158,9 @@ def pack(
             )
         items = done.where((F.col("base") == 0) & (F.col("merged") == F.col("bin")) & (F.col("merged_fill") < size - slack)).select("bin", F.col("merged_fill").alias("fill"))
         left = items.count()
+        saves = done.where("merged <> bin").count()  # each such bin went into another
         turn += 1
-        if groups == 1 or left > 0.95 * n:
+        if groups == 1 or saves * STOP < n:
             break
         n = left
     out = [id_col, "piece", "start", "length", "ids_crc32"]

@@ -790,6 +790,47 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_hot_cells_and_ids_are_numbered_in_parallel(spark):
+    """A text with a third of the rows, half of them under one id and many without one: no lane holds much more than its share."""
+    rows = [(i, f"text {i}") for i in range(600)] + [(i, "hot") for i in range(150)] + [(7, "hot")] * 150 + [(None, "hot")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sharding.shard_rows(df, lane=20).toPandas()
+    n = Counter(got["shard"])
+    assert len(got) == len(rows) and max(n.values()) - min(n.values()) <= 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    keyed = df.selectExpr("1 AS cell", "xxhash64(doc_id) AS h", "spark_partition_id() AS task")
+    lanes = sharding.in_lanes(sharding.saved(keyed, "ring"), 20).groupBy("cell", "by", "nth", "part").count().agg(F.max("count")).first()[0]
+    assert lanes <= 80
+
+
+def brute_ring(rows, shards, vnodes, cell_of):
+    """Shard and slot by walking the ring cell by cell, turn by turn."""
+    pref = {c: p for a, b, p in sharding.ring_preferences(shards, vnodes) for c in range(a, b + 1)}
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    used, placed = [0] * shards, {}
+    waiting = sorted(range(len(rows)), key=lambda r: (cell_of[r], rows[r]))
+    for turn in range(shards):
+        left = []
+        for r in waiting:
+            s = pref[cell_of[r]][turn]
+            if used[s] < room[s]:
+                placed[r] = s, used[s]
+                used[s] += 1
+            else:
+                left.append(r)
+        waiting = left
+    return placed
+
+
+def test_sharding_equals_walking_the_ring(spark):
+    rows = [(i, f"text {i % 900}" if i % 3 else "same") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cell_of = [r["c"] for r in df.select("doc_id", sharding.ring_cell(F.col("text")).alias("c")).orderBy("doc_id").collect()]
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, 5, 8).collect()}
+    assert got == {rows[r][0]: at for r, at in brute_ring(rows, 5, 8, cell_of).items()}
+
+
 def test_one_more_shard_moves_little(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 1300, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("text"))
     a, b = (sharding.shard_rows(df, n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (8, 9))
@@ -800,6 +841,31 @@ def test_one_more_shard_moves_little(spark):
 # --- pipeline ---
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, then nulls, repeated rows and ids, a very long text and columns with clashing names."""
+    r = random.Random(18)
+    clash = SCHEMA + ", _row long, _text string, set_id long, _set string, bin long, score double, unit string"
+    one = prose(r, 120)
+    long = " ".join(prose(r, 120) for _ in range(300)) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
+    rows = [(1, one), (1, one), (2, one), (3, long), (3, prose(r, 130)), (None, prose(r, 140)), (None, None), (4, None), (5, ""), (6, " ".join(prose(r, 1) + "###" for _ in range(90)))]
+    full = [(i, t, None, None, None, k, "x", k, "y", k, 0.5, "z") for k, (i, t) in enumerate(rows)]
+    for name, table in (("none", []), ("odd", full)):
+        at = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(table, clash)
+        docs.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, prose(r, 30)), (None, None), (2, "")][: 3 * bool(table)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.saved(stage(spark, now, at))
+            assert now.columns == docs.columns
+        kept = Counter((x["doc_id"], (x["text"] or "")[:40]) for x in now.collect())
+        assert kept == Counter({(1, one[:40]): 1, (3, long[:40]): 1, (3, rows[4][1][:40]): 1, (None, rows[5][1][:40]): 1} if table else {})
+        out = corpus_pipeline.STAGES[-1][1](spark, now, at).toPandas()
+        assert {None if np.isnan(i) else int(i) for i in out["doc_id"]} == ({1, 3, None} if table else set())
+        if table:
+            assert all("04dbebab" not in x["text"] for x in now.where("doc_id = 3").collect())
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(8)
     base = [prose(r, 120) for _ in range(12)]
