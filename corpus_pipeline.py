@@ -1,7 +1,13 @@
 """Corpus cleaning in stages: each takes the documents that the one before it kept.
 
 Order: quality rules, near-duplicate removal, benchmark decontamination, secret masking, packing. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever further columns there are.
+
+Odd rows, stage by stage: null, empty and blank texts fail the base rules and go in the first stage (given to a later one,
+they stay). Repeated rows are judged one by one and are one group of the second stage, which keeps one of them;
+an id on two texts counts as two documents there. Null ids are kept like others. Ties have fixed winners: the least
+id (nulls last) stands for its group. Empty tables give empty tables, and an empty benchmark drops nothing. Whole texts are
+read, however long.
 """
 
 from __future__ import annotations
@@ -18,27 +24,27 @@ from blockwise.llm.tokens import default_tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep (operator 8)."""
+    """Documents that the weakly supervised rules keep (operator 8); a posterior of exactly one half is kept."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join (operator 3)."""
+    """One row of each component of the n-gram Jaccard join (operator 3); texts without words are no copies of each other."""
     return one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark`` (operator 5)."""
+    """Documents that hold no item of ``benchmark`` (operator 5); repeated, null and empty items change nothing."""
     return drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in the text and ``n_chars`` counted anew (operator 4)."""
+    """All documents, with secrets masked in the text and ``n_chars`` counted anew where it changed (operator 4)."""
     return mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 1024 tokens (operator 9)."""
+    """Pieces of the remaining documents in sequences of 1024 tokens (operator 9); a null text is its end token."""
     return pack(docs, default_tokenizer())
 
 
