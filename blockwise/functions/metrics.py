@@ -43,6 +43,43 @@ def report(pred: DataFrame) -> DataFrame:
     return per.unionByName(total).unionByName(macro).unionByName(weighted)
 
 
+#: Scores by name: a row of the report and its column.
+_OF_REPORT = {f"{m}_{a}": (f"{a} avg", m) for m in ("precision", "recall", "f1") for a in ("macro", "weighted")}
+SCORERS = ("accuracy", "balanced_accuracy", *_OF_REPORT)
+
+
+def score(pred: DataFrame, name: str = "accuracy") -> DataFrame:
+    """One row (score) by a metric's name: accuracy, balanced_accuracy, or precision, recall, f1 with ``_macro`` or ``_weighted``."""
+    if name == "accuracy":
+        return accuracy(pred).withColumnRenamed("accuracy", "score")
+    if name == "balanced_accuracy":
+        return balanced_accuracy(pred).withColumnRenamed("balanced_accuracy", "score")
+    if name not in _OF_REPORT:
+        raise ValueError(f"unknown score: {name}")
+    label, column = _OF_REPORT[name]
+    return report(pred).where(F.col("label") == label).select(F.col(column).alias("score"))
+
+
+def fold_scores_by(pred: DataFrame, name: str = "accuracy") -> DataFrame:
+    """(fold, score) by a metric's name, in one plan: counts per fold, label and prediction."""
+    if name != "balanced_accuracy" and name != "accuracy" and name not in _OF_REPORT:
+        raise ValueError(f"unknown score: {name}")
+    n = pred.groupBy("fold", "grp", "pred").agg(F.count(F.lit(1)).alias("n"))
+    sides = n.select("fold", F.col("grp").alias("label"), F.col("n").alias("support"), F.lit(0).alias("said"), F.when(F.col("grp") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"))
+    sides = sides.unionByName(n.select("fold", F.col("pred").alias("label"), F.lit(0).alias("support"), F.col("n").alias("said"), F.lit(0).alias("tp")))
+    per = sides.groupBy("fold", "label").agg(*[F.sum(c).alias(c) for c in ("support", "said", "tp")])
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    of = {"precision": zero(F.try_divide("tp", "said")), "recall": zero(F.try_divide("tp", "support")), "f1": zero(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("said")))}
+    if name == "accuracy":
+        value = F.sum("tp") / F.sum("support")
+    elif name == "balanced_accuracy":
+        value = F.avg(F.when(F.col("support") > 0, of["recall"]))
+    else:
+        label, metric = _OF_REPORT[name]
+        value = F.avg(of[metric]) if label == "macro avg" else F.sum(of[metric] * F.col("support")) / F.sum("support")
+    return per.groupBy("fold").agg(value.alias("score"))
+
+
 def balanced_accuracy(pred: DataFrame) -> DataFrame:
     per = pred.groupBy("grp").agg(F.avg((F.col("grp") == F.col("pred")).cast("double")).alias("r"))
     return per.agg(F.avg("r").alias("balanced_accuracy"))

@@ -7,7 +7,7 @@ subtracted from the totals; rows are never shuffled to be refitted.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from blockwise.functions.linalg import Stats
 from blockwise.operators.diablo import fit_products, fit_rows, keep_grid, keep_rule
 from blockwise.operators.resample import folds, local_matrix, run_tasks
-from blockwise.operators.statistics import MAX_WIDTH, cross_products, local_rows, row_stats as _stats_of
+from blockwise.operators.statistics import MAX_WIDTH, cross_products, local_rows, refuse_loo, row_stats as _stats_of
 
 
 class Labels(NamedTuple):
@@ -85,6 +85,7 @@ def loo_predictions(joined: DataFrame, features: dict[str, list[str]], n_compone
         return run_tasks(spark, len(y), one, f"sample_id {dict(rows.dtypes)['sample_id']}, grp string, pred string")
     stats = cross_products(rows, sum(sizes))[None]
     kept = _keep(sizes, stats.n, keep)
+    refuse_loo(stats.n, sum(sizes))
     shared = joined.sparkSession.sparkContext.broadcast(stats)  # width is limited by cross_products
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +160,30 @@ def _everything():
     return Window.partitionBy()  # one row per permutation
 
 
+def component_errors(joined: DataFrame, features: dict[str, list[str]], most: int = 3, design: float = 0.1, strategy: str = "stratified", k: int = 5) -> DataFrame:
+    """(component, overall_error) with 1, 2 ... components, each by cross-validation in a task of its own."""
+    sizes = [len(v) for v in features.values()]
+    x, y = local_matrix(joined.select("sample_id", "grp", F.concat(*[F.col(n) for n in features]).alias("x")))
+    spark = joined.sparkSession
+    data = spark.sparkContext.broadcast((x, y))
+    keep = _keep(sizes, len(y), None)
+
+    def one(t: int) -> list[tuple]:
+        x, y = data.value
+        try:
+            return [(t + 1, _error(x, y, sizes, keep, t + 1, design, strategy, k))]
+        except (np.linalg.LinAlgError, ValueError):
+            return [(t + 1, None)]
+
+    return run_tasks(spark, most, one, "component long, overall_error double")
+
+
+def choose_components(errors: Sequence[tuple[int, float | None]] | None, default: int = 2) -> int:
+    """The number of components of least error, the largest of equals; without a usable error, or below one, the default."""
+    usable = [(e, -c) for c, e in errors or [] if e is not None and e == e and c >= 1]
+    return -min(usable)[1] if usable else default
+
+
 def tune_keep(joined: DataFrame, features: dict[str, list[str]], n_components: int = 2, design: float = 0.1, strategy: str = "stratified", k: int = 5) -> DataFrame:
     """(keep, error) of every combination of the blocks' grids, least error first, then fewest features; one task each."""
     sizes = [len(v) for v in features.values()]

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from blockwise.operators.ranks import row_numbers
+
 
 def _order(names: Sequence[str]):
     return F.coalesce(*[F.when(F.col("layer") == n, F.lit(i)) for i, n in enumerate(names)])
@@ -50,7 +52,9 @@ def align(layers: Mapping[str, DataFrame], positional: bool = False) -> DataFram
     sides = []
     for name, df in layers.items():
         one = last_per_sample(df.withColumn("layer", F.lit(name)))
-        key = F.row_number().over(W.orderBy("row_ix")).cast("string") if positional else F.col("sample_id")
+        if positional:
+            one = row_numbers(one, ["row_ix"], "_rank")
+        key = (F.col("_rank") + 1).cast("string") if positional else F.col("sample_id")
         sides.append(one.select(key.alias("sample_id"), F.col("grp").alias(f"{name}_grp"), F.col("x").alias(f"{name}_x")))
     return reduce(lambda a, b: a.join(b, "sample_id"), sides)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -82,15 +83,22 @@ WIDE = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows by a reliable checkpoint in ``spark.checkpoint.dir`` (else, in local mode only, in a folder of our own)."""
+    """The rows as a table written once to ``spark.checkpoint.dir`` (else, in local mode only, to a folder of our own), which outlives lost executors.
+
+    ``checkpoint()`` would compute the rows twice. Columns are written under plain names, for theirs may hold any character.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="blockwise-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blockwise-"))
+        at = spark.sparkContext.getCheckpointDir()
+    at = f"{at.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    plain.write.parquet(at)
+    return spark.read.schema(plain.schema).parquet(at).toDF(*names)
 
 
 @dataclass(frozen=True)
@@ -133,9 +141,11 @@ class VectorLayer:
         return replace(self, df=df, features=tuple(features) if features is not None else self.features)
 
     def long(self, key: str | None = None) -> DataFrame:
-        """(layer, sample_id, grp, feature, feature_ix, value): ``feature`` is the index as a string."""
+        """(layer, sample_id, grp, feature, feature_ix, value): one row per cell, as from a wide layer."""
         cells = self.df.select(F.lit(self.name).alias("layer"), q(key or self.keys[0]).cast("string").alias("sample_id"), "grp", F.posexplode("x").alias("feature_ix", "value"))
-        return cells.select("layer", "sample_id", "grp", F.col("feature_ix").cast("string").alias("feature"), "feature_ix", "value")
+        # One string, split once when the plan is made: thousands of literals would take seconds to build.
+        names = F.get(F.split(F.lit("\u0000".join(self.features)), "\u0000"), F.col("feature_ix"))
+        return cells.select("layer", "sample_id", "grp", names.alias("feature"), "feature_ix", "value")
 
     def vectors(self, *keep: str) -> DataFrame:
         return self.df.select(*[q(k) for k in (keep or self.keys)], "grp", "x")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.operators.layer import VectorLayer, q
+from blockwise.operators.ranks import group_medians
 from blockwise.operators.preprocess import MAX_DOUBLE, Config, Log, log_of
 
 _KEY = ["layer", "feature"]
@@ -27,11 +28,14 @@ def drop_constant(cells: DataFrame) -> DataFrame:
 
 
 def impute(cells: DataFrame, mode: str = "group_median", fill_value: float | None = 0.0) -> DataFrame:
-    med = F.median("value")
-    by = cells.groupBy("layer", "grp", "feature").agg((F.when(F.count("value") >= 0.5 * F.count(F.lit(1)), med) if mode == "conservative" else med).alias("_m"))
-    out = cells.join(by, ["layer", "grp", "feature"])
+    key = ["layer", "grp", "feature"]
+    by = group_medians(cells, key).withColumnRenamed("median", "_m")
+    if mode == "conservative":
+        half = cells.groupBy(*key).agg((F.count("value") >= 0.5 * F.count(F.lit(1))).alias("_half"))
+        by = by.join(half, key).select(*key, F.when(F.col("_half"), F.col("_m")).alias("_m"))
+    out = cells.join(by, key)
     if fill_value is None:
-        out = out.join(cells.groupBy(*_KEY).agg(med.alias("_g")), _KEY)
+        out = out.join(group_medians(cells, _KEY).withColumnRenamed("median", "_g"), _KEY)
         last = F.col("_g")
     else:
         last = F.lit(float(fill_value))
@@ -53,7 +57,8 @@ def scale(cells: DataFrame, scaling: str) -> DataFrame:
         by = F.when(F.col("_b") == 0, 1.0).otherwise(F.col("_b"))
     elif scaling in ("standard", "pareto"):
         stats = cells.groupBy(*_KEY).agg(F.avg("value").alias("_a"), F.stddev_pop("value").alias("_b"))
-        by = F.when(F.col("_b") == 0, 1.0).otherwise(F.col("_b") if scaling == "standard" else F.sqrt("_b"))
+        flat = F.lit(1.0) if scaling == "standard" else F.raise_error(F.lit("a feature without variance cannot be Pareto scaled")).cast("double")
+        by = F.when(F.col("_b") == 0, flat).otherwise(F.col("_b") if scaling == "standard" else F.sqrt("_b"))
     else:
         return cells
     return cells.join(stats, _KEY).withColumn("value", (F.col("value") - F.col("_a")) / by).select(*cells.columns)
@@ -81,5 +86,7 @@ def preprocess_vectors(layer: VectorLayer, config: Config, log: Log) -> VectorLa
     log.add("scale", "method", config.scaling)
     rows = cells.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_ix", "value"))), lambda c: c["value"]).alias("x"))
     back = layer.df.drop("x").withColumn("_id", q(key).cast("string"))
-    out = back.join(rows, back._id == rows.sample_id).select(*[back[f"`{c}`"] for c in layer.df.columns if c != "x"], rows.x)
+    # Rows stay where no feature does, as in the wide form.
+    none = F.array().cast("array<double>")
+    out = back.join(rows, back._id == rows.sample_id, "left").select(*[back[f"`{c}`"] for c in layer.df.columns if c != "x"], F.coalesce(rows.x, none).alias("x"))
     return layer.with_df(out, [layer.features[i] for i in kept])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from blockwise.functions.linalg import Pls, Stats, pls, predict_class
 from blockwise.operators.layer import Layer, q
-from blockwise.operators.statistics import cross_products, project
+from blockwise.operators.ranks import row_numbers
+from blockwise.operators.statistics import cross_products, project, refuse_loo
 
 
 def one_hot(df: DataFrame, group: str, classes: list[str]) -> DataFrame:
@@ -62,6 +63,7 @@ class PlsDa:
         a, width = self.model.weights.shape[1], len(self.layer.features)
         totals, spark = self.stats, self.layer.df.sparkSession
         if cv is None:
+            refuse_loo(totals.n, len(totals.sums))
             shared = spark.sparkContext.broadcast(totals)  # at most MAX_WIDTH squared or MAX_CELLS numbers
             vec = self.layer.vectors()
             keys = [f for f in vec.schema.fields if f.name != "x"]
@@ -80,12 +82,8 @@ class PlsDa:
 
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", pred string"
             return vec.mapInArrow(loo, schema)
-        order = self.layer.keys[-1]
-        from pyspark.sql import Window as W
-
-        n = F.count(F.lit(1)).over(W.partitionBy())
-        fold = F.floor((F.row_number().over(W.orderBy(q(order))) - 1) * cv / n).cast("int")
-        rows = self.layer.vectors().withColumn("fold", fold)
+        numbered = row_numbers(self.layer.vectors(), [self.layer.keys[-1]], "_row")
+        rows = numbered.withColumn("fold", F.floor(F.col("_row") * cv / int(totals.n)).cast("int")).drop("_row")
         parts = cross_products(rows, width, "fold", totals.basis)
         out = None
         for k, part in parts.items():

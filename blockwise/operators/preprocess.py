@@ -14,13 +14,16 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.operators.layer import Layer, VectorLayer, q
+from blockwise.operators.layer import Layer, VectorLayer, cut, q
+from blockwise.operators.ranks import STATE_ROWS, group_medians
 
 # The guard added before a logarithm, and the limits put in place of infinities.
 EPS = 1e-10
 MAX_DOUBLE = 1.7976931348623157e308
 #: Expressions per aggregate, to stay under the JVM's limit for generated methods.
 CHUNK = 300
+#: Medians (8 bytes each) that go to every task by label and feature.
+BROADCAST_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,28 @@ def drop_constant(layer: Layer) -> Layer:
 # --- imputation ---------------------------------------------------------------------------------------------
 
 
+def _medians(layer: Layer, conservative: bool, overall: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(_g, _m0, _m1 ...): a row of medians per label, null where ``conservative`` finds too few values; and one row (g_0 ...) over all labels.
+
+    Written once, for later steps of a pipeline would rank all cells for the medians again. An aggregate holds all values of
+    a label and feature, so labels of more than ``STATE_ROWS`` rows are ranked by counts instead, with equal results.
+    """
+    names = layer.features
+    enough = lambda i, m: F.when(F.col(f"_n{i}") >= 0.5 * F.col("_n"), m) if conservative else m
+    count = layer.df.groupBy(q(layer.group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), *[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(names)])
+    sizes = count.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    if ((sizes["all"] if overall else sizes["most"]) or 0) <= STATE_ROWS:
+        middle = layer.df.groupBy(q(layer.group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(names) for x in (F.count(q(c)).alias(f"_n{i}"), F.median(q(c)).alias(f"_x{i}"))])
+        every = one_row(layer, {"g": F.median}) if overall else None
+    else:
+        cells = layer.df.select(q(layer.group).alias("_g"), F.posexplode(F.array(*[q(c) for c in names])).alias("ix", "value"))
+        wide = lambda df, *by: df.groupBy(*by).agg(*[F.max(F.when(F.col("ix") == i, F.col("median"))).alias(f"_x{i}") for i in range(len(names))])
+        middle = count.join(wide(group_medians(cells, ["_g", "ix"]), "_g"), "_g")
+        every = wide(group_medians(cells, ["ix"])).select(*[F.col(f"_x{i}").alias(f"g_{i}") for i in range(len(names))]) if overall else None
+    by = middle.select("_g", *[enough(i, F.col(f"_x{i}")).alias(f"_m{i}") for i in range(len(names))])
+    return cut(by), every
+
+
 def impute(layer: Layer, mode: str = "group_median", fill_value: float | None = 0.0) -> Layer:
     """Missing cells become the median of their label's rows, where the mode allows it, then ``fill_value``.
 
@@ -105,16 +130,12 @@ def impute(layer: Layer, mode: str = "group_median", fill_value: float | None =
     """
     if mode == "none":
         return layer if fill_value is None else layer.map_features(lambda c, _: F.coalesce(c, F.lit(float(fill_value))))
-    by = layer.df.groupBy(q(layer.group).alias("_g")).agg(
-        *[
-            (F.when(F.count(q(c)) >= 0.5 * F.count(F.lit(1)), F.median(q(c))) if mode == "conservative" else F.median(q(c))).alias(f"_m{i}")
-            for i, c in enumerate(layer.features)
-        ]
-    ).persist()  # a row per label; later steps of a pipeline would sort all cells for the medians again
-    df = layer.df.join(by, q(layer.group) == F.col("_g"))
+    by, last_row = _medians(layer, mode == "conservative", fill_value is None)
+    small = by.count() * max(len(layer.features), 1) <= BROADCAST_CELLS
+    df = layer.df.join(F.broadcast(by) if small else by, q(layer.group) == F.col("_g"))
     last = [F.lit(float(fill_value))] * len(layer.features) if fill_value is not None else [q(f"g_{i}") for i in range(len(layer.features))]
     if fill_value is None:
-        df = df.crossJoin(F.broadcast(one_row(layer, {"g": F.median})))  # one row
+        df = df.crossJoin(F.broadcast(last_row))  # one row
     cells = [F.coalesce(q(c), q(f"_m{i}"), last[i]).alias(c) for i, c in enumerate(layer.features)]
     return layer.with_df(df.select(*[q(k) for k in layer.keys], q(layer.group), *cells))
 

@@ -7,27 +7,18 @@ data matrix that is checked to be small enough to send to every task (``MAX_CELL
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
+from blockwise.functions import metrics
 from blockwise.functions.linalg import pls, predict_class
+from blockwise.operators.layer import cut
 from blockwise.operators.statistics import MAX_CELLS, row_basis, row_stats
 
 
-# --- splitters ----------------------------------------------------------------------------------------------
-
-
-def stratified_fold(key: Column, grp: str, k: int, seed: int = 42) -> Column:
-    """Fold 0..k-1 within each label, in an order shuffled by modular arithmetic on a numeric key."""
-    shuffled = F.pmod(key * 7919 + seed, F.lit(10007))
-    return ((F.row_number().over(W.partitionBy(grp).orderBy(shuffled, key)) - 1) % k).cast("int")
-
-
 # --- nearest centroid, relational ---------------------------------------------------------------------------
 
 
@@ -174,7 +165,7 @@ def permutation_test(vectors: DataFrame, model: Callable = PlsModel, n_permutati
         except (np.linalg.LinAlgError, ValueError):
             return [(t - 1, None)]
 
-    scores = run_tasks(spark, n_permutations + 1, one, "permutation long, score double").persist()
+    scores = cut(run_tasks(spark, n_permutations + 1, one, "permutation long, score double"))
     true = scores.where("permutation = -1").first()["score"]
     return permutation_p(scores.where("permutation >= 0"), float(true)).withColumn("true_score", F.lit(float(true))), scores.where("permutation >= 0")
 
@@ -211,8 +202,8 @@ def stability_rounds(vectors: DataFrame, names: list[str], selector: Callable =
     return run_tasks(spark, n_rounds, one, "round long, feature string")
 
 
-def compare_models(vectors: DataFrame, models: dict[str, Callable], strategy: str = "stratified", k: int = 5) -> DataFrame:
-    """(Model, accuracy_mean, accuracy_std), best first."""
+def compare_models(vectors: DataFrame, models: dict[str, Callable], strategy: str = "stratified", k: int = 5, scoring: Sequence[str] = ("accuracy",)) -> DataFrame:
+    """(Model, {score}_mean, {score}_std ...) over the folds for every score of ``scoring`` (see ``metrics.SCORERS``), best by the first one first."""
     x, y = local_matrix(vectors)
     spark = vectors.sparkSession
     data = spark.sparkContext.broadcast((x, y))
@@ -221,8 +212,12 @@ def compare_models(vectors: DataFrame, models: dict[str, Callable], strategy: st
     def one(t: int) -> list[tuple]:
         x, y = data.value
         f = folds(y, strategy, k)
-        pred = cv_predictions(x, y, models[names[t]], f)
-        return [(names[t], int(j), float((pred[f == j] == y[f == j]).mean())) for j in np.unique(f)]
-
-    per = run_tasks(spark, len(names), one, "Model string, fold long, score double")
-    return per.groupBy("Model").agg(F.avg("score").alias("accuracy_mean"), F.stddev_pop("score").alias("accuracy_std")).orderBy(F.desc("accuracy_mean"), "Model")
+        return [(names[t], int(j), g, p) for j, g, p in zip(f, y, cv_predictions(x, y, models[names[t]], f), strict=True)]
+
+    pred = cut(run_tasks(spark, len(names), one, "Model string, fold long, grp string, pred string"))
+    pred = pred.withColumn("fold", F.struct("Model", "fold"))
+    out = None
+    for name in scoring:
+        per = metrics.fold_scores_by(pred, name).groupBy(F.col("fold.Model").alias("Model")).agg(F.avg("score").alias(f"{name}_mean"), F.stddev_pop("score").alias(f"{name}_std"))
+        out = per if out is None else out.join(per, "Model")
+    return out.orderBy(F.desc(f"{scoring[0]}_mean"), "Model")

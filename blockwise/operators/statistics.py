@@ -17,13 +17,24 @@ MAX_WIDTH = 2000
 MAX_CELLS = 8_000_000
 
 
+#: Most numbers that leave-one-out by down-dating may touch (rows times squared width: an hour on some 100 cores).
+MAX_LOO = 1e15
+
+
+def refuse_loo(n: float, width: int) -> None:
+    """Leave-one-out refits a model of ``width`` squared numbers for every row: beyond MAX_LOO use folds."""
+    if n * width * width > MAX_LOO:
+        raise ValueError(f"leave-one-out of {int(n)} rows and {width} features; use folds")
+
+
 def cross_products(vectors: DataFrame, width: int, fold: str | None = None, basis: np.ndarray | None = None) -> dict[object, Stats]:
     """Stats of (grp, x[, fold]) rows, per fold (or under None).
 
     Above MAX_WIDTH features the rows, of at most MAX_CELLS cells, give statistics in their row space; ``basis`` is that of
     earlier statistics which these shall be subtracted from.
 
-    Each task sums its rows in blocks; matrix rows are added up on executors, so the driver gets one matrix per
+    Each task sums its rows in blocks, over several splits of the input, so the number of partial matrices is that of the
+    cores and does not grow with the input; matrix rows are added up on executors, and the driver gets one matrix per
     fold. For leave-one-out use totals and down-dating instead of folds.
     """
     if width > MAX_WIDTH:
@@ -60,7 +71,8 @@ def cross_products(vectors: DataFrame, width: int, fold: str | None = None, basi
         return pa.table({"fold": g.column("fold")[:1], "i": g.column("i")[:1], "grp": g.column("grp")[:1], "n": pa.array([sum(g.column("n").to_pylist())], pa.int64()), "v": pa.array([np.asarray(v, "<f8").tobytes()])})
 
     schema = "fold long, i int, grp string, n long, v binary"
-    rows = vectors.select(f.alias("fold"), "grp", "x").mapInArrow(sums, schema).groupBy("fold", "i", "grp").applyInArrow(add, schema).collect()
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = vectors.select(f.alias("fold"), "grp", "x").coalesce(tasks).mapInArrow(sums, schema).groupBy("fold", "i", "grp").applyInArrow(add, schema).collect()
     classes = sorted({r["grp"] for r in rows if r["i"] == -1})
     out = {}
     for k in sorted({r["fold"] for r in rows}):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from blockwise.operators.layer import q
+from blockwise.operators.statistics import MAX_WIDTH, cross_products
+
 
 def scree(variance: DataFrame, line: float = 80.0) -> DataFrame:
     return variance.select("PC", "Variance_Explained", "Cumulative_Variance", (F.col("Cumulative_Variance") >= line).alias("over_line"))
@@ -52,17 +57,24 @@ def histograms(cells: DataFrame, top_n: int = 6, bins: int = 10) -> DataFrame:
 
 
 def correlation_pairs(wide: DataFrame, features: list[str]) -> DataFrame:
-    """(feature_i, feature_j, r) of every pair i <= j, in one aggregate without a self-join."""
-    from blockwise.operators.layer import q
-
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    out = None
-    for at in range(0, len(pairs), 200):
-        part = pairs[at : at + 200]
-        row = wide.agg(*[F.corr(q(a), q(b)).alias(f"r{k}") for k, (a, b) in enumerate(part)])
-        one = row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(part)])))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(feature_i, feature_j, r) of every pair i <= j, from one pass of cross-products over the rows that have all features.
+
+    A constant feature has a null correlation. Up to ``MAX_WIDTH`` features; the matrix is finished on the driver.
+    """
+    if len(features) > MAX_WIDTH:
+        raise ValueError(f"{len(features)} features: correlations are formed for up to {MAX_WIDTH}; select features first")
+    x = F.array(*[q(c).cast("double") for c in features])
+    stats = cross_products(wide.select(F.lit("all").alias("grp"), x.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))), len(features)).get(None)
+    i, j = np.triu_indices(len(features))
+    r = np.full(len(i), np.nan)
+    if stats is not None:
+        s = stats.centred()
+        size = np.sqrt(np.clip(np.diag(s), 0, None))
+        scale = size[i] * size[j]
+        r = np.divide(s[i, j], scale, out=r, where=scale > 0)
+    names = np.array(features, dtype=object)
+    rows = pa.table({"feature_i": pa.array(names[i], pa.string()), "feature_j": pa.array(names[j], pa.string()), "r": pa.array(np.clip(r, -1, 1), pa.float64(), from_pandas=True)})
+    return wide.sparkSession.createDataFrame(rows)
 
 
 def correlation_network(wide: DataFrame, features: list[str], threshold: float = 0.7) -> DataFrame:

@@ -15,8 +15,9 @@ from blockwise.functions import metrics
 from blockwise.operators import diablo, diablo_validation, integrate, long_form, preprocess, resample
 from blockwise.operators.classifiers import Classifier, WeightedConcatenation
 from blockwise.operators.layer import Layer, layer_from_vectors, q
-from blockwise.operators.pca import Pca, top_loadings
+from blockwise.operators.pca import Pca
 from blockwise.operators.plsda import PlsDa, one_hot, vip_from_tables
+from blockwise.operators.ranks import stratified_folds
 from blockwise.plans import plotdata, workflows
 from blockwise.sources.layers import read_table
 from blockwise.streaming.profile import windowed_profile
@@ -538,7 +539,7 @@ _STRAT = "(row_number() OVER (PARTITION BY grp ORDER BY (s_suppkey * 7919 + 42)
 @query("e03_strat_kfold_centroid", _centroid_sql(_STRAT, "SELECT sample_id, grp, CAST(fold AS INTEGER) AS fold, pred FROM p"))
 def e03(spark, sf):
     cells = supplier_cells(spark, sf)
-    return resample.centroid_cv(cells.withColumn("fold", resample.stratified_fold(F.col("sample_id"), "grp", 5))).select("sample_id", "grp", "fold", "pred")
+    return resample.centroid_cv(stratified_folds(cells, F.col("sample_id"), "grp", 5)).select("sample_id", "grp", "fold", "pred")
 
 
 _PERM = "q AS (SELECT i, avg(CASE WHEN (o_orderkey * 31 + i * 17) % 5 = o_custkey % 5 THEN 1.0 ELSE 0.0 END) AS score FROM orders CROSS JOIN range(40) r(i) GROUP BY i)"

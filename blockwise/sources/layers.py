@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwise.operators.layer import WIDE, Layer, VectorLayer
+from blockwise.operators.layer import WIDE, Layer, VectorLayer, q
 
 
-def read_csv_layer(spark: SparkSession, path: str, group_col: str = "Groups", sample_col: str | None = None, name: str = "layer") -> Layer | VectorLayer:
+def read_csv_layer(spark: SparkSession, path: str, group_col: str = "Groups", sample_col: str | None = None, name: str = "layer", schema: T.StructType | None = None) -> Layer | VectorLayer:
     """CSV with a header, quoted names, ``NA`` or empty for missing and an optional byte-order mark.
 
     An unnamed first header becomes ``sample``. String columns besides the label are ids, not
-    features; numeric ones become doubles (from ``WIDE`` features on, one array). Rows keep their file order in ``row_ix`` (an
-    id that is ascending in the file, captured in a one-partition read).
+    features; numeric ones become doubles (from ``WIDE`` features on, one array). Rows keep their file order in ``row_ix``: the
+    byte at which the row's split of the file starts, plus its number in the split. Types are inferred by a pass of their own unless a ``schema`` is given.
     """
-    df = spark.read.csv(path, header=True, inferSchema=True, nullValue="NA", mode="PERMISSIVE").coalesce(1)
-    names = [c.lstrip("﻿") for c in df.columns]
+    read = spark.read.schema(schema).csv(path, header=True, nullValue="NA") if schema is not None else spark.read.csv(path, header=True, inferSchema=True, nullValue="NA")
+    names = [c.lstrip("﻿") for c in read.columns]
     names = ["sample" if c in ("_c0", "") else c for c in names]
-    df = df.toDF(*names).withColumn("row_ix", F.monotonically_increasing_id())
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df = read.select(*[q(c).alias(n) for c, n in zip(read.columns, names, strict=True)], (F.col("_metadata.file_block_start") + within).alias("row_ix"))
     cells = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in (group_col, sample_col, "row_ix")]
     if len(cells) >= WIDE:
         return VectorLayer.from_wide(df, group_col, cells, name)
