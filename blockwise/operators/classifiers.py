@@ -1,10 +1,17 @@
-"""Classifiers on concatenated blocks, by Spark ML: forest, logistic, and kernel SVM by random features."""
+"""Classifiers on concatenated blocks: forest and logistic by Spark ML, and two kernel machines.
+
+``svm`` is the exact machine with a radial kernel, one class against another, for tables of up to ``MAX_KERNEL_ROWS`` rows: every
+pair of classes is a task. ``svm_features`` is a linear machine on random Fourier features, an approximation for tables of any size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -13,13 +20,79 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from blockwise.functions.svm import radial, two_class
+from blockwise.operators.resample import local_matrix, run_tasks
 from blockwise.operators.statistics import project
 
+#: Rows whose kernel matrix is formed (128 MB of doubles for two classes of half as many rows each).
+MAX_KERNEL_ROWS = 4000
+
+
+@dataclass
+class KernelMachine:
+    """Training rows and, per pair of classes, coefficients on them and an offset."""
+
+    x: np.ndarray
+    gamma: float
+    labels: list[str]
+    pairs: list[tuple[int, int, np.ndarray, float]]
+
+    @staticmethod
+    def fit(vectors: DataFrame) -> KernelMachine:
+        n = vectors.count()
+        if n > MAX_KERNEL_ROWS:
+            raise ValueError(f"{n} rows: the exact kernel machine takes up to {MAX_KERNEL_ROWS}; use svm_features")
+        x, y = local_matrix(vectors)
+        labels = sorted(set(y.tolist()))
+        gamma = 1.0 / (max(x.shape[1], 1) * max(float(x.var()), 1e-12)) if x.size else 1.0
+        chosen = list(combinations(range(len(labels)), 2))
+        spark = vectors.sparkSession
+        data = spark.sparkContext.broadcast((x, y))
+
+        def one(t: int) -> list[tuple]:
+            x, y = data.value
+            a, b = chosen[t]
+            at = np.flatnonzero((y == labels[a]) | (y == labels[b]))
+            coef, offset = two_class(radial(x[at], x[at], gamma), np.where(y[at] == labels[a], 1.0, -1.0))
+            used = coef != 0
+            return [(t, float(offset), at[used].tolist(), coef[used].tolist())]
+
+        pairs = []
+        for r in run_tasks(spark, len(chosen), one, "pair long, offset double, at array<long>, coef array<double>").collect() if chosen else []:
+            whole = np.zeros(len(x))
+            whole[r["at"]] = r["coef"]
+            pairs.append((*chosen[r["pair"]], whole, r["offset"]))
+        return KernelMachine(x, gamma, labels, sorted(pairs, key=lambda p: p[:2]))
+
+    def classes_of(self, x: np.ndarray) -> list[str]:
+        """Votes of the pairs; of equally many the first class."""
+        votes = np.zeros((len(x), len(self.labels)))
+        if self.pairs:
+            said = radial(x, self.x, self.gamma) @ np.stack([p[2] for p in self.pairs], 1) - np.array([p[3] for p in self.pairs])
+            for k, (a, b, _, _) in enumerate(self.pairs):
+                votes[:, a] += said[:, k] > 0
+                votes[:, b] += said[:, k] <= 0
+        return [self.labels[i] for i in votes.argmax(1)]
+
+    def predict(self, vectors: DataFrame) -> DataFrame:
+        kept = [f for f in vectors.schema.fields if f.name != "x"]
+        shared = vectors.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    x = np.array(part.column(len(kept)).to_pylist(), dtype=float).reshape(part.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(shared.value.classes_of(x), pa.string())], names=[*(f.name for f in kept), "pred"])
+
+        return vectors.select(*[F.col(f"`{f.name}`") for f in kept], "x").mapInArrow(run, T.StructType([*kept, T.StructField("pred", T.StringType())]))
+
 
 @dataclass
 class Classifier:
-    """kind: random_forest, svm (RBF kernel by random Fourier features, one against the rest) or logistic."""
+    """kind: random_forest, logistic, svm (exact, radial kernel) or svm_features (random Fourier features, one against the rest)."""
 
     kind: str = "random_forest"
     seed: int = 42
@@ -28,6 +101,7 @@ class Classifier:
     model: PipelineModel | None = None
     labels: list[str] | None = None
     names: list[str] | None = None
+    machine: KernelMachine | None = None
     _map: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _prepared(self, vectors: DataFrame) -> DataFrame:
@@ -38,11 +112,15 @@ class Classifier:
 
     def fit(self, vectors: DataFrame, names: list[str]) -> Classifier:
         """``vectors``: grp and x."""
+        if self.kind == "svm":
+            self.machine, self.names = KernelMachine.fit(vectors), names
+            self.labels = self.machine.labels
+            return self
         if self.kind == "random_forest":
             est = RandomForestClassifier(numTrees=self.trees, maxDepth=30, seed=self.seed, featureSubsetStrategy="sqrt", minInstancesPerNode=1, labelCol="label")
         elif self.kind == "logistic":
             est = LogisticRegression(family="multinomial", maxIter=100, labelCol="label")
-        elif self.kind == "svm":
+        elif self.kind == "svm_features":
             v = array_to_vector("x")
             row = vectors.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(v).alias("mean"), Summarizer.normL2(v).alias("norm")).first()
             n, mean = row["n"], row["mean"].toArray()
@@ -65,6 +143,8 @@ class Classifier:
 
     def predict(self, vectors: DataFrame) -> DataFrame:
         """The rows with ``pred``; unknown labels are kept out of the index only."""
+        if self.machine is not None:
+            return self.machine.predict(vectors)
         ready = self._prepared(vectors)
         est = self.model.stages[1]
         return est.transform(ready).withColumn("pred", F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)).select(*[c for c in vectors.columns if c != "x"], "pred")

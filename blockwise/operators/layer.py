@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,19 +82,24 @@ def layer_from_vectors(df: DataFrame, vector: str, width: int, group: str, key:
 WIDE = 1000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table written once to ``spark.checkpoint.dir`` (else, in local mode only, to a folder of our own), which outlives lost executors.
-
-    ``checkpoint()`` would compute the rows twice. Columns are written under plain names, for theirs may hold any character.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else (in local mode only) a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blockwise-"))
         at = spark.sparkContext.getCheckpointDir()
-    at = f"{at.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table written once to the shared folder, which outlives lost executors.
+
+    ``checkpoint()`` would compute the rows twice. Columns are written under plain names, for theirs may hold any character.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     plain.write.parquet(at)

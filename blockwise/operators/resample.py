@@ -112,7 +112,8 @@ def local_matrix(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     width = vectors.select(F.max(F.size("x"))).first()[0] or 0
     if n * width > MAX_CELLS:
         raise ValueError(f"{n} x {width} cells: resampling by callables takes up to {MAX_CELLS}; aggregate or sample first")
-    rows = vectors.orderBy(*[c for c in vectors.columns if c not in ("grp", "x")]).select("grp", "x").collect()
+    keys = [c for c in vectors.columns if c not in ("grp", "x")]
+    rows = (vectors.orderBy(*keys) if keys else vectors).select("grp", "x").collect()
     return np.array([r["x"] for r in rows], dtype=float).reshape(n, width), np.array([r["grp"] for r in rows], dtype=object)
 
 

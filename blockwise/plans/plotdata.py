@@ -123,3 +123,50 @@ def importance_comparison(loadings: DataFrame, top_n: int = 10) -> DataFrame:
 
 def performance(methods: DataFrame) -> DataFrame:
     return methods.select("Method", "Accuracy", "Std", (F.col("Accuracy") - F.col("Std")).alias("low"), (F.col("Accuracy") + F.col("Std")).alias("high"))
+
+
+def variable_correlations(cells: DataFrame, variates: DataFrame) -> DataFrame:
+    """(block, feature, comp, corr): each feature (sample_id, block, feature, value) with the variates of its own block."""
+    both = cells.select("sample_id", "block", "feature", "value").join(variates.select("sample_id", "block", "comp", "score"), ["sample_id", "block"])
+    return both.groupBy("block", "feature", "comp").agg(F.corr("value", "score").alias("corr"))
+
+
+def similarity_edges(correlations: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(block_i, feature_i, block_j, feature_j, similarity): features of different blocks, by the sum over components of the products of
+    their correlations with the variates; edges of at least ``threshold`` in size. Give it the selected features, not whole layers.
+    """
+    side = lambda x: correlations.select("comp", F.col("block").alias(f"block_{x}"), F.col("feature").alias(f"feature_{x}"), F.col("corr").alias(x))
+    pairs = side("i").join(side("j"), "comp").where("block_i < block_j")
+    out = pairs.groupBy("block_i", "feature_i", "block_j", "feature_j").agg(F.sum(F.col("i") * F.col("j")).alias("similarity"))
+    return out.where(F.abs("similarity") >= threshold)
+
+
+def cluster_order(values: np.ndarray) -> list[int]:
+    """Order of the rows of a small matrix in which complete-linkage clusters (Euclidean) lie together; of equal distances the first pair merges first."""
+    n = len(values)
+    groups = {i: [i] for i in range(n)}
+    d = np.sqrt(((values[:, None] - values[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for _ in range(n - 1):
+        a, b = divmod(int(d.argmin()), n)
+        a, b = min(a, b), max(a, b)
+        groups[a] += groups.pop(b)
+        d[a] = np.maximum(d[a], d[b])
+        d[:, a] = d[a]
+        d[a, a] = np.inf
+        d[b] = d[:, b] = np.inf
+    return next(iter(groups.values())) if groups else []
+
+
+def clustered_map(joined: DataFrame, blocks: dict[str, list[str]], most: int = 200_000) -> DataFrame:
+    """(sample_id, block, feature, value, row, column) of aligned blocks with rows and columns in cluster order; for up to ``most`` cells."""
+    names = [(b, f) for b, fs in blocks.items() for f in fs]
+    n = joined.count()
+    if n * len(names) > most:
+        raise ValueError(f"{n} x {len(names)} cells: a clustered map shows up to {most}; select features first")
+    rows = joined.select("sample_id", F.concat(*[F.col(b) for b in blocks]).alias("x")).orderBy("sample_id").collect()
+    x = np.array([r["x"] for r in rows], dtype=float).reshape(n, len(names))
+    row_at, col_at = np.empty(n, int), np.empty(len(names), int)
+    row_at[cluster_order(x)], col_at[cluster_order(x.T)] = np.arange(n), np.arange(len(names))
+    cells = [(str(r["sample_id"]), *names[j], float(x[i, j]), int(row_at[i]), int(col_at[j])) for i, r in enumerate(rows) for j in range(len(names))]
+    return joined.sparkSession.createDataFrame(cells, "sample_id string, block string, feature string, value double, row int, column int")

@@ -5,6 +5,7 @@ The tables have no missing values, so the ``lineitem`` layer gets a mask from it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,12 @@ from blockwise import sql_models
 from blockwise.functions import metrics
 from blockwise.operators import diablo, diablo_validation, integrate, long_form, preprocess, resample
 from blockwise.operators.classifiers import Classifier, WeightedConcatenation
-from blockwise.operators.layer import Layer, layer_from_vectors, q
-from blockwise.operators.pca import Pca
+from blockwise.operators.layer import Layer, layer_from_vectors, q, shared_dir
+from blockwise.operators.pca import Pca, top_loadings
 from blockwise.operators.plsda import PlsDa, one_hot, vip_from_tables
 from blockwise.operators.ranks import stratified_folds
 from blockwise.plans import plotdata, workflows
-from blockwise.sources.layers import read_table
+from blockwise.sources.layers import read_csv_layer, read_table, write_results
 from blockwise.streaming.profile import windowed_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,7 +698,7 @@ def f14(spark, sf):
 
 @query("f15_svm")
 def f15(spark, sf):
-    return _forest(spark, sf, "svm", n_random=128)
+    return _forest(spark, sf, "svm")
 
 
 @query("f16_logistic")
@@ -791,6 +792,72 @@ def i19(spark, sf):
     return plotdata.histograms(Layer(df, "grp", ("quantity", "size"), ("l_orderkey",)).long(), 2)
 
 
+_VC = f"{_MB}, vc AS (SELECT block, feature, corr(value, score) AS r FROM z JOIN va USING (sample_id, block) GROUP BY 1, 2)"
+
+
+def _variable_correlations(spark, sf) -> DataFrame:
+    blocks = scaled_blocks(spark, sf)
+    cells = None
+    for b, names in _BF.items():
+        one = blocks.select("sample_id", F.lit(b).alias("block"), F.posexplode(b).alias("at", "value")).withColumn("feature", F.get(F.array(*map(F.lit, names)), F.col("at")))
+        cells = one if cells is None else cells.unionByName(one)
+    return plotdata.variable_correlations(cells, diablo.Diablo.fit(blocks, _BF, 1).variates())
+
+
+@query("i24_variable_correlations", f"{_VC} SELECT block, feature, round(r, 5) + 0.0 AS corr FROM vc")
+def i24(spark, sf):
+    return _variable_correlations(spark, sf).select("block", "feature", (F.round("corr", 5) + 0.0).alias("corr"))
+
+
+@query("i24_similarity_edges", f"{_VC} SELECT a.block AS block_i, a.feature AS feature_i, b.block AS block_j, b.feature AS feature_j, round(a.r * b.r, 5) + 0.0 AS similarity FROM vc a JOIN vc b ON a.block < b.block WHERE abs(a.r * b.r) >= 0.3")
+def i24e(spark, sf):
+    return plotdata.similarity_edges(_variable_correlations(spark, sf)).withColumn("similarity", F.round("similarity", 5) + 0.0)
+
+
+# The figures' data of one layer.
+
+
+@query("i01_scree", f"{_PCS}, x AS (" + " UNION ALL ".join(f"SELECT {a} AS a, l FROM pc{a}" for a in range(1, 6)) + ") SELECT 'PC' || a AS pc, round(100 * l / t, 5) AS variance, 100 * sum(l) OVER (ORDER BY a) / t >= 80 AS over_line FROM x CROSS JOIN total")
+def i01(spark, sf):
+    return plotdata.scree(Pca.fit(embeddings(spark, sf), 5).variance()).select(F.col("PC").alias("pc"), F.round("Variance_Explained", 5).alias("variance"), "over_line")
+
+
+_SC = "mu AS (SELECT i, avg(v) AS mu FROM e GROUP BY i), sc AS (SELECT vec_id, grp, " + ", ".join(f"sum((e.v - mu) * (SELECT v FROM pc{a})[e.i + 1]) AS s{a}" for a in (1, 2)) + " FROM e JOIN mu USING (i) GROUP BY vec_id, grp)"
+
+
+@query("i02_pca_scores", f"{_PCS}, {_SC} SELECT vec_id, grp, round(s1, 5) + 0.0 AS x, round(s2, 5) + 0.0 AS y FROM sc")
+def i02(spark, sf):
+    return plotdata.score_points(Pca.fit(embeddings(spark, sf), 2).scores()).select("vec_id", "grp", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"])
+
+
+@query("i03_pca_loadings", f"{_PCS}, x AS (SELECT 'f' || (i - 1) AS f, v[i] AS l FROM pc2 CROSS JOIN range(1, 65) r(i)) SELECT f AS feature, round(l, 5) + 0.0 AS loading, l >= 0 AS positive FROM x ORDER BY abs(l) DESC, f LIMIT 10")
+def i03(spark, sf):
+    top = plotdata.loading_bars(Pca.fit(embeddings(spark, sf), 2).top_loadings(2, 10))
+    return top.select(F.col("Feature").alias("feature"), (F.round("Loading", 5) + 0.0).alias("loading"), "positive")
+
+
+@query("i04_biplot", f"{_PCS}, {_SC}, big AS (SELECT 0.7 * max(greatest(abs(s1), abs(s2))) AS k FROM sc), lo AS (SELECT 'f' || (i - 1) AS f, (SELECT v FROM pc1)[i] AS lx, (SELECT v FROM pc2)[i] AS ly FROM range(1, 65) r(i)), ra AS (SELECT *, row_number() OVER (ORDER BY abs(lx) DESC, f) AS rx, row_number() OVER (ORDER BY abs(ly) DESC, f) AS ry FROM lo) SELECT f AS feature, round(lx * k, 5) + 0.0 AS x, round(ly * k, 5) + 0.0 AS y FROM ra CROSS JOIN big WHERE rx <= 10 OR ry <= 10")
+def i04(spark, sf):
+    m = Pca.fit(embeddings(spark, sf), 2)
+    return plotdata.biplot_arrows(m.loadings_table(), m.scores()).select("feature", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"])
+
+
+@query("i05_plsda_scores", f"{_PLS}, {_LV} SELECT vec_id, grp, round(l1, 5) + 0.0 AS x, round(l2, 5) + 0.0 AS y FROM lv")
+def i05(spark, sf):
+    return plotdata.score_points(PlsDa.fit(embeddings(spark, sf), 2).scores(), "lv").select("vec_id", "grp", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"])
+
+
+@query("i06_plsda_loadings", f"{_PLS}, x AS (SELECT 'f' || (i - 1) AS f, w1.p[i] AS l FROM w1 CROSS JOIN range(1, 65) r(i)) SELECT f AS feature, round(l, 5) + 0.0 AS loading, l >= 0 AS positive FROM x ORDER BY abs(l) DESC, f LIMIT 15")
+def i06(spark, sf):
+    top = plotdata.loading_bars(top_loadings(PlsDa.fit(embeddings(spark, sf), 2).loadings_table(), 1, 15))
+    return top.select(F.col("Feature").alias("feature"), (F.round("Loading", 5) + 0.0).alias("loading"), "positive")
+
+
+@query("i07_vip_bars", f"{_PLS}, {_VIP} SELECT f AS feature, round(vip, 6) AS vip, vip > 1 AS important FROM vip ORDER BY vip DESC, f LIMIT 20")
+def i07(spark, sf):
+    return PlsDa.fit(embeddings(spark, sf), 2).vip().limit(20).select(F.col("Feature").alias("feature"), F.round("VIP", 6).alias("vip"), F.col("Important").alias("important"))
+
+
 _CP = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
 
 
@@ -823,6 +890,19 @@ def i23(spark, sf):
     return plotdata.performance(got.select(F.lit("centroid").alias("Method"), F.col("mean").alias("Accuracy"), F.col("std").alias("Std"))).select("Method", *[F.round(c, 6).alias(c) for c in ("Accuracy", "low", "high")])
 
 
+# --- A: scans and sinks --------------------------------------------------------------------------------------
+
+
+@query("a01_csv_layer", "SELECT s_name AS id, CAST(s_nationkey AS VARCHAR) AS grp, round(s_acctbal, 2) AS acctbal, s_suppkey AS suppkey FROM supplier")
+def a01(spark, sf):
+    """The table written by the result sink and read back as a layer."""
+    out = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    source = read_table(spark, sf, "supplier").select(F.col("s_name").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("Groups"), "s_acctbal", "s_suppkey")
+    write_results({"supplier": source}, out)
+    layer = read_csv_layer(spark, f"{out}/supplier")
+    return layer.df.select("id", F.substring("Groups", 2, 9).alias("grp"), F.round("s_acctbal", 2).alias("acctbal"), F.col("s_suppkey").cast("bigint").alias("suppkey"))
+
+
 # --- J, streaming -------------------------------------------------------------------------------------------
 
 

@@ -180,6 +180,30 @@ def test_concatenation_by_leave_one_out(spark):
     assert one["n_splits"] == 6 and one["mean"] == 1.0 and got["concatenation_predictions"].count() == 6
 
 
+def test_kernel_machine_is_optimal_and_separates_rings(spark, monkeypatch):
+    from blockwise.functions.svm import radial, two_class
+    from blockwise.operators import classifiers
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(80, 2))
+    y = np.where((x**2).sum(1) > 1.2, 1.0, -1.0)
+    y[:5] *= -1  # some on the wrong side
+    k = radial(x, x, 0.5)
+    coef, offset = two_class(k, y)
+    alpha, margin = coef * y, y * (k @ coef - offset)
+    assert alpha.min() >= 0 and alpha.max() <= 1 and abs(coef.sum()) < 1e-9
+    for a, m in zip(alpha, margin, strict=True):  # conditions of the optimum
+        assert m >= 1 - 2e-3 if a == 0 else m <= 1 + 2e-3 if a == 1 else abs(m - 1) < 2e-3
+    rows = [(i, ("in", "mid", "out")[int(rad)], [float((rad + 1) * np.cos(t)), float((rad + 1) * np.sin(t))]) for i, (rad, t) in enumerate((i % 3, 0.37 * i) for i in range(120))]
+    df = spark.createDataFrame(rows, "id long, grp string, x array<double>")
+    m = classifiers.Classifier("svm").fit(df.where("id % 4 > 0"), ["a", "b"])
+    got = m.predict(df.where("id % 4 = 0").select("id", "grp", "x"))
+    assert got.columns == ["id", "grp", "pred"] and metrics.accuracy(got).first()["accuracy"] == 1.0
+    monkeypatch.setattr(classifiers, "MAX_KERNEL_ROWS", 10)
+    with pytest.raises(ValueError, match="svm_features"):
+        classifiers.Classifier("svm").fit(df, ["a", "b"])
+
+
 def test_example_runs(tmp_path):
     r = np.random.default_rng(7)
     for name in ("one", "two"):
