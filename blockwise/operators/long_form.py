@@ -6,11 +6,10 @@ pruned as rows by a semi join, so no plan grows with the number of features.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.operators.layer import VectorLayer, q
+from blockwise.operators.layer import VectorLayer, cut, q
 from blockwise.operators.ranks import group_medians
 from blockwise.operators.preprocess import MAX_DOUBLE, Config, Log, log_of
 
@@ -70,7 +69,11 @@ def quality_check(cells: DataFrame) -> DataFrame:
 
 
 def preprocess(cells: DataFrame, config: Config) -> DataFrame:
-    out = drop_constant(impute(drop_missing(cells, config.drop_threshold), config.impute, config.fill_value))
+    return _after_filter(drop_missing(cells, config.drop_threshold), config)
+
+
+def _after_filter(cells: DataFrame, config: Config) -> DataFrame:
+    out = drop_constant(impute(cells, config.impute, config.fill_value))
     if config.handle_negatives:
         out = shift_negative(out)
     return quality_check(scale(transform(out, config.transform), config.scaling))
@@ -79,11 +82,11 @@ def preprocess(cells: DataFrame, config: Config) -> DataFrame:
 def preprocess_vectors(layer: VectorLayer, config: Config, log: Log) -> VectorLayer:
     """The pipeline on a vector layer; its last key must tell rows apart."""
     key = layer.keys[-1]
-    log.add("start", "features", len(layer.features))
-    cells = preprocess(layer.long(key), config).persist(StorageLevel.MEMORY_AND_DISK)
+    filtered = cut(drop_missing(layer.long(key), config.drop_threshold))
+    cells = cut(_after_filter(filtered, config))
     kept = sorted(r[0] for r in cells.select("feature_ix").distinct().collect())  # at most the layer's features
-    log.add("filters", "features", len(kept))
-    log.add("scale", "method", config.scaling)
+    some = sorted(r[0] for r in filtered.select("feature_ix").distinct().collect())
+    log.pipeline(config, layer.features, [layer.features[i] for i in some], [layer.features[i] for i in kept])
     rows = cells.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_ix", "value"))), lambda c: c["value"]).alias("x"))
     back = layer.df.drop("x").withColumn("_id", q(key).cast("string"))
     # Rows stay where no feature does, as in the wide form.

@@ -214,6 +214,16 @@ class Log:
     def add(self, step: str, metric: str, value: object) -> None:
         self.rows.append((step, metric, str(value)))
 
+    def pipeline(self, config: Config, first: Sequence[str], filtered: Sequence[str], kept: Sequence[str]) -> None:
+        """The decisions of a pipeline, step by step: features at the start, after the missing and after the constant filter, and the settings."""
+        gone = lambda a, b: ", ".join(sorted(set(a) - set(b), key=list(a).index))
+        for step, metric, value in (
+            ("start", "features", len(first)), ("missing filter", "threshold", config.drop_threshold), ("missing filter", "features", len(filtered)), ("missing filter", "dropped", gone(first, filtered)),
+            ("impute", "mode", config.impute), ("impute", "fill", config.fill_value), ("constant filter", "features", len(kept)), ("constant filter", "dropped", gone(filtered, kept)),
+            ("shift", "negatives", config.handle_negatives), ("transform", "method", config.transform), ("scale", "method", config.scaling),
+        ):
+            self.add(step, metric, value)
+
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, "step string, metric string, value string")
 
@@ -225,14 +235,10 @@ def preprocess(layer: Layer | VectorLayer, config: Config, log: Log | None = Non
 
         return preprocess_vectors(layer, config, log or Log())
     log = log or Log()
-    log.add("start", "features", len(layer.features))
     out = drop_missing(layer, config.drop_threshold)
-    log.add("missing filter", "features", len(out.features))
-    out = impute(out, config.impute, config.fill_value)
-    out = drop_constant(out)
-    log.add("constant filter", "features", len(out.features))
+    filtered = impute(out, config.impute, config.fill_value)
+    kept = drop_constant(filtered)
+    log.pipeline(config, layer.features, out.features, kept.features)
     if config.handle_negatives:
-        out = shift_negative(out)
-    out = scale(transform(out, config.transform), config.scaling)
-    log.add("scale", "method", config.scaling)
-    return quality_check(out)
+        kept = shift_negative(kept)
+    return quality_check(scale(transform(kept, config.transform), config.scaling))

@@ -37,7 +37,7 @@ class SingleLayerWorkflow:
 
     def run_preprocessing(self, layer: Layer) -> Layer:
         self.layer = preprocess.preprocess(layer, self.config, self.log)
-        self.layer = self.layer.with_df(self.layer.df.persist())  # read by every later step
+        self.layer = self.layer.with_df(cut(self.layer.df))  # read by every later step
         return self.layer
 
     def run_pca(self, n_components: int = 5) -> dict:
@@ -49,7 +49,7 @@ class SingleLayerWorkflow:
 
     def run_plsda(self, n_components: int = 2, cv: int | None = None) -> dict:
         m = self.plsda = PlsDa.fit(self.layer, n_components)
-        pred = m.cross_validate(cv).persist()
+        pred = cut(m.cross_validate(cv))
         got = {"plsda_vip_scores": m.vip(), "plsda_cv": pred, "plsda_accuracy": metrics.accuracy(pred), "plsda_report": metrics.report(pred), "plsda_confusion": metrics.confusion(pred), "fig_plsda_scores": plotdata.score_points(m.scores(), "lv")}
         self.results |= got
         return got
@@ -85,7 +85,7 @@ class MultiLayerWorkflow:
     def prepare_integration(self, positional: bool = False, strict: bool = False) -> DataFrame:
         """One row per aligned sample: sample_id, grp and one array per layer; strict raises on conflicting labels."""
         names = list(self.layers)
-        aligned = integrate.align({n: self._vectors(n) for n in names}, positional).persist()
+        aligned = cut(integrate.align({n: self._vectors(n) for n in names}, positional))
         self.results["label_conflicts"] = integrate.label_conflicts(aligned, names) if len(names) > 1 else None
         if strict and len(names) > 1 and not self.results["label_conflicts"].where("n_conflicts > 0").isEmpty():
             raise ValueError("layers disagree on labels")

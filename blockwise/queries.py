@@ -15,7 +15,7 @@ from blockwise import sql_models
 from blockwise.functions import metrics
 from blockwise.operators import diablo, diablo_validation, integrate, long_form, preprocess, resample
 from blockwise.operators.classifiers import Classifier, WeightedConcatenation
-from blockwise.operators.layer import Layer, layer_from_vectors, q, shared_dir
+from blockwise.operators.layer import Layer, cut, layer_from_vectors, q, shared_dir
 from blockwise.operators.pca import Pca, top_loadings
 from blockwise.operators.plsda import PlsDa, one_hot, vip_from_tables
 from blockwise.operators.ranks import stratified_folds
@@ -212,13 +212,6 @@ def b19_long(spark, sf):
     return out.groupBy("grp", "feature").agg(F.count("value").alias("n"), *[near(f("value")).alias(n) for f, n in ((F.avg, "mean"), (F.min, "lo"), (F.max, "hi"), (F.stddev_pop, "std"))])
 
 
-@query("b24_config_sweep")
-def b24(spark, sf):
-    layer = Layer.from_wide(read_table(spark, sf, "supplier").withColumn("zone", F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd")), "zone", sample_col="s_suppkey", features=["s_acctbal", "s_nationkey"])
-    base = preprocess.preset("metabolomics")
-    return workflows.config_sweep(layer, {"pareto": base, "standard": base.merged(scaling="standard"), "raw": base.merged(transform="none", scaling="none")}, 1)
-
-
 # --- C: integration -----------------------------------------------------------------------------------------
 
 BLOCKS = ("orders", "lines", "customer")
@@ -264,7 +257,7 @@ def c03(spark, sf):
 
 @query("c04_align", f"WITH {_L} SELECT o.sample_id, round(total, 6) AS total, round(acct, 6) AS acct FROM o JOIN c ON o.sample_id = c.sample_id JOIN l ON l.sample_id = o.sample_id")
 def c04(spark, sf):
-    cells = block_cells(spark, sf)
+    cells = cut(block_cells(spark, sf))  # each side reads it
     sides = {b: cells.where(F.col("layer") == b).groupBy("sample_id", "grp").agg(F.lit(0).alias("row_ix"), F.max(F.when(F.col("feature_ix") == 0, F.col("value"))).alias("x")) for b in BLOCKS}
     return integrate.align(sides).select("sample_id", F.round("orders_x", 6).alias("total"), F.round("customer_x", 6).alias("acct"))
 
@@ -472,6 +465,35 @@ def d11b(spark, sf):
     return vip_from_tables(w, spark.range(1, 3).select(F.col("id").alias("comp"), (F.col("id") * 2.5).alias("ss"))).select("feature", F.round("vip", 6).alias("vip"))
 
 
+# Leave-one-out with one component after three ways of preprocessing.
+_ZONES = """s AS (SELECT s_suppkey AS doc_id, CAST(s_nationkey % 2 AS DOUBLE) AS y, s_acctbal + CASE WHEN min(s_acctbal) OVER () < 0 THEN abs(min(s_acctbal) OVER ()) + 1 ELSE 0 END AS p, CAST(s_nationkey AS DOUBLE) AS q FROM supplier),
+l AS (SELECT doc_id, y, ln(p + 1e-10) AS p, ln(q + 1e-10) AS q FROM s)"""
+_WAYS = {
+    "pareto": "SELECT doc_id, y, (p - avg(p) OVER ()) / sqrt(stddev_pop(p) OVER ()) AS chars, (q - avg(q) OVER ()) / sqrt(stddev_pop(q) OVER ()) AS blanks FROM l",
+    "standard": "SELECT doc_id, y, (p - avg(p) OVER ()) / stddev_pop(p) OVER () AS chars, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS blanks FROM l",
+    "raw": "SELECT doc_id, y, p AS chars, q AS blanks FROM s",
+}
+
+
+def _swept(name: str) -> str:
+    ok = "CASE WHEN grp = pred THEN 1.0 ELSE 0.0 END"
+    return f"SELECT '{name}' AS \"Config_ID\", round(avg({ok}), 6) AS \"Accuracy\", round(stddev_pop({ok}), 6) AS \"Std\" FROM (WITH {_ZONES}, x AS ({_WAYS[name]}), {_SUMS}, {_LEFT_OUT}, {_one_component('r')} SELECT * FROM p)"
+
+
+@query("b20_log", f"WITH {_M}, f AS ({_FRACTIONS}), k AS (SELECT count(*) AS n, string_agg(feature, ', ' ORDER BY CASE feature WHEN 'quantity' THEN 1 WHEN 'price' THEN 2 WHEN 'discount' THEN 3 ELSE 4 END) FILTER (WHERE f > 0.5) AS gone, count(*) FILTER (WHERE f <= 0.5) AS kept FROM f) SELECT 'start' AS step, 'features' AS metric, CAST(n AS VARCHAR) AS value FROM k UNION ALL SELECT 'missing filter', 'features', CAST(kept AS VARCHAR) FROM k UNION ALL SELECT 'missing filter', 'dropped', coalesce(gone, '') FROM k UNION ALL SELECT 'constant filter', 'features', CAST(kept AS VARCHAR) FROM k UNION ALL SELECT * FROM (VALUES ('missing filter', 'threshold', '0.5'), ('impute', 'mode', 'group_median'), ('impute', 'fill', '0.0'), ('constant filter', 'dropped', ''), ('shift', 'negatives', 'True'), ('transform', 'method', 'log'), ('scale', 'method', 'pareto')) v(step, metric, value)")
+def b20(spark, sf):
+    log = preprocess.Log()
+    preprocess.preprocess(lineitem(spark, sf), preprocess.preset("metabolomics"), log)
+    return log.frame(spark)
+
+
+@query("b24_config_sweep", " UNION ALL ".join(map(_swept, _WAYS)))
+def b24(spark, sf):
+    layer = Layer.from_wide(read_table(spark, sf, "supplier").withColumn("zone", F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd")), "zone", sample_col="s_suppkey", features=["s_acctbal", "s_nationkey"])
+    base = preprocess.preset("metabolomics")
+    return workflows.config_sweep(layer, {"pareto": base, "standard": base.merged(scaling="standard"), "raw": base.merged(transform="none", scaling="none")}, 1).select("Config_ID", F.round("Accuracy", 6).alias("Accuracy"), F.round("Std", 6).alias("Std"))
+
+
 _RULE = "p AS (SELECT l_returnflag AS grp, CASE WHEN l_quantity > 30 THEN 'A' WHEN l_discount > 0.05 THEN 'N' ELSE 'R' END AS pred FROM lineitem)"
 
 
@@ -621,7 +643,7 @@ def scaled_blocks(spark, sf) -> DataFrame:
     st = cells.groupBy("layer", "feature").agg(F.avg("value").alias("_a"), F.stddev_pop("value").alias("_s"))
     cells = cells.join(F.broadcast(st), ["layer", "feature"]).withColumn("value", (F.col("value") - F.col("_a")) / F.col("_s"))  # one row per feature
     x = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == b, F.struct("feature_ix", "value")))), lambda s: s["value"]).alias(b)
-    return cells.groupBy("sample_id", "grp").agg(*[x(b) for b in BLOCKS])
+    return cut(cells.groupBy("sample_id", "grp").agg(*[x(b) for b in BLOCKS]))  # the fit and every block's variates read it
 
 
 def multiblock_model(spark, sf) -> diablo.Diablo:
@@ -906,7 +928,15 @@ def a01(spark, sf):
 # --- J, streaming -------------------------------------------------------------------------------------------
 
 
-@query("j05_single_workflow")
+# The report of two features: two components explain all of them, and two discriminant components are least squares.
+_J05 = f"""WITH {_LAB}, raw AS (SELECT doc_id, y, ln(chars + 1e-10) AS chars, ln(blanks + 1e-10) AS blanks FROM x), sc AS (SELECT doc_id, y, (chars - avg(chars) OVER ()) / sqrt(stddev_pop(chars) OVER ()) AS chars, (blanks - avg(blanks) OVER ()) / sqrt(stddev_pop(blanks) OVER ()) AS blanks FROM raw),
+{_SUMS.replace('FROM x', 'FROM sc')}, {_OLS.replace('FROM x CROSS', 'FROM sc AS x CROSS')}, v AS (SELECT ca * ca / (ca * ca + cb * cb) AS w, (ca * ca + cb * cb) * (ca * ca + cb * cb) / (ca * ca * saa + 2 * ca * cb * sab + cb * cb * sbb) AS s1, (ca * ca * sbb - 2 * ca * cb * sab + cb * cb * saa) / det AS s FROM k),
+f AS (SELECT 'chars' AS feature, sqrt(2 * (w * s1 + (1 - w) * (s - s1)) / s) AS vip FROM v UNION ALL SELECT 'blanks', sqrt(2 * ((1 - w) * s1 + w * (s - s1)) / s) FROM v)
+SELECT 0 AS ord, 'documents' AS section, 'PC1+PC2 variance (%)' AS key, '100.0' AS value UNION ALL SELECT 1, 'documents', 'cross-validated accuracy (%)', CAST(round(100 * avg(CASE WHEN grp = pred THEN 1.0 ELSE 0.0 END), 1) AS VARCHAR) FROM p
+UNION ALL SELECT 2, 'documents', 'features with VIP > 1', CAST(count(*) FILTER (WHERE vip > 1) AS VARCHAR) FROM f UNION ALL SELECT 3, 'documents', 'top feature', arg_max(feature, vip) FROM f"""
+
+
+@query("j05_single_workflow", _J05)
 def j05(spark, sf):
     w = workflows.SingleLayerWorkflow("metabolomics")
     w.run_full_analysis(_labelled(spark, sf), 2)
