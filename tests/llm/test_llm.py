@@ -671,6 +671,33 @@ def test_quality_rules(spark, empty):
     assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def test_label_model_finds_what_rules_are_worth():
+    """Votes drawn from known accuracies: the posteriors equal plain expectation-maximisation over single rows, and tell the classes apart."""
+    r = np.random.default_rng(5)
+    n, m = 4000, len(quality_rules.RULES)
+    good = r.random(n) < 0.7
+    right, speaks = r.uniform(0.7, 0.95, m), r.uniform(0.5, 1.0, m)
+    says_good = np.where(r.random((n, m)) < right, good[:, None], ~good[:, None])
+    votes = np.where(r.random((n, m)) < speaks, np.where(says_good, quality_rules.GOOD, quality_rules.BAD), quality_rules.ABSTAIN)
+    pattern = (votes * 3 ** np.arange(m)).sum(1)
+    post = quality_rules.fit_label_model(dict(Counter(pattern.tolist())))
+    q = np.array([post[p] for p in pattern.tolist()])
+    assert ((q >= 0.5) == good).mean() > 0.97
+    # Row by row, from the same start and prior counts.
+    p = np.clip(((votes == 1).sum(1) + 1) / ((votes == 1).sum(1) + 4 * (votes == 2).sum(1) + 2), 0.02, 0.98)
+    for _ in range(200):
+        share = p.mean()
+        table = np.array([[[quality_rules.PRIOR[c, k] + w[votes[:, j] == k].sum() for k in range(3)] for j in range(m)] for c, w in enumerate((p, 1 - p))])
+        table /= table.sum(2, keepdims=True)
+        like = [np.prod(table[c, np.arange(m), votes], axis=1) * s for c, s in enumerate((share, 1 - share))]
+        new = like[0] / (like[0] + like[1])
+        done = np.abs(new - p).max() < 1e-9
+        p = new
+        if done:
+            break
+    assert p == pytest.approx(q, abs=1e-6)
+
+
 # --- 7 ---
 
 
