@@ -8,7 +8,8 @@ marked-up prose). All features are computed on whole words, however long.
 
 Decoding is exact Viterbi. A token is *closed* when its score for O exceeds the others by more than any change of
 transitions could gain; every best path then passes it as O, so chains are decoded between
-closed tokens only, and prose costs a table look-up per word.
+closed tokens only. Shape and surroundings of all words are arrays; only words that these leave open are looked at
+one by one.
 """
 
 from __future__ import annotations
@@ -69,18 +70,40 @@ _TRIM[list(b"\"'`,;:.()[]{}<>")] = True
 
 LENGTH_BINS = (4, 8, 12, 16, 20, 28, 40)
 SHAPES = ("lower", "upper", "digit", "keych", "mark", "other", "switches>=3", "switches>=7", "upper_inside", "digits>=4", "plain")
-CONTEXT = ("prev_beside", "prev_sign", "prev2_beside", "next_same_shape", "opening", "at_or_url", "line_start", "own_assign", "beside_in_file", "marked_file", "prev_naming", "own_naming", "unique_id", "path")
+AROUND = ("prev_beside", "prev_sign", "prev2_beside", "prev_naming", "next_same_shape", "line_start", "beside_in_file", "marked_file")
+#: What the characters of a word itself say; plain words have none of these.
+OWN = ("opening", "at_or_url", "own_assign", "own_naming", "unique_id", "path")
+CONTEXT = AROUND + OWN
 N_FEATURES = 1 + (len(LENGTH_BINS) + 1) + len(SHAPES) + len(CONTEXT)
 _FIRST_CONTEXT = N_FEATURES - len(CONTEXT)
+_FIRST_OWN = N_FEATURES - len(OWN)
+_PLAIN = np.uint32(1 << SHAPES.index("plain"))
 
 
-@functools.lru_cache(maxsize=1)
-def _beside_hashes() -> np.ndarray:
-    text = " ".join(BESIDE)
-    block = next(blocks(pa.array([text])))
+@functools.lru_cache(maxsize=2)
+def _known(names: tuple[str, ...]) -> np.ndarray:
+    block = next(blocks(pa.array([" ".join(names)])))
     return np.sort(word_hashes(block, words(block)))
 
 
+def word_kinds(block: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word, without quotes and signs at its ends, is one of BESIDE, and one of NAMING."""
+    n = block.n_bytes
+    inner = ~_EDGE[block.buf[:n]]
+    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    start = np.minimum.accumulate(np.where(inner, at, n)[::-1])[::-1][w.start].astype(np.int64)
+    end = np.maximum.accumulate(np.where(inner, at, -1))[w.end - 1].astype(np.int64) + 1
+    small = np.flatnonzero((end > start) & (end - start <= max(map(len, BESIDE + NAMING))))
+    h = word_hashes(block, Words(start[small], end[small], np.zeros(1, np.int64)))
+    out = []
+    for names in (BESIDE, NAMING):
+        known = _known(names)
+        flag = np.zeros(len(w.start), dtype=bool)
+        flag[small] = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        out.append(flag)
+    return out[0], out[1]
+
+
 def shapes(block: Block, w: Words) -> np.ndarray:
     """Shape features of every word as bits, the length bin above them."""
     buf = block.buf
@@ -92,7 +115,7 @@ def shapes(block: Block, w: Words) -> np.ndarray:
     n_odd = odd[w.end] - odd[w.start]
     last = buf[w.end - 1]
     edge = _UPPER[buf[w.start]].astype(np.int64) + ((last == 0x2E) | (last == 0x2C))
-    plain = np.uint32(1 << SHAPES.index("plain"))
+    plain = _PLAIN
     out |= np.uint32(1) | plain
     todo = np.flatnonzero((n_odd > edge) | (size == edge))
     if len(todo):
@@ -128,71 +151,57 @@ def shape_rows(codes: np.ndarray) -> np.ndarray:
     return x
 
 
-def context_rows(block: Block, w: Words, h: np.ndarray, codes: np.ndarray, at: np.ndarray, doc: np.ndarray, beside_file: np.ndarray, marked_file: np.ndarray) -> np.ndarray:
-    """All features of the words ``at``."""
+def around(block: Block, w: Words, codes: np.ndarray) -> np.ndarray:
+    """The features AROUND of every word: words x features, as 0 and 1."""
+    n, n_docs = len(codes), block.n_docs
+    doc = np.repeat(np.arange(n_docs), np.diff(w.first))
+    beside, naming = word_kinds(block, w)
+    out = np.zeros((n, len(AROUND)), dtype=bool)
+    first, last = block.buf[w.start], block.buf[w.end - 1]
+    sign = (last == 0x3D) | (last == 0x3A) | (first == 0x3D)
+    for k, flag, back in ((0, beside, 1), (1, sign, 1), (2, beside, 2), (3, naming, 1), (3, naming, 2)):
+        out[back:, k] |= flag[:-back] & (doc[:-back] == doc[back:])
+    out[:-1, 4] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
+    out[:, 5] = (w.start == 0) | (block.buf[np.maximum(w.start - 1, 0)] == 0x0A)
+    marks = np.concatenate([[0], np.cumsum(_MARK[block.buf[: block.n_bytes]], dtype=np.int64)])
+
+    def per_doc(flag: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
+        return total[w.first[1:]] - total[w.first[:-1]]
+
+    out[:, 6] = (per_doc(beside) > 0)[doc]  # a word that stands beside secrets occurs in the file
+    out[:, 7] = (per_doc(marks[w.end] > marks[w.start]) * 10 > np.diff(w.first))[doc]  # a tenth of its words hold marks
+    return out
+
+
+def all_features(block: Block, w: Words, codes: np.ndarray, near: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All features of the words ``at``; ``near`` are those around every word."""
     x = shape_rows(codes[at])
-    buf, n = block.buf, len(codes)
-    c = _FIRST_CONTEXT
-
-    def same_doc(i: np.ndarray) -> np.ndarray:
-        ok = (i >= 0) & (i < n)
-        i = np.clip(i, 0, n - 1)
-        return ok & (i >= w.first[doc]) & (i < w.first[doc + 1])
-
-    def one_of(i: np.ndarray, names: frozenset) -> np.ndarray:
-        """The word, without quotes and signs at its ends, is one of these."""
-        ok, j = same_doc(i), np.clip(i, 0, n - 1)
-        hit = np.zeros(len(i), dtype=bool)
-        for k in np.flatnonzero(ok).tolist():
-            hit[k] = buf[w.start[j[k]] : w.end[j[k]]].tobytes().strip(_EDGES).lower() in names
-        return hit
-
-    prev = at - 1
-    first_byte, last_byte = buf[w.start[np.clip(prev, 0, n - 1)]], buf[w.end[np.clip(prev, 0, n - 1)] - 1]
-    x[:, c] = one_of(prev, _BESIDE_SET)
-    x[:, c + 1] = same_doc(prev) & ((last_byte == 0x3D) | (last_byte == 0x3A) | (first_byte == 0x3D))
-    x[:, c + 2] = one_of(at - 2, _BESIDE_SET)
-    nxt = np.clip(at + 1, 0, n - 1)
-    x[:, c + 3] = same_doc(at + 1) & (codes[nxt] == codes[at])
-    x[:, c + 10] = one_of(prev, _NAMING_SET) | one_of(at - 2, _NAMING_SET)
-    for k, i in enumerate(at.tolist()):
-        word = buf[w.start[i] : w.end[i]].tobytes()
+    x[:, _FIRST_CONTEXT:_FIRST_OWN] = near[at]
+    for k in np.flatnonzero(codes[at] & _PLAIN == 0).tolist():
+        i = int(at[k])
+        word = block.buf[w.start[i] : w.end[i]].tobytes()
         bare = word.strip(b"\"'`,;:.()[]{}<>")
-        x[k, c + 4] = bare.startswith(OPENINGS)
-        x[k, c + 5] = b"@" in word or b"://" in word or word.startswith(b"www.")
         head, sign, tail = bare.replace(b":", b"=", 1).partition(b"=")
         name = head.strip(b"\"'").lower()
         last_part = re.split(rb"[_.-]", name)[-1]
-        x[k, c + 7] = bool(sign) and len(tail) >= 8 and (name in _BESIDE_SET or last_part in _BESIDE_SET)
-        x[k, c + 11] = bool(sign) and (name in _NAMING_SET or last_part in _NAMING_SET)
-        x[k, c + 12] = UNIQUE_ID.search(bare) is not None
-        x[k, c + 13] = bare.startswith((b"/", b"./", b"../", b"~/")) or bare.count(b"/") >= 2 and b"." in bare
-    s = w.start[at]
-    x[:, c + 6] = (s == 0) | (buf[np.maximum(s - 1, 0)] == 0x0A)
-    x[:, c + 8] = beside_file[doc]
-    x[:, c + 9] = marked_file[doc]
+        x[k, _FIRST_OWN:] = (
+            bare.startswith(OPENINGS),
+            b"@" in word or b"://" in word or word.startswith(b"www."),
+            bool(sign) and len(tail) >= 8 and (name in _BESIDE_SET or last_part in _BESIDE_SET),
+            bool(sign) and (name in _NAMING_SET or last_part in _NAMING_SET),
+            UNIQUE_ID.search(bare) is not None,
+            bare.startswith((b"/", b"./", b"../", b"~/")) or (bare.count(b"/") >= 2 and b"." in bare),
+        )
     return x
 
 
 _BESIDE_SET, _NAMING_SET = (frozenset(k.encode() for k in names) for names in (BESIDE, NAMING))
-_EDGES = b"\"'`,;:.=()[]{}<>"
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[list(b"\"'`,;:.=()[]{}<>")] = True
 UNIQUE_ID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 
-def file_features(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: a word that stands beside secrets occurs; a tenth of its words hold marks."""
-    known = _beside_hashes()
-    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-    marks = np.concatenate([[0], np.cumsum(_MARK[block.buf[: block.n_bytes]], dtype=np.int64)])
-    held = marks[w.end] > marks[w.start]
-
-    def per_doc(flag: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-        return total[w.first[1:]] - total[w.first[:-1]]
-
-    return per_doc(hit) > 0, per_doc(held) * 10 > np.diff(w.first)
-
-
 # --- training -----------------------------------------------------------------------------------------------
 
 _SYL = "an be con de er fi ga ha in jo ka lo me no or pa qu re so ti un ver wa xi yo za th st nd ble tion".split()
@@ -276,10 +285,8 @@ def training_texts(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[i
 def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     block = next(blocks(pa.array(texts), 1 << 62))
     w = words(block)
-    h = word_hashes(block, w)
-    doc = np.repeat(np.arange(block.n_docs), np.diff(w.first))
     codes = shapes(block, w)
-    return context_rows(block, w, h, codes, np.arange(len(codes)), doc, *file_features(block, w, h)), w.first
+    return all_features(block, w, codes, around(block, w, codes), np.arange(len(codes))), w.first
 
 
 class Crf:
@@ -290,22 +297,20 @@ class Crf:
         t, gain = self.transitions, self.weights[:, 1:] - self.weights[:, :1]
         # What B or I can gain over O by transitions, whatever stands before and after.
         self.slack = np.array([(t[:, x] - t[:, 0]).max() + (t[x] - t[0]).max() for x in (1, 2)])
-        # What context can add; openings, assignments, addresses, ids and paths need characters that plain words lack.
-        context = np.clip(gain[_FIRST_CONTEXT:], 0, None)
-        self.context_gain = context.sum(0)
-        self.plain_gain = np.delete(context, [CONTEXT.index(f) for f in ("opening", "own_assign", "own_naming", "at_or_url", "unique_id", "path")], axis=0).sum(0)
-        self._open: dict[int, bool] = {}
-
-    def may_open(self, codes: np.ndarray) -> np.ndarray:
-        """False where O wins by more than context and transitions can change."""
+        # What the characters of a word can add at most; nothing for plain words.
+        self.own_gain = np.clip(gain[_FIRST_OWN:], 0, None).sum(0)
+        self.around_gain = gain[_FIRST_CONTEXT:_FIRST_OWN].astype(np.float32)
+        self._gain: dict[int, np.ndarray] = {}
+
+    def may_open(self, codes: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """False where O wins by more than the word's own characters and transitions can change; shape and surroundings are exact."""
         some, inverse = np.unique(codes, return_inverse=True)
-        new = np.array([c for c in some.tolist() if c not in self._open], dtype=np.uint32)
-        if len(new):
-            e = shape_rows(new)[:, :_FIRST_CONTEXT] @ self.weights[:_FIRST_CONTEXT]
-            plain = (new & ((1 << len(SHAPES)) - 1)) == (1 | 1 << SHAPES.index("plain"))
-            bound = (e[:, 1:] - e[:, :1] + np.where(plain[:, None], self.plain_gain, self.context_gain) + self.slack).max(1)
-            self._open.update(zip(new.tolist(), (bound >= 0).tolist(), strict=True))
-        return np.array([self._open[c] for c in some.tolist()], dtype=bool)[inverse]
+        for c in some.tolist():
+            if c not in self._gain:
+                e = shape_rows(np.array([c], dtype=np.uint32))[0, :_FIRST_CONTEXT] @ self.weights[:_FIRST_CONTEXT]
+                self._gain[c] = e[1:] - e[:1] + self.slack + (0.0 if c & int(_PLAIN) else self.own_gain)
+        top = np.array([self._gain[c] for c in some.tolist()]).reshape(-1, 2)[inverse]
+        return (top + near.astype(np.float32) @ self.around_gain).max(1, initial=-np.inf) >= -1e-3
 
     def is_open(self, emit: np.ndarray) -> np.ndarray:
         return (emit[:, 1:] - emit[:, :1] + self.slack).max(1) >= 0
@@ -333,7 +338,7 @@ def trained() -> Crf:
     made = training_texts()
     x, first = _rows([t for t, _ in made])
     n, longest = len(made), int(np.diff(first).max())
-    wide = np.zeros((n, longest, N_FEATURES), dtype=np.float32)
+    wide = np.zeros((n, longest, N_FEATURES))
     gold = np.zeros((n, longest), dtype=np.int64)
     real = np.zeros((n, longest), dtype=bool)
     for d, (_, spans) in enumerate(made):
@@ -383,12 +388,12 @@ def crf_words(block: Block, model: Crf) -> dict[int, list[tuple[int, int]]]:
     if not len(w.start):
         return {}
     codes = shapes(block, w)
-    maybe = np.flatnonzero(model.may_open(codes))
+    near = around(block, w, codes)
+    maybe = np.flatnonzero(model.may_open(codes, near))
     if not len(maybe):
         return {}
-    h = word_hashes(block, w)
     doc = np.searchsorted(w.first, maybe, side="right") - 1
-    emit = context_rows(block, w, h, codes, maybe, doc, *file_features(block, w, h)).astype(np.float64) @ model.weights
+    emit = all_features(block, w, codes, near, maybe).astype(np.float64) @ model.weights
     use = model.is_open(emit)
     maybe, doc, emit = maybe[use], doc[use], emit[use]
     if not len(maybe):
