@@ -16,28 +16,86 @@ from pyspark.sql import functions as F
 from blockwise.functions import metrics
 from blockwise.functions.linalg import pls, predict_class
 from blockwise.operators.layer import cut
+from blockwise.operators.ranks import row_numbers
 from blockwise.operators.statistics import MAX_CELLS, row_basis, row_stats
 
 
 # --- nearest centroid, relational ---------------------------------------------------------------------------
 
 
-def centroid_cv(cells: DataFrame, fold: str = "fold") -> DataFrame:
-    """(sample_id, grp, fold, pred) from cells (sample_id, grp, fold, feature, value).
+def centroid_cv(cells: DataFrame, fold: str = "fold", by: Sequence[str] = ()) -> DataFrame:
+    """(by, sample_id, grp, fold, pred) from cells (by, sample_id, grp, fold, feature, value), apart for each value of ``by``.
 
     A class's centroid without a fold is its total minus the fold's part, so each is aggregated once.
     """
-    part = cells.groupBy("grp", "feature", fold).agg(F.sum("value").alias("fs"), F.count("value").alias("fn"))
-    total = part.groupBy("grp", "feature").agg(F.sum("fs").alias("s"), F.sum("fn").alias("n"))
-    rows = cells.select("sample_id", F.col("grp").alias("true"), fold, "feature", "value")
-    cen = total.select(F.col("grp").alias("cls"), "feature", "s", "n")
-    own = part.select(F.col("grp").alias("cls"), "feature", F.col(fold).alias("f2"), "fs", "fn")
-    near = rows.join(cen, "feature").join(own, (cen.cls == own.cls) & (rows.feature == own.feature) & (rows[fold] == own.f2), "left").select(
-        "sample_id", "true", rows[fold].alias("fold"), cen.cls.alias("cls"), "value", F.try_divide(F.col("s") - F.coalesce("fs", F.lit(0.0)), (F.col("n") - F.coalesce("fn", F.lit(0))).cast("double")).alias("mid")
-    )
-    d = near.groupBy("sample_id", "true", "fold", "cls").agg(F.sum((F.col("value") - F.col("mid")) ** 2).alias("d"))
-    d = d.withColumn("d", F.round("d", 9))
-    return d.where("d is not null").groupBy("sample_id", "true", "fold").agg(F.min_by("cls", F.struct("d", "cls")).alias("pred")).withColumnRenamed("true", "grp")
+    by = list(by)
+    part = cells.groupBy(*by, "feature", F.col("grp").alias("cls"), F.col(fold).alias("fold_")).agg(F.sum("value").alias("fs"), F.count("value").alias("fn"))
+    total = part.groupBy(*by, "feature", "cls").agg(F.sum("fs").alias("s"), F.sum("fn").alias("n"))
+    rows = cells.select(*by, "sample_id", "grp", F.col(fold).alias("fold_"), "feature", "value")
+    near = rows.join(total, [*by, "feature"]).join(part, [*by, "feature", "cls", "fold_"], "left")
+    mid = F.try_divide(F.col("s") - F.coalesce("fs", F.lit(0.0)), (F.col("n") - F.coalesce("fn", F.lit(0))).cast("double"))
+    return _nearest(near.withColumn("mid", mid), [*by, "sample_id", "grp", "fold_"]).withColumnRenamed("fold_", "fold")
+
+
+def _nearest(near: DataFrame, row: list[str]) -> DataFrame:
+    """The class of the nearest centroid per row, from (row, cls, value, mid) per feature; of equal distances the first class."""
+    d = near.groupBy(*row, "cls").agg(F.round(F.sum((F.col("value") - F.col("mid")) ** 2), 9).alias("d"))
+    return d.where("d is not null").groupBy(*row).agg(F.min_by("cls", F.struct("d", "cls")).alias("pred"))
+
+
+# --- resampling, relational ---------------------------------------------------------------------------------
+
+
+def hashed(*parts) -> Column:
+    """A number below 2**32 that any engine with md5 gives for these values."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint")
+
+
+def permuted_labels(labels: DataFrame, n: int) -> DataFrame:
+    """(round, sample_id, grp) for rounds 0 (as they are) to ``n``: the label of the i-th sample goes to the one that is i-th by the round's hash.
+
+    A round's samples are sorted in one task.
+    """
+    every = labels.select("sample_id", "grp", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("round"))
+    order = F.when(F.col("round") > 0, hashed("round", "sample_id")).otherwise(0)
+    rank = F.row_number().over(W.partitionBy("round").orderBy("sample_id"))
+    drawn = F.row_number().over(W.partitionBy("round").orderBy(order, "sample_id"))
+    return every.select("round", "sample_id", rank.alias("i")).join(every.select("round", "grp", drawn.alias("i")), ["round", "i"]).drop("i")
+
+
+def permutation_scores(cells: DataFrame, n: int, fold: str = "fold") -> DataFrame:
+    """(round, score): held-out accuracy of the nearest centroid with labels as they are (round 0) and permuted, all rounds in one plan."""
+    labels = permuted_labels(cells.select("sample_id", "grp").distinct(), n)
+    pred = centroid_cv(cells.drop("grp").join(labels, "sample_id"), fold, ["round"])
+    return pred.groupBy("round").agg(F.avg((F.col("grp") == F.col("pred")).cast("double")).alias("score"))
+
+
+def bootstrap_draws(samples: DataFrame, n: int) -> DataFrame:
+    """(round, sample_id, times) for rounds 1 to ``n``: as many draws with replacement as samples; those never drawn have 0."""
+    ids = samples.select("sample_id").distinct()
+    ranked = row_numbers(ids, ["sample_id"], "i")
+    size = ids.count()
+    rounds = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("round")
+    drawn = ranked.select("i", rounds).select("round", F.pmod(hashed("round", "i"), F.lit(max(size, 1))).alias("i")).groupBy("round", "i").agg(F.count(F.lit(1)).alias("times"))
+    return ranked.select("sample_id", "i", rounds).join(drawn, ["round", "i"], "left").select("round", "sample_id", F.coalesce("times", F.lit(0)).alias("times"))
+
+
+def bootstrap_scores(cells: DataFrame, n: int) -> DataFrame:
+    """(round, score): accuracy on the samples left out of the nearest centroid of those drawn; rounds that leave none out are absent."""
+    drawn = cells.join(bootstrap_draws(cells, n), "sample_id")
+    mid = drawn.where("times > 0").groupBy("round", "feature", F.col("grp").alias("cls")).agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mid"))
+    pred = _nearest(drawn.where("times = 0").select("round", "sample_id", "grp", "feature", "value").join(mid, ["round", "feature"]), ["round", "sample_id", "grp"])
+    return pred.groupBy("round").agg(F.avg((F.col("grp") == F.col("pred")).cast("double")).alias("score"))
+
+
+def variance_selections(cells: DataFrame, n: int, top: int) -> DataFrame:
+    """(round, feature): the features of largest variance in each draw; ties by name."""
+    drawn = cells.join(bootstrap_draws(cells, n).where("times > 0"), "sample_id")
+    w, x = F.col("times"), F.col("value")
+    moments = drawn.groupBy("round", "feature").agg(F.sum(w).alias("n"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("ss"))
+    spread = F.round(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2, 9)
+    rank = F.row_number().over(W.partitionBy("round").orderBy(F.desc(spread), "feature"))  # one row per feature
+    return moments.withColumn("rank", rank).where(F.col("rank") <= top).select("round", "feature")
 
 
 def fold_scores(pred: DataFrame) -> DataFrame:

@@ -565,29 +565,47 @@ def e03(spark, sf):
     return resample.centroid_cv(stratified_folds(cells, F.col("sample_id"), "grp", 5)).select("sample_id", "grp", "fold", "pred")
 
 
-_PERM = "q AS (SELECT i, avg(CASE WHEN (o_orderkey * 31 + i * 17) % 5 = o_custkey % 5 THEN 1.0 ELSE 0.0 END) AS score FROM orders CROSS JOIN range(40) r(i) GROUP BY i)"
-
-
-def _resample_scores(spark, sf) -> DataFrame:
-    """Scores of forty resamples from modular arithmetic: one pass, one conditional average each."""
-    row = read_table(spark, sf, "orders").agg(*[F.avg(((F.col("o_orderkey") * 31 + i * 17) % 5 == F.col("o_custkey") % 5).cast("double")).alias(f"s{i}") for i in range(40)])
-    return row.select(F.explode(F.array(*[f"s{i}" for i in range(40)])).alias("score"))
+ROUNDS = 60
+_HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_CELLS = f"{_SUP}, f AS (SELECT s_suppkey AS sample_id, grp, v, s_suppkey % 5 AS fold FROM s)"
+_PERM = f"""{_CELLS}, ev AS (SELECT sample_id, grp, t FROM f CROSS JOIN range({ROUNDS + 1}) r(t)),
+pe AS (SELECT t, sample_id, row_number() OVER (PARTITION BY t ORDER BY sample_id) AS i FROM ev), pd AS (SELECT t, grp, row_number() OVER (PARTITION BY t ORDER BY CASE WHEN t > 0 THEN {_HASH.format("t || ':' || sample_id")} ELSE 0 END, sample_id) AS i FROM ev),
+pf AS (SELECT t, sample_id, pd.grp, v, fold FROM pe JOIN pd USING (t, i) JOIN (SELECT sample_id, v, fold FROM f) USING (sample_id)),
+pc AS (SELECT a.t, a.sample_id, a.grp, b.grp AS cls, any_value(a.v) AS v, avg(b.v) AS mid FROM pf a JOIN pf b ON a.t = b.t AND b.fold <> a.fold GROUP BY 1, 2, 3, 4),
+pr AS (SELECT *, row_number() OVER (PARTITION BY t, sample_id ORDER BY round((v - mid) * (v - mid), 9), cls) AS k FROM pc), q AS (SELECT t, avg(CASE WHEN grp = cls THEN 1.0 ELSE 0.0 END) AS score FROM pr WHERE k = 1 GROUP BY t)"""
+_DRAWS = """n AS (SELECT count(*) AS n FROM ids), rk AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM ids), dr AS (SELECT t, {hash} % (SELECT n FROM n) AS i, count(*) AS times FROM rk CROSS JOIN range(1, {rounds}) r(t) GROUP BY 1, 2),
+ti AS (SELECT t, sample_id, coalesce(times, 0) AS times FROM rk CROSS JOIN range(1, {rounds}) r(t) LEFT JOIN dr USING (t, i))""".format(hash=_HASH.format("t || ':' || i"), rounds=ROUNDS + 1)
+_BOOT = f"""{_CELLS}, ids AS (SELECT sample_id FROM f), {_DRAWS}, bm AS (SELECT t, grp AS cls, sum(v * times) / sum(times) AS mid FROM f JOIN ti USING (sample_id) WHERE times > 0 GROUP BY 1, 2),
+br AS (SELECT ti.t, sample_id, grp, cls, row_number() OVER (PARTITION BY ti.t, sample_id ORDER BY round((v - mid) * (v - mid), 9), cls) AS k FROM f JOIN ti USING (sample_id) JOIN bm ON bm.t = ti.t WHERE times = 0), q AS (SELECT t, avg(CASE WHEN grp = cls THEN 1.0 ELSE 0.0 END) AS score FROM br WHERE k = 1 GROUP BY t)"""
+_STAB = f"""{_EMB}, ids AS (SELECT vec_id AS sample_id FROM embeddings), {_DRAWS}, mo AS (SELECT t, i, sum(times) AS n, sum(times * v) AS s, sum(times * v * v) AS ss FROM e JOIN ti ON sample_id = vec_id WHERE times > 0 GROUP BY 1, 2),
+se AS (SELECT t, 'f' || i AS f, row_number() OVER (PARTITION BY t ORDER BY round(ss / n - (s / n) * (s / n), 9) DESC, 'f' || i) AS k FROM mo)"""
+
+
+def _folded_cells(spark, sf) -> DataFrame:
+    return supplier_cells(spark, sf).withColumn("fold", F.col("sample_id") % 5)
+
+
+@query("e05_perm_pvalue", f"WITH {_PERM}, z AS (SELECT (SELECT score FROM q WHERE t = 0) AS true_score), y AS (SELECT score, true_score FROM q CROSS JOIN z WHERE t > 0) SELECT round((count(*) FILTER (WHERE score >= true_score) + 1) / (count(*) + 1), 6) AS p_value, round(avg(score), 6) AS perm_mean, round(stddev_pop(score), 6) AS perm_std, count(*) AS n_permutations, (count(*) FILTER (WHERE score >= true_score) + 1) / (count(*) + 1) < 0.05 AS significant FROM y")
+def e05(spark, sf):
+    scores = cut(resample.permutation_scores(_folded_cells(spark, sf), ROUNDS))
+    true = scores.where("round = 0").first()["score"]
+    return resample.permutation_p(scores.where("round > 0"), true).select(F.round("p_value", 6).alias("p_value"), F.round("perm_mean", 6).alias("perm_mean"), F.round("perm_std", 6).alias("perm_std"), "n_permutations", "significant")
 
 
-@query("e05_perm_pvalue", f"WITH {_PERM} SELECT round((count(*) FILTER (WHERE score >= 0.2) + 1) / (count(*) + 1), 6) AS p_value, round(avg(score), 6) AS perm_mean, round(stddev_pop(score), 6) AS perm_std, count(*) AS n_permutations, (count(*) FILTER (WHERE score >= 0.2) + 1) / (count(*) + 1) < 0.05 AS significant FROM q")
-def e05(spark, sf):
-    return resample.permutation_p(_resample_scores(spark, sf), 0.2).select(F.round("p_value", 6).alias("p_value"), F.round("perm_mean", 6).alias("perm_mean"), F.round("perm_std", 6).alias("perm_std"), "n_permutations", "significant")
+@query("e10_label_permutation", f"WITH {_PERM} SELECT CAST(t AS INTEGER) AS round, sample_id, grp FROM pf")
+def e10(spark, sf):
+    return resample.permuted_labels(supplier_cells(spark, sf), ROUNDS)
 
 
-@query("e06_boot_ci", f"WITH {_PERM} SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.025), 6) AS ci_lower, round(quantile_cont(score, 0.975), 6) AS ci_upper, count(*) AS n_bootstrap FROM q")
+@query("e06_boot_ci", f"WITH {_BOOT} SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.025), 6) AS ci_lower, round(quantile_cont(score, 0.975), 6) AS ci_upper, count(*) AS n_bootstrap FROM q")
 def e06(spark, sf):
-    return resample.bootstrap_interval(_resample_scores(spark, sf)).select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "ci_lower", "ci_upper")], "n_bootstrap")
+    return resample.bootstrap_interval(resample.bootstrap_scores(_folded_cells(spark, sf), ROUNDS)).select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "ci_lower", "ci_upper")], "n_bootstrap")
 
 
-@query("e07_stability", "SELECT 'p' || CAST(o_custkey % 25 AS VARCHAR) AS \"Feature\", round(count(*) / 1000, 6) AS \"Selection_Frequency\", count(*) AS \"Times_Selected\" FROM orders GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20")
+@query("e07_stability", f"WITH {_STAB} SELECT f AS \"Feature\", round(count(*) / {ROUNDS}, 6) AS \"Selection_Frequency\", count(*) AS \"Times_Selected\" FROM se WHERE k <= 20 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20")
 def e07(spark, sf):
-    sel = read_table(spark, sf, "orders").select(F.concat(F.lit("p"), (F.col("o_custkey") % 25).cast("string")).alias("feature"))
-    return resample.stability(sel, 1000, 20).select("Feature", F.round("Selection_Frequency", 6).alias("Selection_Frequency"), "Times_Selected")
+    cells = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("i", "v")).select("sample_id", F.concat(F.lit("f"), "i").alias("feature"), F.col("v").cast("double").alias("value"))
+    return resample.stability(resample.variance_selections(cells, ROUNDS, 20), ROUNDS, 20).select("Feature", F.round("Selection_Frequency", 6).alias("Selection_Frequency"), "Times_Selected")
 
 
 def _small_vectors(spark, sf) -> DataFrame:
