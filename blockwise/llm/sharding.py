@@ -26,7 +26,7 @@ from blockwise.llm.frames import saved, scratch, table
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 #: Rows that are numbered in one task.
-LANE = 200_000
+LANE = 4_000
 
 
 def ring_preferences(shards: int, vnodes: int) -> list[tuple[int, int, list[int]]]:
