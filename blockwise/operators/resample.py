@@ -2,7 +2,8 @@
 
 A *plan* is a table of tasks. Models that are sums (nearest centroid) run wholly as aggregates, with the
 test row or fold subtracted from the totals. Other models run as Python callables, one task per resample, over a
-data matrix that is checked to be small enough to send to every task (``MAX_CELLS``).
+data matrix that is checked to be small enough to send to every task (``MAX_CELLS``). Selection by variance runs over the
+rows where they lie, at any size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,9 @@ from blockwise.operators.layer import cut
 from blockwise.operators.ranks import row_numbers
 from blockwise.operators.statistics import MAX_CELLS, row_basis, row_stats
 
+#: Rows that are drawn from together: more than 64 features within MAX_CELLS ever had.
+BLOCK_ROWS = 1 << 17
+
 
 # --- nearest centroid, relational ---------------------------------------------------------------------------
 
@@ -249,7 +254,75 @@ def variance_selector(x: np.ndarray, y: np.ndarray, top: int = 20) -> np.ndarray
     return np.argsort(-x.var(0), kind="stable")[:top]
 
 
+def block_draws(rounds: Sequence[int], n: int, block: int, block_rows: int) -> np.ndarray:
+    """(rounds x rows of the block) times drawn: ``n`` draws with replacement from ``n`` rows, a block's share by a multinomial draw.
+
+    A table of one block is drawn from as a whole, with the round as seed.
+    """
+    sizes = np.full(-(-n // block_rows), block_rows)
+    sizes[-1] = n - block_rows * (len(sizes) - 1)
+    out = np.zeros((len(rounds), sizes[block]), dtype=np.int32)
+    for k, t in enumerate(rounds):
+        if len(sizes) == 1:
+            at = np.random.RandomState(t).randint(0, n, n)
+        else:
+            share = np.random.RandomState([t, 1]).multinomial(n, sizes / n)[block]
+            at = np.random.RandomState([t, 2, block]).randint(0, sizes[block], share)
+        out[k] = np.bincount(at, minlength=sizes[block])
+    return out
+
+
+def variance_rounds(vectors: DataFrame, names: list[str], n_rounds: int = 100, top: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(round, feature): the features of largest variance in each draw, ties by position, for tables of any size.
+
+    A task sums the rows it reads for all rounds, under the draws of their block; rows are in key order. Partial means and
+    squares are merged about a common point, so constant features have no variance at all.
+    """
+    keys = [c for c in vectors.columns if c not in ("grp", "x")] or ["grp", "x"]
+    rows = row_numbers(vectors, keys, "_row").select("_row", "x")
+    n, width = rows.count(), len(names)
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, s, ss, shift, drawn = np.zeros(n_rounds), np.zeros((n_rounds, width)), np.zeros((n_rounds, width)), None, (-1, None)
+        bad = np.zeros((n_rounds, width), dtype=bool)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(at), -1)
+            fine = np.isfinite(x)
+            if shift is None and len(x):
+                shift = np.nan_to_num(np.median(x[:1001], axis=0), nan=0.0, posinf=0.0, neginf=0.0)
+            for block in np.unique(at // block_rows).tolist():
+                if drawn[0] != block:
+                    drawn = (block, block_draws(range(n_rounds), n, block, block_rows))
+                own = at // block_rows == block
+                times = drawn[1][:, at[own] - block * block_rows].astype(float)
+                d = np.where(fine[own], x[own] - shift, 0.0)
+                count += times.sum(1)
+                s += times @ d
+                ss += times @ (d * d)
+                if not fine[own].all():
+                    bad |= times @ ~fine[own] > 0
+        if shift is not None:
+            some = np.maximum(count, 1)[:, None]
+            cells = np.stack([shift + s / some, np.where(bad, np.nan, ss - s * s / some)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n_rounds), pa.int64()), pa.array(count), pa.array([c.tobytes() for c in cells], pa.binary())], names=["round", "n", "v"])
+
+    def choose(g: pa.Table) -> pa.Table:
+        k = g.column("n").to_numpy()
+        v = np.stack([np.frombuffer(c.as_buffer()).reshape(2, width) for c in g.column("v")])[k > 0]
+        k = k[k > 0][:, None]
+        d = v[:, 0] - v[0, 0]
+        spread = (v[:, 1].sum(0) + (k * (d - (k * d).sum(0) / k.sum()) ** 2).sum(0)) / k.sum()
+        best = np.argsort(-spread, kind="stable")[:top]
+        return pa.table({"round": pa.array([g.column("round")[0].as_py()] * len(best), pa.int64()), "feature": pa.array([names[int(i)] for i in best], pa.string())})
+
+    return rows.mapInArrow(sums, "round long, n double, v binary").groupBy("round").applyInArrow(choose, "round long, feature string")
+
+
 def stability_rounds(vectors: DataFrame, names: list[str], selector: Callable = variance_selector, n_rounds: int = 100) -> DataFrame:
+    """(round, feature) selected in each draw: by variance at any size, by other callables on up to MAX_CELLS cells."""
+    if selector is variance_selector:
+        return variance_rounds(vectors, names, n_rounds)
     x, y = local_matrix(vectors)
     spark = vectors.sparkSession
     data = spark.sparkContext.broadcast((x, y))

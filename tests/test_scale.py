@@ -235,3 +235,19 @@ def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
     got = {(str(x["start"])[:10], x["event_type"]): (x["n"], x["n_missing"], x["mean"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     # The second row of the first day came after the watermark had passed that day.
     assert got["2024-01-01", "a"] == (1, 0, 1.0) and got["2024-01-03", "a"] == (2, 0, 4.0) and got["2024-01-09", "b"][:2] == (1, 1)
+
+
+def test_stability_rounds_at_any_size(spark, monkeypatch):
+    """One block draws as the callable on all rows does; beyond MAX_CELLS and in several blocks the draws are still n of n."""
+    r = np.random.default_rng(7)
+    x = r.normal(1e6, 1 + np.arange(30) / 40, (400, 30))
+    x[:, 3], x[5, 29] = 0.1, np.nan
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id long, grp string, x array<double>").repartition(5)
+    names = [f"f{i}" for i in range(30)]
+    want = {(t, names[i]) for t in range(6) for i in resample.variance_selector(x[np.random.RandomState(t).randint(0, 400, 400)], None)}
+    monkeypatch.setattr(resample, "MAX_CELLS", 100)
+    assert {tuple(q) for q in resample.stability_rounds(df, names, n_rounds=6).collect()} == want
+    drawn = [np.concatenate([resample.block_draws([t], 400, b, 150)[0] for b in range(3)]) for t in range(6)]
+    assert [d.sum() for d in drawn] == [400] * 6
+    want = {(t, names[i]) for t in range(6) for i in resample.variance_selector(np.repeat(x, drawn[t], axis=0), None)}
+    assert {tuple(q) for q in resample.variance_rounds(df, names, 6, block_rows=150).collect()} == want
