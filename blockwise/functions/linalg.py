@@ -225,3 +225,104 @@ def sparse_multiblock_rows(z: list[np.ndarray], design: np.ndarray, keep: list[i
                     moved[i].append((a[i], c))
                     z[i] = z[i] - np.outer(t, c)
     return [np.stack(x, 1) for x in loadings], [np.stack(x, 1) for x in rotations]
+
+
+# --- many small models at once: the last axis counts them ------------------------------------------------------
+
+
+def _times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("pqb,qb->pb", m, v)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(0)
+
+
+def flip_sign_each(v: np.ndarray) -> np.ndarray:
+    size = np.abs(v)
+    at = (size >= size.max(0) * (1 - 1e-9)).argmax(0)
+    return np.where(np.take_along_axis(v, at[None], 0)[0] < 0, -1.0, 1.0)
+
+
+def soft_keep_each(a: np.ndarray, keep: int) -> np.ndarray:
+    if keep < len(a):
+        order = np.argsort(-np.abs(a), axis=0, kind="stable")
+        least = np.take_along_axis(np.abs(a), order[keep : keep + 1], 0)
+        out = np.sign(a) * np.clip(np.abs(a) - least, 0, None)
+        tied = ~out.any(0)
+        if tied.any():
+            first = np.zeros(a.shape, dtype=bool)
+            np.put_along_axis(first, order[:keep], True, 0)
+            out = np.where(tied & first, a, out)
+        a = out
+    return a / np.maximum(np.sqrt(_dot(a, a)), _TINY)
+
+
+def leading_each(g: np.ndarray) -> np.ndarray:
+    """Unit eigenvectors of the largest eigenvalues of symmetric matrices (p x p x b)."""
+    if len(g) == 1:
+        return np.ones(g.shape[1:])
+    return np.linalg.eigh(np.moveaxis(g, -1, 0))[1][:, :, -1].T
+
+
+def _ascend_each(a: list[np.ndarray], g: dict, design: np.ndarray, keep: list[int | None], tol: float, turns: int) -> list[np.ndarray]:
+    """``_ascend`` for every model until its own end; those that have ended are left out when they are many."""
+    out, at, done = [v.copy() for v in a], np.arange(a[0].shape[1]), np.zeros(a[0].shape[1], dtype=bool)
+    for _turn in range(turns):
+        change = np.zeros(len(at))
+        for i in range(len(a)):
+            linked = [j for j in range(len(a)) if j != i and design[i, j]]
+            if not linked:
+                continue
+            grad = sum(design[i, j] * _times(g[i, j], a[j]) for j in linked)
+            new = soft_keep_each(grad, keep[i] if keep[i] is not None else len(grad))
+            new = np.where(done | (np.abs(grad).max(0) == 0), a[i], new)
+            change += ((new - a[i]) ** 2).sum(0)
+            a[i] = new
+        done |= change < tol
+        if 2 * done.sum() >= len(done):
+            for v, w in zip(out, a, strict=True):
+                v[:, at[done]] = w[:, done]
+            live = np.flatnonzero(~done)
+            if not len(live):
+                return out
+            a, g, at, done = [v[:, live] for v in a], {k: m[:, :, live] for k, m in g.items()}, at[live], done[live]
+    for v, w in zip(out, a, strict=True):
+        v[:, at] = w
+    return out
+
+
+def sparse_multiblock_each(s: np.ndarray, ranges: list[tuple[int, int]], design: np.ndarray, keep: list[int | None], n_components: int, kinds: np.ndarray | None = None, tol: float = 1e-6, turns: int = 100) -> list[np.ndarray]:
+    """Rotations (p_j x a x b) of ``sparse_multiblock`` on each of many cross-products (q x q x b).
+
+    Models of one of ``kinds`` have equal products of the dense block.
+    """
+    j_all, linked = range(len(ranges)), lambda i, j: i == j or i == 0 or j == 0 or design[i, j]
+    raw = {(i, j): s[ranges[i][0] : ranges[i][1], ranges[j][0] : ranges[j][1]] for i in j_all for j in j_all if linked(i, j)}
+    move: list[np.ndarray | None] = [None for _ in j_all]
+    rotations = [[] for _ in j_all]
+    for _ in range(n_components):
+        g = {}
+        for (i, j), m in raw.items():
+            m = m if move[i] is None else np.einsum("pab,pqb->aqb", move[i], m)
+            g[i, j] = m if move[j] is None else np.einsum("pqb,qab->pab", m, move[j])
+        a = []
+        for i in j_all:
+            if keep[i] is None and kinds is not None:
+                _, some, which = np.unique(kinds, return_index=True, return_inverse=True)
+                first = leading_each(g[i, i][:, :, some])[:, which]
+            else:
+                first = leading_each(g[i, i])
+            a.append(soft_keep_each(first * flip_sign_each(first), keep[i] if keep[i] is not None else len(first)))
+        a = _ascend_each(a, g, design, keep, tol, turns)
+        for i in j_all:
+            a[i] = a[i] * (flip_sign_each(a[i]) if i == 0 else np.where(_dot(a[0], _times(g[0, i], a[i])) >= 0, 1.0, -1.0))
+        for i in j_all:
+            rotations[i].append(a[i] if move[i] is None else _times(move[i], a[i]))
+            if keep[i] is not None and len(rotations[i]) < n_components:
+                ga = _times(g[i, i], a[i])
+                tt = _dot(a[i], ga)
+                ga = np.where(tt > _TINY, ga / np.where(tt > _TINY, tt, 1.0), 0.0)
+                old = np.broadcast_to(np.eye(len(ga))[:, :, None], (len(ga), *ga.shape)) if move[i] is None else move[i]
+                move[i] = old - rotations[i][-1][:, None] * ga[None]
+    return [np.stack(r, 1) for r in rotations]

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.linalg import Stats
-from blockwise.operators.diablo import fit_products, fit_rows, keep_grid, keep_rule
+from blockwise.functions.linalg import Stats, sparse_multiblock_each
+from blockwise.operators.diablo import fit_products, fit_rows, keep_grid, keep_rule, links
 from blockwise.operators.resample import folds, local_matrix, run_tasks
 from blockwise.operators.statistics import MAX_WIDTH, cross_products, local_rows, refuse_loo, row_stats as _stats_of
 
@@ -51,15 +51,51 @@ def _centroids(rotations: list[np.ndarray], sizes: list[int], mean: np.ndarray,
 
 def predict_rows(model: list, x: np.ndarray, sizes: list[int], stats: Stats | Labels) -> list[str]:
     """Vote of the blocks by nearest centroid; ties by the least total distance. Empty classes are not chosen."""
-    votes, total, at = np.zeros((len(x), len(stats.classes))), np.zeros((len(x), len(stats.classes))), 0
-    for (mean, rot, cen), size in zip(model, sizes, strict=True):
-        d = (((x[:, at : at + size] - mean) @ rot)[:, None] - cen).__pow__(2).sum(2)
-        d[:, stats.class_n <= 0] = np.inf
-        votes[np.arange(len(x)), d.argmin(1)] += 1
+    return [stats.classes[i] for i in _vote([(((x[:, at : at + size] - mean) @ rot)[:, None] - cen).__pow__(2).sum(2) for (mean, rot, cen), size, at in zip(model, sizes, np.cumsum([0, *sizes]), strict=False)], stats.class_n)]
+
+
+def _vote(distances: list[np.ndarray], class_n: np.ndarray) -> np.ndarray:
+    """Class numbers from the blocks' distances (rows x classes)."""
+    votes, total = np.zeros(distances[0].shape), np.zeros(distances[0].shape)
+    for d in distances:
+        d = np.where(class_n <= 0, np.inf, d)
+        votes[np.arange(len(d)), d.argmin(1)] += 1
         total += d
-        at += size
-    best = np.lexsort((np.broadcast_to(np.arange(votes.shape[1]), votes.shape), total, -votes), axis=1)[:, 0]
-    return [stats.classes[i] for i in best]
+    return np.lexsort((np.broadcast_to(np.arange(votes.shape[1]), votes.shape), total, -votes), axis=1)[:, 0]
+
+
+#: Numbers of the cross-products that are held at once when many models are fitted together (64 MB).
+MODEL_CELLS = 8_000_000
+
+
+def held_out_classes(stats: Stats, x: np.ndarray, y: np.ndarray, sizes: list[int], keep: list[int], n_components: int, design: float) -> np.ndarray:
+    """Class numbers of rows of classes ``y``, each by the model of all rows of ``stats`` but itself.
+
+    The down-dated models of many rows are fitted at once.
+    """
+    width, k = len(stats.sums), len(stats.classes)
+    step, out = max(1, min(4096, MODEL_CELLS // (width + k) ** 2)), np.zeros(len(x), dtype=int)
+    ends = np.cumsum([0, *sizes, k]).tolist()
+    ranges, linked = list(zip(ends, ends[1:], strict=False)), links(len(sizes), design)
+    for at in range(0, len(x), step):
+        r, own = np.ascontiguousarray(x[at : at + step].T), np.eye(k)[:, y[at : at + step]]
+        n, class_n = stats.n - 1, stats.class_n[:, None] - own
+        sums, share = stats.sums[:, None] - r, class_n / (stats.n - 1)
+        class_sums = stats.class_sums[:, :, None] - r[:, None] * own[None]
+        s = np.empty((width + k, width + k, r.shape[1]))
+        s[:width, :width] = stats.xx[:, :, None] - r[:, None] * r[None] - sums[:, None] * sums[None] / n
+        s[:width, width:] = class_sums - sums[:, None] * share[None]
+        s[width:, :width] = np.swapaxes(s[:width, width:], 0, 1)
+        s[width:, width:] = np.eye(k)[:, :, None] * class_n[None] - n * share[:, None] * share[None]
+        rotations = sparse_multiblock_each(s, ranges, linked, [*keep, None], n_components, y[at : at + step])[:-1]
+        centre, means = sums / n, class_sums / np.maximum(class_n, 1)
+        distances = []
+        for rot, (a, b) in zip(rotations, ranges, strict=False):
+            score = np.einsum("pb,pab->ab", r[a:b] - centre[a:b], rot)
+            mids = np.einsum("pkb,pab->kab", means[a:b] - centre[a:b, None], rot)
+            distances.append(((score[None] - mids) ** 2).sum(1).T)
+        out[at : at + step] = _vote(distances, class_n.T)
+    return out
 
 
 def _keep(sizes: list[int], n: float, keep: list[int] | None) -> list[int]:
@@ -90,12 +126,13 @@ def loo_predictions(joined: DataFrame, features: dict[str, list[str]], n_compone
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
+        classes = np.array(s.classes, dtype=object)
         for b in batches:
-            x = np.array(b.column(2).to_pylist(), dtype=float).reshape(b.num_rows, -1)
-            pred = []
-            for row, g in zip(x, b.column(1).to_pylist(), strict=True):
-                part = s.without(row, g)
-                pred.append(predict_rows(fit_stats(part, sizes, kept, n_components, design), row[None], sizes, part)[0])
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(b.num_rows, -1)
+            y = np.searchsorted(classes, np.array(b.column(1).to_pylist(), dtype=object))
+            pred = classes[held_out_classes(s, x, y, sizes, kept, n_components, design)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string())], names=["sample_id", "grp", "pred"])
 
     return rows.mapInArrow(run, f"sample_id {dict(rows.dtypes)['sample_id']}, grp string, pred string")

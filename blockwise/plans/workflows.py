@@ -73,6 +73,7 @@ class MultiLayerWorkflow:
             raise ValueError(f"there is a layer {name} already")
         if equal_n is not None and (n := layer.df.count()) != equal_n:
             raise ValueError(f"layer {name} has {n} rows, not {equal_n}")
+        layer = layer.with_df(cut(layer.df))  # every statistic of the preprocessing reads it
         self.layers[name] = preprocess.preprocess(layer, preprocess.preset(kind, **changes))
         self.sample_cols[name] = sample_col
 

@@ -251,3 +251,33 @@ def test_stability_rounds_at_any_size(spark, monkeypatch):
     assert [d.sum() for d in drawn] == [400] * 6
     want = {(t, names[i]) for t in range(6) for i in resample.variance_selector(np.repeat(x, drawn[t], axis=0), None)}
     assert {tuple(q) for q in resample.variance_rounds(df, names, 6, block_rows=150).collect()} == want
+
+
+def test_multiblock_loo_fits_many_models_at_once(spark):
+    """The same classes as from a model fitted apart for every row, with several components, ties and constant features; fast enough for millions of rows."""
+    import time
+
+    dv, r, classes = diablo_validation, np.random.default_rng(0), list("abcd")
+    for sizes, keep, comps in (([1, 3, 1], [1, 3, 1], 1), ([4, 3], [2, 3], 2), ([6, 2, 5], [1, 2, 5], 3), ([3], [2], 2)):
+        y = np.concatenate([np.arange(4), r.integers(0, 4, 36)])
+        x = r.normal(size=(40, sum(sizes))) + y[:, None] * r.normal(size=sum(sizes))
+        x[:, -1] = 1.0 if comps == 2 else np.round(x[:, -1])
+        s = dv._stats_of(x, np.array(classes, dtype=object)[y], classes)
+        for i, got in enumerate(dv.held_out_classes(s, x, y, sizes, keep, comps, 0.1)):
+            part = s.without(x[i], classes[y[i]])
+            assert dv.predict_rows(dv.fit_stats(part, sizes, keep, comps, 0.1), x[i : i + 1], sizes, part)[0] == classes[got]
+    y = r.integers(0, 4, 50000)
+    x = r.normal(size=(50000, 5))
+    s, began = dv._stats_of(x, np.array(classes, dtype=object)[y], classes), time.process_time()
+    assert dv.held_out_classes(s, x, y, [1, 3, 1], [1, 3, 1], 1, 0.1).shape == (50000,)
+    assert time.process_time() - began < 8  # one by one they take 24 s or more
+
+
+def test_layers_of_a_workflow_are_read_from_one_table(spark):
+    rows = [(f"s{i}", "ab"[i % 2], float(i + 1), float(i % 5 + 1)) for i in range(20)]
+    w = workflows.MultiLayerWorkflow()
+    df = spark.createDataFrame(rows, "id string, g string, u double, v double")
+    w.add_layer("one", Layer.from_wide(df, "g", sample_col="id", name="one"), "metabolomics", "id")
+    files = w.layers["one"].df.inputFiles()
+    assert files and all("/cut-" in f for f in files)
+    assert w.layers["one"].df.count() == 20
