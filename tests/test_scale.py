@@ -281,3 +281,22 @@ def test_layers_of_a_workflow_are_read_from_one_table(spark):
     files = w.layers["one"].df.inputFiles()
     assert files and all("/cut-" in f for f in files)
     assert w.layers["one"].df.count() == 20
+
+
+def _two_blocks(spark, n=230):
+    r = np.random.default_rng(4)
+    y = r.integers(0, 3, n)
+    x = r.normal(size=(n, 12)) + 0.6 * y[:, None] * r.normal(size=12)
+    rows = [(int(i), "abc"[g], v[:6].tolist(), v[6:].tolist()) for i, g, v in zip(r.permutation(n), y, x, strict=True)]
+    return spark.createDataFrame(rows, "sample_id long, grp string, one array<double>, two array<double>").repartition(3), {"one": list("abcdef"), "two": list("ghijkl")}
+
+
+def test_keep_tuning_beyond_max_cells(spark, monkeypatch):
+    """The errors of tables that stay where they lie are those of the tasks on all rows."""
+    df, names = _two_blocks(spark)
+    took = lambda: ([tuple(q) for q in diablo_validation.tune_keep(df, names, 2).collect()], [tuple(q) for q in diablo_validation.component_errors(df, names).orderBy("component").collect()])
+    want = took()
+    for module in (diablo_validation, resample):
+        monkeypatch.setattr(module, "MAX_CELLS", 100)
+    monkeypatch.setattr(diablo_validation, "BLOCK_CELLS", 300)
+    assert took() == want and len(want[0]) == 4
