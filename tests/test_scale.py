@@ -300,3 +300,15 @@ def test_keep_tuning_beyond_max_cells(spark, monkeypatch):
         monkeypatch.setattr(module, "MAX_CELLS", 100)
     monkeypatch.setattr(diablo_validation, "BLOCK_CELLS", 300)
     assert took() == want and len(want[0]) == 4
+
+
+@pytest.mark.parametrize(("strategy", "n"), [("stratified", 12), ("loo", 3)])
+def test_block_permutations_beyond_max_cells(spark, monkeypatch, strategy, n):
+    df, names = _two_blocks(spark, 90)
+    took = lambda: diablo_validation.permutation_error_test(df, names, n, 1, strategy=strategy, k=4).first().asDict()
+    want = took()
+    for module in (diablo_validation, resample):
+        monkeypatch.setattr(module, "MAX_CELLS", 100)
+    monkeypatch.setattr(diablo_validation, "BLOCK_CELLS", 300)
+    monkeypatch.setattr(diablo_validation, "SUM_CELLS", 3000)
+    assert took() == pytest.approx(want) and want["n_permutations"] == n
