@@ -1,12 +1,12 @@
 """Classifiers on concatenated blocks: forest and logistic by Spark ML, and two kernel machines.
 
-``svm`` is the exact machine with a radial kernel, one class against another, for tables of up to ``MAX_KERNEL_ROWS`` rows: every
-pair of classes is a task. ``svm_features`` is a linear machine on random Fourier features, an approximation for tables of any size.
+``svm`` is the exact machine with a radial kernel, one class against another: every pair of classes is a task, and the
+machine is a table. ``svm_features`` is a linear machine on random Fourier features, an approximation for tables of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,74 +20,94 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from blockwise.functions.svm import radial, two_class
-from blockwise.operators.resample import local_matrix, run_tasks
+from blockwise.functions.svm import radial, two_class_rows
+from blockwise.operators.layer import cut
+from blockwise.operators.parts import matrix, numbered_rows, predict_by_parts
 from blockwise.operators.statistics import project
 
-#: Rows whose kernel matrix is formed (128 MB of doubles for two classes of half as many rows each).
-MAX_KERNEL_ROWS = 4000
+#: Rows of two classes that a task takes (0.5 GB at 64 features); the time grows with the square of their number.
+MAX_KERNEL_ROWS = 1_000_000
+#: Support vectors of one part of a machine.
+PART_ROWS = 8192
 
 
 @dataclass
 class KernelMachine:
-    """Training rows and, per pair of classes, coefficients on them and an offset."""
+    """Support vectors with their coefficients in each pair of classes, as a table of ``n_parts`` parts, and the pairs' offsets."""
 
-    x: np.ndarray
+    parts: DataFrame | None
+    n_parts: int
     gamma: float
     labels: list[str]
-    pairs: list[tuple[int, int, np.ndarray, float]]
+    pairs: list[tuple[int, int]]
+    offsets: np.ndarray
 
     @staticmethod
     def fit(vectors: DataFrame) -> KernelMachine:
-        n = vectors.count()
-        if n > MAX_KERNEL_ROWS:
-            raise ValueError(f"{n} rows: the exact kernel machine takes up to {MAX_KERNEL_ROWS}; use svm_features")
-        x, y = local_matrix(vectors)
-        labels = sorted(set(y.tolist()))
-        gamma = 1.0 / (max(x.shape[1], 1) * max(float(x.var()), 1e-12)) if x.size else 1.0
-        chosen = list(combinations(range(len(labels)), 2))
+        """Every pair of classes is a task that gets their rows; no row comes to the driver."""
+        size = {r["grp"]: r["n"] for r in vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+        labels = sorted(size)
+        most = sum(sorted(size.values())[-2:])
+        if most > MAX_KERNEL_ROWS:
+            raise ValueError(f"{most} rows of two classes: the exact kernel machine takes up to {MAX_KERNEL_ROWS}; use svm_features")
+        pairs = list(combinations(range(len(labels)), 2))
+        if not pairs:
+            return KernelMachine(None, 0, 1.0, labels, [], np.zeros(0))
         spark = vectors.sparkSession
-        data = spark.sparkContext.broadcast((x, y))
-
-        def one(t: int) -> list[tuple]:
-            x, y = data.value
-            a, b = chosen[t]
-            at = np.flatnonzero((y == labels[a]) | (y == labels[b]))
-            coef, offset = two_class(radial(x[at], x[at], gamma), np.where(y[at] == labels[a], 1.0, -1.0))
-            used = coef != 0
-            return [(t, float(offset), at[used].tolist(), coef[used].tolist())]
-
-        pairs = []
-        for r in run_tasks(spark, len(chosen), one, "pair long, offset double, at array<long>, coef array<double>").collect() if chosen else []:
-            whole = np.zeros(len(x))
-            whole[r["at"]] = r["coef"]
-            pairs.append((*chosen[r["pair"]], whole, r["offset"]))
-        return KernelMachine(x, gamma, labels, sorted(pairs, key=lambda p: p[:2]))
-
-    def classes_of(self, x: np.ndarray) -> list[str]:
-        """Votes of the pairs; of equally many the first class."""
-        votes = np.zeros((len(x), len(self.labels)))
-        if self.pairs:
-            said = radial(x, self.x, self.gamma) @ np.stack([p[2] for p in self.pairs], 1) - np.array([p[3] for p in self.pairs])
-            for k, (a, b, _, _) in enumerate(self.pairs):
-                votes[:, a] += said[:, k] > 0
-                votes[:, b] += said[:, k] <= 0
-        return [self.labels[i] for i in votes.argmax(1)]
+        rows = numbered_rows(vectors.select("grp", "x"))
+        width, spread = rows.select(F.size("x").alias("w"), F.explode("x").alias("v")).agg(F.max("w"), F.var_pop("v")).first()
+        gamma = 1.0 / (max(width or 0, 1) * max(spread or 0.0, 1e-12))
+        of = F.create_map(*[F.lit(v) for i, g in enumerate(labels) for v in (g, [k for k, p in enumerate(pairs) if i in p])])
+        first = F.create_map(*[F.lit(v) for k, (a, _) in enumerate(pairs) for v in (k, labels[a])])
+        each = rows.select("_id", "x", "grp", F.explode(of[F.col("grp")]).alias("pair"))
+        each = each.select("_id", "x", "pair", F.when(F.col("grp") == first[F.col("pair")], 1.0).otherwise(-1.0).alias("y"))
+
+        def one(g: pa.Table) -> pa.Table:
+            g = g.sort_by("_id")
+            coef, offset = two_class_rows(matrix(g.column("x"), g.num_rows), g.column("y").to_numpy(), gamma)
+            used = np.flatnonzero(coef)
+            ids = np.concatenate([[-1], g.column("_id").to_numpy()[used]])
+            return pa.table({"pair": pa.array(np.full(len(ids), g.column("pair")[0].as_py()), pa.int32()), "_id": pa.array(ids, pa.int64()), "coef": pa.array(np.concatenate([[offset], coef[used]]))})
+
+        # More partitions than pairs, so that few pairs share one.
+        got = cut(each.repartition(4 * len(pairs), "pair").groupBy("pair").applyInArrow(one, "pair int, _id long, coef double"))
+        offsets = np.zeros(len(pairs))
+        for r in got.where("_id < 0").collect():
+            offsets[r["pair"]] = r["coef"]
+        used = got.where("_id >= 0").groupBy("_id").agg(F.collect_list("pair").alias("pairs"), F.collect_list("coef").alias("coefs"))
+        n_parts = max(1, -(-got.where("_id >= 0").select("_id").distinct().count() // PART_ROWS))
+        n_pairs = len(pairs)
+
+        def pack(g: pa.Table) -> pa.Table:
+            g = g.sort_by("_id")
+            coef = np.zeros((g.num_rows, n_pairs))
+            at = np.repeat(np.arange(g.num_rows), [len(v) for v in g.column("pairs")])
+            coef[at, g.column("pairs").combine_chunks().flatten().to_numpy()] = g.column("coefs").combine_chunks().flatten().to_numpy()
+            return pa.table({"part": g.column("part")[:1], "m": pa.array([pickle.dumps((matrix(g.column("x"), g.num_rows), coef))])})
+
+        parts = used.join(rows.select("_id", "x"), "_id").withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(n_parts)))
+        parts = cut(parts.groupBy("part").applyInArrow(pack, "part long, m binary"))
+        return KernelMachine(parts, n_parts, gamma, labels, pairs, offsets)
 
     def predict(self, vectors: DataFrame) -> DataFrame:
-        kept = [f for f in vectors.schema.fields if f.name != "x"]
-        shared = vectors.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    x = np.array(part.column(len(kept)).to_pylist(), dtype=float).reshape(part.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(shared.value.classes_of(x), pa.string())], names=[*(f.name for f in kept), "pred"])
-
-        return vectors.select(*[F.col(f"`{f.name}`") for f in kept], "x").mapInArrow(run, T.StructType([*kept, T.StructField("pred", T.StringType())]))
+        """Votes of the pairs; of equally many the first class."""
+        if not self.pairs:
+            return vectors.drop("x").withColumn("pred", F.lit(self.labels[0] if self.labels else None).cast("string"))
+        gamma, labels, pairs, offsets = self.gamma, self.labels, self.pairs, self.offsets
+
+        def score(x: np.ndarray, m: bytes) -> np.ndarray:
+            own, coef = pickle.loads(m)
+            return np.concatenate([radial(x[at : at + 512], own, gamma) @ coef for at in range(0, len(x), 512)])
+
+        def choose(said: np.ndarray) -> list[str]:
+            votes = np.zeros((len(said), len(labels)))
+            for k, (a, b) in enumerate(pairs):
+                votes[:, a] += said[:, k] > offsets[k]
+                votes[:, b] += said[:, k] <= offsets[k]
+            return [labels[i] for i in votes.argmax(1)]
+
+        return predict_by_parts(vectors, self.parts, self.n_parts, score, choose)
 
 
 @dataclass

@@ -312,3 +312,24 @@ def test_block_permutations_beyond_max_cells(spark, monkeypatch, strategy, n):
     monkeypatch.setattr(diablo_validation, "BLOCK_CELLS", 300)
     monkeypatch.setattr(diablo_validation, "SUM_CELLS", 3000)
     assert took() == pytest.approx(want) and want["n_permutations"] == n
+
+
+def test_kernel_machine_of_many_rows(spark, monkeypatch):
+    """The machine by working sets is that of the whole kernel; 4,500 rows (refused before) are fitted, and predicted by several parts of the machine."""
+    from blockwise.functions.svm import radial, two_class, two_class_rows
+    from blockwise.operators import classifiers
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(700, 4))
+    y = np.where(x[:, 0] + 0.5 * r.normal(size=700) > 0, 1.0, -1.0)
+    whole, sets = two_class(radial(x, x, 0.2), y), two_class_rows(x, y, 0.2, whole=10, cells=700 * 64)
+    said = [radial(x, x, 0.2) @ coef - offset for coef, offset in (whole, sets)]
+    assert said[0] == pytest.approx(said[1], abs=5e-3)
+
+    rows = [(i, ("in", "mid", "out")[int(rad)], [float((rad + 1) * np.cos(t)), float((rad + 1) * np.sin(t))]) for i, (rad, t) in enumerate((i % 3, 0.37 * i) for i in range(4800))]
+    df = spark.createDataFrame(rows, "id long, grp string, x array<double>").repartition(3)
+    monkeypatch.setattr(classifiers, "PART_ROWS", 50)
+    m = classifiers.Classifier("svm").fit(df.where("id % 16 > 0"), ["a", "b"])
+    assert m.machine.n_parts > 1
+    got = m.predict(df.where("id % 16 = 0").select("id", "grp", "x"))
+    assert got.count() == 300 and metrics.accuracy(got).first()["accuracy"] == 1.0
