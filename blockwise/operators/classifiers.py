@@ -1,4 +1,6 @@
-"""Classifiers on concatenated blocks: forest and logistic by Spark ML, and two kernel machines.
+"""Classifiers on concatenated blocks: a forest, logistic regression by Spark ML, and two kernel machines.
+
+The forest's trees are grown in tasks and kept as a table, since the nodes of deep trees on many rows do not fit the driver.
 
 ``svm`` is the exact machine with a radial kernel, one class against another: every pair of classes is a task, and the
 machine is a table. ``svm_features`` is a linear machine on random Fourier features, an approximation for tables of any size.
@@ -7,6 +9,7 @@ machine is a table. ``svm_features`` is a linear machine on random Fourier featu
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -14,16 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.functions.forest import codes_of, grow, split_points
 from blockwise.functions.svm import radial, two_class_rows
 from blockwise.operators.layer import cut
-from blockwise.operators.parts import matrix, numbered_rows, predict_by_parts
+from blockwise.operators.parts import SMALL_BLOCK_BITS, matrix, numbered_rows, predict_by_parts
 from blockwise.operators.statistics import project
 
 #: Rows of two classes that a task takes (0.5 GB at 64 features); the time grows with the square of their number.
@@ -107,6 +111,73 @@ class KernelMachine:
                 votes[:, b] += said[:, k] <= offsets[k]
             return [labels[i] for i in votes.argmax(1)]
 
+        return predict_by_parts(vectors, self.parts, self.n_parts, score, choose, SMALL_BLOCK_BITS)
+
+
+@dataclass
+class Forest:
+    """Trees as a table of ``n_parts`` parts, and the features' importances (each tree's decreases of impurity sum to one)."""
+
+    parts: DataFrame
+    n_parts: int
+    labels: list[str]
+    importances: np.ndarray
+
+    @staticmethod
+    def fit(vectors: DataFrame, trees: int, seed: int, depth: int = 30) -> Forest:
+        """Features are cut into bins over all rows; every task gets the bins of all rows, a byte a cell, and grows some of the trees."""
+        spark = vectors.sparkSession
+        rows = numbered_rows(vectors.select("grp", "x").where("grp is not null"))
+        labels = sorted(r["grp"] for r in rows.select("grp").distinct().collect())  # one row per class
+        if not labels:
+            raise ValueError("no labelled rows")
+
+        def columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = matrix(b.column(0), b.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(x.shape[1]), pa.int32()), pa.array([np.ascontiguousarray(v).tobytes() for v in x.T], pa.binary())], names=["ix", "v"])
+
+        def cuts(g: pa.Table) -> pa.Table:
+            return pa.table({"ix": g.column("ix")[:1], "v": pa.array([split_points(np.concatenate([np.frombuffer(v.as_buffer()) for v in g.column("v")])).tobytes()])})
+
+        found = rows.select("x").mapInArrow(columns, "ix int, v binary").groupBy("ix").applyInArrow(cuts, "ix int, v binary").collect()  # up to 31 numbers a feature
+        points = [np.frombuffer(bytes(f["v"])) for f in sorted(found, key=lambda f: f["ix"])]
+        shared, width = spark.sparkContext.broadcast(points), len(points)
+        per_node = max(1, int(np.ceil(np.sqrt(width))))
+
+        def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    y = np.searchsorted(np.array(labels, dtype=object), np.array(b.column(1).to_pylist(), dtype=object)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([codes_of(matrix(b.column(2), b.num_rows), shared.value).tobytes()]), pa.array([y.tobytes()])], names=["at", "codes", "y"])
+
+        n_parts = max(1, min(trees, 2 * spark.sparkContext.defaultParallelism))
+
+        def grown(g: pa.Table) -> pa.Table:
+            g, part = g.sort_by("at"), g.column("part")[0].as_py()
+            all_codes = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in g.column("codes")]).reshape(-1, width)
+            y = np.concatenate([np.frombuffer(v.as_buffer(), np.int32) for v in g.column("y")])
+            got = [grow(all_codes, y, len(labels), shared.value, np.random.RandomState([seed, t]), per_node, depth) for t in range(part, trees, n_parts)]
+            share = sum((gain / gain.sum() for _, gain in got if gain.sum() > 0), np.zeros(width))
+            return pa.table({"part": pa.array([part], pa.int64()), "m": pa.array([pickle.dumps([t for t, _ in got])]), "gain": pa.array([share.tobytes()])})
+
+        packed = cut(rows.select("_id", "grp", "x").mapInArrow(codes, "at long, codes binary, y binary"))
+        each = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+        parts = cut(each.repartition(4 * n_parts, "part").groupBy("part").applyInArrow(grown, "part long, m binary, gain binary"))
+        gains = sum(np.frombuffer(bytes(r["gain"])) for r in parts.orderBy("part").select("gain").collect())
+        return Forest(parts.select("part", "m"), n_parts, labels, gains / gains.sum() if width and gains.sum() > 0 else gains)
+
+    def predict(self, vectors: DataFrame) -> DataFrame:
+        """The class of the largest sum of the trees' leaf shares; of equal sums the first."""
+        labels = self.labels
+
+        def score(x: np.ndarray, m: bytes) -> np.ndarray:
+            return sum(t.votes(x) for t in pickle.loads(m))
+
+        def choose(votes: np.ndarray) -> list[str]:
+            return [labels[i] for i in np.round(votes, 9).argmax(1)]
+
         return predict_by_parts(vectors, self.parts, self.n_parts, score, choose)
 
 
@@ -122,6 +193,7 @@ class Classifier:
     labels: list[str] | None = None
     names: list[str] | None = None
     machine: KernelMachine | None = None
+    forest: Forest | None = None
     _map: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _prepared(self, vectors: DataFrame) -> DataFrame:
@@ -137,8 +209,10 @@ class Classifier:
             self.labels = self.machine.labels
             return self
         if self.kind == "random_forest":
-            est = RandomForestClassifier(numTrees=self.trees, maxDepth=30, seed=self.seed, featureSubsetStrategy="sqrt", minInstancesPerNode=1, labelCol="label")
-        elif self.kind == "logistic":
+            self.forest, self.names = Forest.fit(vectors, self.trees, self.seed), names
+            self.labels = self.forest.labels
+            return self
+        if self.kind == "logistic":
             est = LogisticRegression(family="multinomial", maxIter=100, labelCol="label")
         elif self.kind == "svm_features":
             v = array_to_vector("x")
@@ -163,8 +237,8 @@ class Classifier:
 
     def predict(self, vectors: DataFrame) -> DataFrame:
         """The rows with ``pred``; unknown labels are kept out of the index only."""
-        if self.machine is not None:
-            return self.machine.predict(vectors)
+        if self.machine is not None or self.forest is not None:
+            return (self.machine or self.forest).predict(vectors)
         ready = self._prepared(vectors)
         est = self.model.stages[1]
         return est.transform(ready).withColumn("pred", F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)).select(*[c for c in vectors.columns if c != "x"], "pred")
@@ -175,8 +249,7 @@ class Classifier:
             raise ValueError("only tree models have feature importances")
         from pyspark.sql import SparkSession
 
-        imp = self.model.stages[1].featureImportances.toArray()
-        rows = [(n, float(v)) for n, v in zip(self.names, imp, strict=True)]
+        rows = [(n, float(v)) for n, v in zip(self.names, self.forest.importances, strict=True)]
         return SparkSession.active().createDataFrame(rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature").limit(top_n)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from blockwise.operators.layer import cut, q
 
-#: Rows of a block, as a power of two.
-BLOCK_BITS = 12
+#: Rows of a block, as a power of two, where a part gives few scores a row and where it gives many.
+BLOCK_BITS, SMALL_BLOCK_BITS = 16, 12
 
 
 def numbered_rows(vectors: DataFrame) -> DataFrame:
@@ -20,21 +20,21 @@ def numbered_rows(vectors: DataFrame) -> DataFrame:
     return cut(vectors.coalesce(vectors.sparkSession.sparkContext.defaultParallelism).withColumn("_id", F.monotonically_increasing_id()))
 
 
-def matrix(x: pa.ChunkedArray, n: int) -> np.ndarray:
+def matrix(x: pa.ChunkedArray | pa.ListArray, n: int) -> np.ndarray:
     """An array column as rows of doubles; missing cells as NaN."""
-    return np.asarray(x.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(n, -1)
+    return np.asarray((x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(n, -1)
 
 
-def predict_by_parts(vectors: DataFrame, model: DataFrame, n_parts: int, score: Callable[[np.ndarray, bytes], np.ndarray], choose: Callable[[np.ndarray], list[str]]) -> DataFrame:
+def predict_by_parts(vectors: DataFrame, model: DataFrame, n_parts: int, score: Callable[[np.ndarray, bytes], np.ndarray], choose: Callable[[np.ndarray], list[str]], bits: int = BLOCK_BITS) -> DataFrame:
     """``vectors`` without x, with ``pred``. ``model``: part (from 0), m. ``score`` gives a matrix of a row per row; ``choose`` the classes from the parts' sum."""
     rows = numbered_rows(vectors)
     spark = rows.sparkSession
     kept = [c for c in vectors.columns if c != "x"]
-    block = F.shiftright("_id", BLOCK_BITS).alias("block")
+    block = F.shiftright("_id", bits).alias("block")
     blocks = cut(rows.select(block).distinct())
     tasks = 4 * spark.sparkContext.defaultParallelism
     left = rows.select("_id", "x", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("part")).repartition(tasks, "block", "part")
-    right = model.select(F.col("part").cast("long").alias("part"), "m").join(F.broadcast(blocks)).repartition(tasks, "block", "part")  # a number per BLOCK rows
+    right = model.select(F.col("part").cast("long").alias("part"), "m").join(F.broadcast(blocks)).repartition(tasks, "block", "part")  # a number per block
 
     def meet(r: pa.Table, m: pa.Table) -> pa.Table:
         if not r.num_rows or not m.num_rows:

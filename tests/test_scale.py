@@ -333,3 +333,34 @@ def test_kernel_machine_of_many_rows(spark, monkeypatch):
     assert m.machine.n_parts > 1
     got = m.predict(df.where("id % 16 = 0").select("id", "grp", "x"))
     assert got.count() == 300 and metrics.accuracy(got).first()["accuracy"] == 1.0
+
+
+def test_forest_is_grown_in_tasks_and_kept_as_a_table(spark):
+    """Nothing of the trees is kept by the driver; shares of the leaves, importances and seeds are as stated."""
+    from blockwise.functions.forest import codes_of, grow, split_points
+    from blockwise.operators.classifiers import Classifier
+
+    r = np.random.default_rng(10)
+    x = r.normal(size=(900, 5))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int) + (x[:, 2] > 0.5)
+    x[:, 4] = np.round(x[:, 4])
+    assert len(split_points(x[:, 0])) == 31 and split_points(np.array([1.0, 3.0, 3.0, 7.0])).tolist() == [2.0, 5.0] and not len(split_points(np.ones(4)))
+    points = [split_points(x[:, i]) for i in range(5)]
+    tree, gains = grow(codes_of(x, points), y, 3, points, np.random.RandomState(1), 5)
+    drawn = np.random.RandomState(1).poisson(1.0, 900) > 0
+    got = tree.votes(x)
+    assert got.sum(1) == pytest.approx(1) and (got[drawn, y[drawn]] > 0).all() and gains[:3].sum() > 0.8 * gains.sum()
+    assert (codes_of(x, points)[:, 0] <= 3).tolist() == (x[:, 0] <= points[0][3]).tolist()
+    twice = np.concatenate([x[:40], x[:40]])  # equal rows of two classes: mixed leaves
+    mixed, _ = grow(codes_of(twice, points), np.repeat([0, 1], 40), 2, points, np.random.RandomState(3), 2)
+    assert mixed.votes(twice).sum(1) == pytest.approx(1) and (mixed.cls[mixed.feature < 0] < 0).any()
+
+    rows = [(i, "abc"[g], v.tolist()) for i, (g, v) in enumerate(zip(y, x, strict=True))]
+    df = spark.createDataFrame(rows, "id long, grp string, x array<double>")
+    model = Classifier("random_forest", trees=15).fit(df.where("id % 3 > 0"), list("vwxyz"))
+    pred = model.predict(df.where("id % 3 = 0"))
+    assert model.model is None and model.forest.parts.count() == model.forest.n_parts > 1
+    assert pred.columns == ["id", "grp", "pred"] and pred.count() == 300 and metrics.accuracy(pred).first()["accuracy"] > 0.85
+    again = Classifier("random_forest", trees=15).fit(df.where("id % 3 > 0"), list("vwxyz"))
+    assert again.importances(5).collect() == model.importances(5).collect() and {q["Feature"] for q in model.importances(3).collect()} == set("vwx")
+    assert sum(q["Importance"] for q in model.importances(5).collect()) == pytest.approx(1)
