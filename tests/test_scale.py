@@ -273,11 +273,11 @@ def test_multiblock_loo_fits_many_models_at_once(spark):
     assert time.process_time() - began < 8  # one by one they take 24 s or more
 
 
-def test_layers_of_a_workflow_are_read_from_one_table(spark):
+def test_layers_of_a_workflow_are_read_from_one_table(spark, tmp_path):
     rows = [(f"s{i}", "ab"[i % 2], float(i + 1), float(i % 5 + 1)) for i in range(20)]
     w = workflows.MultiLayerWorkflow()
-    df = spark.createDataFrame(rows, "id string, g string, u double, v double")
-    w.add_layer("one", Layer.from_wide(df, "g", sample_col="id", name="one"), "metabolomics", "id")
+    spark.createDataFrame(rows, "id string, g string, u double, v double").write.parquet(f"{tmp_path}/source")
+    w.add_layer("one", Layer.from_wide(spark.read.parquet(f"{tmp_path}/source"), "g", sample_col="id", name="one"), "metabolomics", "id")
     files = w.layers["one"].df.inputFiles()
     assert files and all("/cut-" in f for f in files)
     assert w.layers["one"].df.count() == 20
